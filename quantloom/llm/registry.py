@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quantloom.llm.exact_dedup import exact_groups
 from quantloom.llm.frames import table
 from quantloom.llm.near_dedup import near_groups
+from quantloom.llm.packing import pack
 from quantloom.llm.substring_dedup import remove_repeats
 
 
@@ -14,6 +15,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -22,7 +33,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op7_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_packing, op7_near_dedup, op10_substring_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
