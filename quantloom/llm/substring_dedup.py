@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.frames import materialize, owner_count, slices, text_bytes
-from quantloom.llm.words import SPACE, hash_words, roll, run_bounds, runs_in_rows
+from quantloom.llm.words import SPACE, hash_words, mix, roll, run_bounds, runs_in_rows
 
 WINDOW = 50
 #: Windows that a task holds and compares at once before it sends them.
-CHUNK_WINDOWS = 3_000_000
+CHUNK_WINDOWS = 2_000_000
 
 _SENT = "owner int, settled boolean, hashes binary, places binary"
+_ANSWER = "bucket int, places binary"
 _FOUND = "doc_id long, text_key long, starts binary"
 
 
@@ -60,19 +61,24 @@ def _later(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def _sender(owners: int, window: int, chunk_windows: int):
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
-        hashes, ids, keys, starts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        later = _later(hashes, ids)
+        base = np.cumsum([0, *(len(p[2]) for p in parts)])
+        hashes, starts = (np.concatenate([p[i] for p in parts]) for i in (0, 4))
+        doc = np.concatenate([p[1] + b for p, b in zip(parts, base[:-1].astype(np.int32), strict=True)])
+        ids, keys = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+        parts.clear()
+        later = _later(hashes, ids[doc])
         rows = []
         if later.any():
-            rows.append((int(hashes[0] % np.uint64(owners)), True, b"", _pack(ids[later], keys[later], starts[later])))
-        hashes, ids, keys, starts = (x[~later] for x in (hashes, ids, keys, starts))
-        owner = ((hashes >> np.uint64(40)) * np.uint64(owners) >> np.uint64(24)).astype(np.int32)
-        order = np.argsort(owner, kind="stable")
-        edges = np.searchsorted(owner[order], np.arange(owners + 1))
+            x = doc[later]
+            rows.append((int(hashes[0] % np.uint64(owners)), True, b"", _pack(ids[x], keys[x], starts[later])))
+        left = np.flatnonzero(~later)
+        owner = ((hashes[left] >> np.uint64(40)) * np.uint64(owners) >> np.uint64(24)).astype(np.uint32)
+        left = left[np.argsort(owner, kind="stable")]
+        edges = np.append(0, np.cumsum(np.bincount(owner, minlength=owners)))
         for o in range(owners):
-            x = order[edges[o] : edges[o + 1]]
+            x = left[edges[o] : edges[o + 1]]
             if len(x):
-                rows.append((o, False, hashes[x].tobytes(), _pack(ids[x], keys[x], starts[x])))
+                rows.append((o, False, hashes[x].tobytes(), _pack(ids[doc[x]], keys[doc[x]], starts[x])))
         cols = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=["owner", "settled", "hashes", "places"])
 
@@ -84,36 +90,51 @@ def _sender(owners: int, window: int, chunk_windows: int):
                 at, row = runs_in_rows(rows, window)
                 if len(at):
                     ids, keys = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
-                    parts.append((roll(words, window)[at], ids[row], keys[row], at - rows[row]))
+                    parts.append((roll(words, window)[at], row.astype(np.int32), ids, keys, (at - rows[row]).astype(np.int32)))
                     held += len(at)
                 if held >= chunk_windows:
                     yield from flush(parts)
-                    parts, held = [], 0
+                    held = 0
         if parts:
             yield from flush(parts)
 
     return send
 
 
-def _answer(group: pa.Table) -> pa.Table:
-    """All windows of one hash range -> the starts of those that a document with a smaller id has too."""
-    done, hashes, ids, keys, starts = [], [], [], [], []
-    for settled, own, places in zip(*(group.column(c) for c in ("settled", "hashes", "places")), strict=True):
-        found = _unpack(places.as_py())
-        if settled.as_py():
-            done.append(found)
-        else:
-            hashes.append(np.frombuffer(own.as_py(), np.uint64))
-            for to, x in zip((ids, keys, starts), found, strict=True):
-                to.append(x)
-    if hashes:
-        every = [np.concatenate(x) for x in (ids, keys, starts)]
-        later = _later(np.concatenate(hashes), every[0])
-        done.append(tuple(x[later] for x in every))
-    ids, keys, starts = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.empty(0, np.int64),) * 3
+def _answerer(buckets: int):
+    def answer(group: pa.Table) -> pa.Table:
+        """All windows of one hash range -> those that a document with a smaller id has too, dealt by document."""
+        done, hashes, open_ = [], [], []
+        for settled, own, places in zip(*(group.column(c) for c in ("settled", "hashes", "places")), strict=True):
+            found = _unpack(places.as_py())
+            if settled.as_py():
+                done.append(found)
+            else:
+                hashes.append(np.frombuffer(own.as_py(), np.uint64))
+                open_.append(found)
+        if hashes:
+            ids = np.concatenate([x[0] for x in open_])
+            later, begin = _later(np.concatenate(hashes), ids), 0
+            for found in open_:
+                mark = later[begin : begin + len(found[0])]
+                begin += len(mark)
+                done.append(tuple(x[mark] for x in found))
+        ids, keys, starts = (np.concatenate(x) for x in zip(*done, strict=True))
+        bucket = (mix(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((starts, keys, ids, bucket))
+        edges = np.append(run_bounds(bucket[order]), len(order))
+        rows = [(int(bucket[x[0]]), _pack(ids[x], keys[x], starts[x])) for x in (order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)) if len(x)]
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "places": pa.array([r[1] for r in rows], pa.binary())})
+
+    return answer
+
+
+def _by_document(group: pa.Table) -> pa.Table:
+    """One bucket of documents -> each document's repeated windows from all owners."""
+    ids, keys, starts = (np.concatenate(x) for x in zip(*(_unpack(x.as_py()) for x in group.column("places")), strict=True))
     order = np.lexsort((keys, ids))
     ids, keys, starts = ids[order], keys[order], starts[order].astype(np.int32)
-    edges = np.append(run_bounds(ids * np.int64(31) ^ keys), len(ids)) if len(ids) else np.zeros(1, np.int64)
+    edges = np.append(run_bounds(ids * np.int64(31) ^ keys), len(ids))
     cut = [starts[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
     return pa.table({"doc_id": pa.array(ids[edges[:-1]], pa.int64()), "text_key": pa.array(keys[edges[:-1]], pa.int64()), "starts": pa.array(cut, pa.binary())})
 
@@ -122,7 +143,8 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, owners: int | N
     """doc_id, text_key and packed 32-bit word starts of the windows that a smaller doc_id has as well."""
     owners = owners or owner_count(documents.sparkSession)
     docs = documents.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return docs.mapInArrow(_sender(owners, window, chunk_windows), _SENT).groupBy("owner").applyInArrow(_answer, _FOUND)
+    sent = docs.mapInArrow(_sender(owners, window, chunk_windows), _SENT)
+    return sent.groupBy("owner").applyInArrow(_answerer(owners), _ANSWER).groupBy("bucket").applyInArrow(_by_document, _FOUND)
 
 
 def _cutter(window: int, with_text: bool):
@@ -134,11 +156,8 @@ def _cutter(window: int, with_text: bool):
                 total.append(len(words))
                 starts = starts.as_py()
                 if starts:
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    for x in starts:
-                        s = np.frombuffer(x, np.int32)
-                        np.add.at(edge, s, 1)
-                        np.subtract.at(edge, s + window, 1)
+                    s = np.frombuffer(starts, np.int32)
+                    edge = np.bincount(s, minlength=len(words) + 1) - np.bincount(s + window, minlength=len(words) + 1)
                     keep = np.cumsum(edge[:-1]) == 0
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                 gone.append(total[-1] - len(words))
@@ -157,7 +176,7 @@ def _cutter(window: int, with_text: bool):
 def remove_repeats(documents: DataFrame, window: int = WINDOW, owners: int | None = None, chunk_windows: int = CHUNK_WINDOWS, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every row of ``documents`` (doc_id, text)."""
     found = materialize(repeated_windows(documents, window, owners, chunk_windows))
-    starts = found.groupBy(F.col("doc_id").alias("f_id"), F.col("text_key").alias("f_key")).agg(F.collect_list("starts").alias("starts"))
+    starts = found.select(F.col("doc_id").alias("f_id"), F.col("text_key").alias("f_key"), "starts")
     docs = documents.select("doc_id", "text")
     joined = docs.join(starts, (F.col("doc_id") == F.col("f_id")) & (F.xxhash64("text") == F.col("f_key")), "left").select("doc_id", "text", "starts")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
