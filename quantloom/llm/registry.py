@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.llm.exact_dedup import exact_groups
 from quantloom.llm.frames import table
+from quantloom.llm.license_scan import scan_licenses
 from quantloom.llm.mixing import mix
 from quantloom.llm.near_dedup import near_groups
 from quantloom.llm.packing import pack
@@ -17,6 +18,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -47,7 +52,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_packing, op6_mixing, op7_near_dedup, op9_url_filter, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_license_scan, op5_packing, op6_mixing, op7_near_dedup, op9_url_filter, op10_substring_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
