@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quantloom.llm.ann import nearest
 from quantloom.llm.exact_dedup import exact_groups
 from quantloom.llm.frames import table
 from quantloom.llm.license_scan import scan_licenses
@@ -14,6 +15,11 @@ from quantloom.llm.substring_dedup import remove_repeats
 from quantloom.llm.url_filter import filter_urls
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return nearest(embeddings, embeddings.where("vec_id % 50 = 0"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -52,7 +58,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_license_scan, op5_packing, op6_mixing, op7_near_dedup, op9_url_filter, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_multi_index, op3_exact_dedup, op4_license_scan, op5_packing, op6_mixing, op7_near_dedup, op9_url_filter, op10_substring_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
