@@ -5,10 +5,13 @@ A document is its set of five-word shingles. ``COLLECTIONS`` small hash collecti
 COLLECTIONS * (COLLECTIONS - 1) / 2 tables whose keys hold 2 * ROWS minhashes. Candidates are
 verified on their full shingle sets, and verified links are merged into components.
 
-Identical sets form one class and are searched once. In a bucket (equal key) every class is compared
-with the bucket's leader; as long as a bucket still holds classes of different components, further
-leaders are taken from those that no leader has been compared with, so no candidate is lost and
-no bucket is expanded into all its pairs unless its members really are unrelated.
+Identical sets form one class and are searched once. Buckets (equal keys) aren't expanded into pairs:
+in a few star rounds each class is compared with its bucket's leader, another leader every round, and
+links are merged into components. Buckets that still mix components hold either unrelated texts
+with long common passages, or missed links. Their classes get an exact prefix filter: links must
+share a shingle among the rarest of both sets, so that common passages no longer bring texts
+together. In the few buckets of rare shingles that remain mixed, leaders are taken from every
+component until all pairs that could be links have been settled.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; a shorter text
 than five words is one shingle; repeated rows are one class; null ids come last in "smallest
@@ -41,6 +44,8 @@ AGREE = 9
 
 _PRIME = np.random.default_rng(77).integers(1, 2**62, COLLECTIONS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = np.random.default_rng(78).integers(1, 2**63, COLLECTIONS * ROWS, dtype=np.uint64)
+#: What picks a bucket's leader in each star round: the least class id under this mask.
+STARS = (0, 2**63 - 1, 0x2545F4914F6CDD1D)
 _ROW_BITS = 13
 _SKETCH_BYTES = 6
 
@@ -138,6 +143,39 @@ def _agreeing(words: int) -> str:
     return " + ".join(f"bit_count(~(((x.k{i} ^ y.k{i}) & {low}L) + {low}L | (x.k{i} ^ y.k{i})) & {one}L)" for i in range(words))
 
 
+def _mixed(state: DataFrame) -> DataFrame:
+    """The rows (key, cls, root) of buckets that hold more than one component."""
+    mixed = state.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return state.join(mixed, "key", "left_semi")
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in _rows_of(batches):
+        sets, bounds = shingle_sets(*text_bytes(piece.column("text")))
+        size = np.diff(bounds)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(piece.column("cls").to_numpy(), size)), pa.array(np.repeat(size, size)), pa.array(sets.view(np.int64))], names=["cls", "n", "key"])
+
+
+def _rare_buckets(texts: DataFrame, percent: int) -> DataFrame:
+    """The exact prefix filter over the sets of ``texts`` (cls, text): key (a shingle), cls, n, short.
+
+    Shingles are ordered by how many of the sets have them. Two sets that reach the threshold share
+    a shingle among the first n - ceil(p n) + 1 of the larger one and the first
+    n - ceil(2 p n / (1 + p)) + 1 of the smaller one (``short``).
+    """
+    rows = texts.mapInArrow(_shingle_rows, "cls long, n long, key long")
+    shared = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    common = rows.join(shared, "key")
+    own = W.partitionBy("cls")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "key"))
+    limit = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
+    short = F.expr(f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")
+    return (
+        common.withColumn("place", place).where(F.col("place") <= limit)
+        .select("key", "cls", "n", (F.col("place") <= short).alias("short"))
+    )
+
+
 def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and kept of every row of ``documents`` (doc_id, text)."""
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
@@ -162,37 +200,49 @@ def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         )
 
     first = materialize(promising(members.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()))
-    involved = members.select("cls").distinct()
-    place = signed.join(involved, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("at")).select("cls", F.col("at.doc_id").alias("p_id"), F.col("at.text_key").alias("p_key"))
+    place = (
+        signed.join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("at"))
+        .select("cls", F.col("at.doc_id").alias("p_id"), F.col("at.text_key").alias("p_key"))
+    )
     texts = materialize(
         docs.join(place, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key"))).select("cls", "text").dropDuplicates(["cls"])
     )
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return (
+        return materialize(
             pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
             .select("a", "b", "text_a", "text_b").mapInArrow(_linked(percent), "a long, b long")
         )
 
-    links = materialize(verified(first))
+    def rooted(bucketed: DataFrame) -> DataFrame:
+        return bucketed.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+    links = verified(first)
     roots = connected_components(links)
-    tried, many = members.select("key", F.col("leader").alias("cls")).distinct(), 1
-    while True:  # until every bucket's untried classes are of one component
+    for mask in STARS[1:]:
+        state = materialize(_mixed(rooted(members.select("key", "cls"))))
+        lead = state.groupBy("key").agg(F.min(F.col("cls").bitwiseXOR(F.lit(mask))).alias("m")).select("key", F.col("m").bitwiseXOR(F.lit(mask)).alias("a"))
+        lead = rooted(lead.withColumnRenamed("a", "cls")).select("key", F.col("cls").alias("a"), F.col("root").alias("a_root"))
+        pairs = state.join(lead, "key").where("root <> a_root").select("a", F.col("cls").alias("b")).distinct()
+        links = links.unionByName(verified(promising(pairs)))
+        roots = connected_components(links)
+
+    rest = materialize(_mixed(rooted(members.select("key", "cls"))).select("cls").distinct())
+    rare = materialize(_rare_buckets(texts.join(rest, "cls", "left_semi"), percent))
+    tried, many = rare.select("key", "cls").limit(0), 1
+    while True:  # until the untried classes of every bucket are of one component
         many *= 4
-        state = (
-            members.select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-            .join(tried.withColumn("done", F.lit(True)), ["key", "cls"], "left")
-        )
-        mixed = state.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.expr("if(done, null, root)")).alias("main"), F.max(F.expr("if(done, null, root)")).alias("other")).where("low <> high and main <> other").select("key", "main")
-        state = materialize(state.join(mixed, "key"))
-        fresh = state.where("done is null and root <> main").groupBy("key", "root").agg(F.min("cls").alias("a"))
-        rank = F.row_number().over(W.partitionBy("key").orderBy("a"))
-        fresh = materialize(fresh.withColumn("rank", rank).where(F.col("rank") <= many).select("key", F.col("root").alias("a_root"), "a"))
+        state = _mixed(rooted(rare)).join(tried.withColumn("done", F.lit(True)), ["key", "cls"], "left")
+        main = state.where("done is null").groupBy("key").agg(F.min("root").alias("main"), F.max("root").alias("other")).where("main <> other").select("key", "main")
+        state = materialize(state.join(main, "key"))
+        fresh = state.where("done is null and root <> main").groupBy("key", "root").agg(F.min("cls").alias("cls"))
+        fresh = fresh.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("cls"))).where(F.col("rank") <= many).select("key", "cls")
+        fresh = materialize(fresh.join(rare, ["key", "cls"]).join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", F.col("cls").alias("a"), F.coalesce("root", "cls").alias("a_root"), F.col("n").alias("a_n"), F.col("short").alias("a_short")))
         if fresh.isEmpty():
             break
-        pairs = fresh.join(state.select("key", F.col("cls").alias("b"), "root"), "key").where("root <> a_root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = materialize(verified(promising(pairs)))
+        meet = state.join(fresh, "key").where("root <> a_root and (a_short and n >= a_n or short and n <= a_n)")
+        more = verified(promising(meet.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()))
         tried = materialize(tried.unionByName(fresh.select("key", F.col("a").alias("cls"))))
         if not more.isEmpty():
             links = links.unionByName(more)
