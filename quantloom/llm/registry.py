@@ -12,9 +12,14 @@ from quantloom.llm.mixing import mix
 from quantloom.llm.near_dedup import near_groups
 from quantloom.llm.packing import pack
 from quantloom.llm.substring_dedup import remove_repeats
+from quantloom.llm.toxicity import toxicity
 from quantloom.llm.url_filter import filter_urls
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = table(spark, sf_dir, "embeddings")
     return nearest(embeddings, embeddings.where("vec_id % 50 = 0"))
@@ -58,7 +63,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_multi_index, op3_exact_dedup, op4_license_scan, op5_packing, op6_mixing, op7_near_dedup, op9_url_filter, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_multi_index, op3_exact_dedup, op4_license_scan, op5_packing, op6_mixing, op7_near_dedup, op9_url_filter, op10_substring_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
