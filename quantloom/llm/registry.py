@@ -12,6 +12,7 @@ from quantloom.llm.mixing import mix
 from quantloom.llm.near_dedup import near_groups
 from quantloom.llm.packing import pack
 from quantloom.llm.substring_dedup import remove_repeats
+from quantloom.llm.suffix_tree_lm import held_out_scores
 from quantloom.llm.toxicity import toxicity
 from quantloom.llm.url_filter import filter_urls
 
@@ -51,6 +52,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_scores(table(spark, sf_dir, "documents"))
+
+
 #: (verdict, host, path prefix) of the production list.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -63,7 +68,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_multi_index, op3_exact_dedup, op4_license_scan, op5_packing, op6_mixing, op7_near_dedup, op9_url_filter, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_multi_index, op3_exact_dedup, op4_license_scan, op5_packing, op6_mixing, op7_near_dedup, op8_suffix_tree_lm, op9_url_filter, op10_substring_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
