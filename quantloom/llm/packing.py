@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from quantloom.llm.frames import materialize, slices
 CAPACITY = 1024
 END_ID = 2
 #: Entries of a worker's memo of encoded words; it is emptied when full.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_200_000
 #: Rounds of the LP, pricing programs in a round, and how fast weights follow the coverage.
 ROUNDS = 60
 GROUPS = 6
@@ -58,7 +59,7 @@ class WordEncoder:
         self.memo_words = memo_words
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
         clean = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
