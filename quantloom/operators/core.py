@@ -9,17 +9,21 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.cross_section import demeaned, rank01, rank_correlation, zscore
 
-BY_TICKER = W.partitionBy("ticker").orderBy("date")
 #: The day a record became known, per kind of record.
 KNOWN_ON = {"prices": "date", "estimates": "estimate_date", "fundamentals": "report_date", "ownership": "as_of_date"}
 
 
+def by_ticker() -> WindowSpec:
+    """A ticker's own observations in order."""
+    return W.partitionBy("ticker").orderBy("date")
+
+
 # Point in time
 
 
@@ -91,12 +95,12 @@ def forward_return(bars: DataFrame, horizon: int = 21) -> DataFrame:
     """ticker, date, fwd: the adjusted close ``horizon`` observations ahead over today's, less one."""
     if horizon <= 0:
         raise ValueError(f"horizon must be positive, got {horizon}")
-    return bars.select("ticker", "date", (F.lead("adjusted_close", horizon).over(BY_TICKER) / F.col("adjusted_close") - 1).alias("fwd")).where("fwd is not null")
+    return bars.select("ticker", "date", (F.lead("adjusted_close", horizon).over(by_ticker()) / F.col("adjusted_close") - 1).alias("fwd")).where("fwd is not null")
 
 
 def observed_return(bars: DataFrame, back: int = 1) -> DataFrame:
     """ticker, date, ret over the ticker's own last ``back`` observations."""
-    return bars.select("ticker", "date", (F.col("adjusted_close") / F.lag("adjusted_close", back).over(BY_TICKER) - 1).alias("ret")).where("ret is not null")
+    return bars.select("ticker", "date", (F.col("adjusted_close") / F.lag("adjusted_close", back).over(by_ticker()) - 1).alias("ret")).where("ret is not null")
 
 
 def market_return(bars: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.cross_section import rank01, zscore
-from quantloom.operators.core import BY_TICKER, as_of, as_of_join, require_flagged
+from quantloom.operators.core import as_of, as_of_join, by_ticker, require_flagged
 
 DEFAULT_ACCURACY = 0.5
 OUT = ("date", "ticker", "raw_score", "rank_score")
@@ -82,8 +82,8 @@ def ownership_momentum(ownership: DataFrame, dates: DataFrame, lookback_days: in
 
 def trailing_return(bars: DataFrame, lookback: int = 21) -> DataFrame:
     """ticker, date, ret over the last ``lookback`` observations, or since the first bar; from the second bar on."""
-    base = F.coalesce(F.lag("adjusted_close", lookback).over(BY_TICKER), F.first("adjusted_close").over(BY_TICKER))
-    rows = bars.select("ticker", "date", (F.col("adjusted_close") / base - 1).alias("ret"), F.row_number().over(BY_TICKER).alias("i"))
+    base = F.coalesce(F.lag("adjusted_close", lookback).over(by_ticker()), F.first("adjusted_close").over(by_ticker()))
+    rows = bars.select("ticker", "date", (F.col("adjusted_close") / base - 1).alias("ret"), F.row_number().over(by_ticker()).alias("i"))
     return rows.where("i >= 2").select("ticker", "date", "ret")
 
 

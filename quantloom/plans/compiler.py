@@ -9,14 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.plans.dsl import CROSS_SECTION, FEATURES, TIME_SERIES, Expr
 
 TINY = 1e-12
-_BY_TICKER = W.partitionBy("ticker").orderBy("date")
+
+
+def _by_ticker() -> WindowSpec:
+    return W.partitionBy("ticker").orderBy("date")
 
 
 def finite(x: Column) -> Column:
@@ -28,7 +31,7 @@ def panel(bars: DataFrame) -> DataFrame:
     """All dates by all tickers, gaps NULL; ``ret`` steps over calendar slots. Dates and tickers are the axes, not the rows."""
     axes = bars.select("date").distinct().crossJoin(bars.select("ticker").distinct())
     wide = axes.join(bars.select("date", "ticker", "open", "high", "low", "close", "volume", F.col("adjusted_close").alias("adjclose")), ["date", "ticker"], "left")
-    before = F.lag("adjclose", 1).over(_BY_TICKER)
+    before = F.lag("adjclose", 1).over(_by_ticker())
     return wide.withColumn("ret", F.when(F.abs(before) > TINY, F.col("adjclose") / F.nullif(before, F.lit(0.0)) - 1))
 
 
@@ -60,8 +63,8 @@ def _pointwise(op: str, a: Column, b: Column | None) -> Column:
 def _time_series(op: str, x: Column, window: int) -> Column:
     if window < 1:
         raise ValueError(f"{op}: window must be at least 1, got {window}")
-    back = F.lag(x, window).over(_BY_TICKER)
-    frame = _BY_TICKER.rowsBetween(1 - window, 0)
+    back = F.lag(x, window).over(_by_ticker())
+    frame = _by_ticker().rowsBetween(1 - window, 0)
     match op:
         case "delay":
             return back

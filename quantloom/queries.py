@@ -108,7 +108,7 @@ def _weekly(spark: SparkSession, d: str) -> DataFrame:
 
 def three_signals(bars: DataFrame) -> DataFrame:
     """A long table of three simple signals on the observation axis."""
-    back = lambda k: F.col("adjusted_close") / F.lag("adjusted_close", k).over(core.BY_TICKER) - 1
+    back = lambda k: F.col("adjusted_close") / F.lag("adjusted_close", k).over(core.by_ticker()) - 1
     wide = bars.select("date", "ticker", back(3).alias("momentum_3"), (-back(1)).alias("reversal_1"), F.log(1 + F.col("volume")).alias("volume"))
     pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("signal"), F.col(n).alias("raw_score")) for n in ("momentum_3", "reversal_1", "volume"))))
     return wide.select("date", "ticker", pairs.alias("s")).select("s.signal", "date", "ticker", "s.raw_score").where("raw_score is not null")
