@@ -1,36 +1,37 @@
-"""Connected components by alternating star contractions over an edge table."""
+"""Connected components by repeated contraction of an edge table."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.frames import materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b) that isn't its component's smallest node, the root.
+    """(node, root) for every node of ``edges`` (a, b) but the roots; a root is one node of its component.
 
-    Every round at least halves the paths, so the number of rounds grows with the logarithm of the
-    longest path; each round is written to the shared folder. No edges give no rows.
+    In every round each node joins the neighbour that comes first in a pseudo-random order of that round (or
+    stays, if it comes first itself), and edges are drawn between what the nodes joined. The expected
+    number of nodes with edges falls by a constant factor, so rounds grow with the logarithm of the
+    nodes. Every round is written to the shared folder. No edges give no rows.
     """
-    now, before = materialize(edges.select("a", "b").where("a <> b").distinct()), None
-    while True:
-        now = materialize(_small_star(_large_star(now)))
-        state = now.agg(F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))), F.lit(0))).first()
-        if state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
+    left = materialize(edges.select("a", "b").where("a <> b").distinct())
+    out, rounds = left.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), []
+    while not left.isEmpty():
+        order = lambda c, r=len(rounds): F.xxhash64(c, F.lit(r))
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy("a").agg(F.min_by("b", order("b")).alias("m"))
+        joined = materialize(first.select(F.col("a").alias("node"), F.when(order("a") <= order("m"), F.col("a")).otherwise(F.col("m")).alias("root")))
+        rounds.append(joined)
+        ends = left.join(joined.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(joined.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        left = materialize(ends.where("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct())
+    if rounds:
+
+        def follow(have: DataFrame, then: DataFrame) -> DataFrame:
+            return have.join(then.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+
+        out = materialize(reduce(follow, rounds).where("node <> root"))
+    return out

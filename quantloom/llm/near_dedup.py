@@ -6,8 +6,7 @@ COLLECTIONS * (COLLECTIONS - 1) / 2 tables whose keys hold 2 * ROWS minhashes. C
 verified on their full shingle sets, and verified links are merged into components.
 
 Identical sets form one class and are searched once. Buckets (equal keys) aren't expanded into pairs:
-in a few star rounds each class is compared with its bucket's leader, another leader every round, and
-links are merged into components. Buckets that still mix components hold either unrelated texts
+each class is compared with a few leaders of its bucket, and links are merged into components. Buckets that still mix components hold either unrelated texts
 with long common passages, or missed links. Their classes get an exact prefix filter: links must
 share a shingle among the rarest of both sets, so that common passages no longer bring texts
 together. In the few buckets of rare shingles that remain mixed, leaders are taken from every
@@ -44,7 +43,7 @@ AGREE = 9
 
 _PRIME = np.random.default_rng(77).integers(1, 2**62, COLLECTIONS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = np.random.default_rng(78).integers(1, 2**63, COLLECTIONS * ROWS, dtype=np.uint64)
-#: What picks a bucket's leader in each star round: the least class id under this mask.
+#: What picks a bucket's leaders: the least class ids under these masks.
 STARS = (0, 2**63 - 1, 0x2545F4914F6CDD1D)
 _ROW_BITS = 13
 _SKETCH_BYTES = 6
@@ -170,10 +169,9 @@ def _rare_buckets(texts: DataFrame, percent: int) -> DataFrame:
     place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "key"))
     limit = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
     short = F.expr(f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")
-    return (
-        common.withColumn("place", place).where(F.col("place") <= limit)
-        .select("key", "cls", "n", (F.col("place") <= short).alias("short"))
-    )
+    early = common.withColumn("place", place).where(F.col("place") <= limit).select("key", "cls", "n", (F.col("place") <= short).alias("short"))
+    useful = early.groupBy("key").agg(F.count("*").alias("m"), F.max("short").alias("any")).where("m > 1 and any").select("key")
+    return early.join(useful, "key", "left_semi")
 
 
 def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -187,8 +185,9 @@ def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         .agg(F.min("doc_id").alias("least_id"), *(F.min(c).alias(c) for c in own + sketch), F.count("*").alias("n"))
     )
     keys = classes.select("cls", F.explode(F.array(*(F.xxhash64(F.lit(t), a, b) for t, (a, b) in enumerate(combinations(own, 2))))).alias("key"))
-    leaders = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("leader")).where("n > 1").select("key", "leader")
-    members = materialize(keys.join(leaders, "key").select("key", "cls", "leader"))
+    leaders = keys.groupBy("key").agg(F.count("*").alias("n"), *(F.min(F.col("cls").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(STARS))).where("n > 1")
+    stars = F.array(*(F.col(f"m{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(STARS)))
+    members = materialize(keys.join(leaders.select("key", stars.alias("leaders")), "key").select("key", "cls", "leaders"))
 
     facts = classes.select("cls", "n_shingles", *sketch)
     fit = f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles) AND {_agreeing(len(sketch))} >= {AGREE}"
@@ -199,7 +198,8 @@ def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
             .where(fit).select("a", "b")
         )
 
-    first = materialize(promising(members.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()))
+    starred = members.select("cls", F.explode("leaders").alias("leader")).where("cls <> leader").select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
+    first = materialize(promising(starred.distinct()))
     place = (
         signed.join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("at"))
         .select("cls", F.col("at.doc_id").alias("p_id"), F.col("at.text_key").alias("p_key"))
@@ -220,14 +220,6 @@ def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     links = verified(first)
     roots = connected_components(links)
-    for mask in STARS[1:]:
-        state = materialize(_mixed(rooted(members.select("key", "cls"))))
-        lead = state.groupBy("key").agg(F.min(F.col("cls").bitwiseXOR(F.lit(mask))).alias("m")).select("key", F.col("m").bitwiseXOR(F.lit(mask)).alias("a"))
-        lead = rooted(lead.withColumnRenamed("a", "cls")).select("key", F.col("cls").alias("a"), F.col("root").alias("a_root"))
-        pairs = state.join(lead, "key").where("root <> a_root").select("a", F.col("cls").alias("b")).distinct()
-        links = links.unionByName(verified(promising(pairs)))
-        roots = connected_components(links)
-
     rest = materialize(_mixed(rooted(members.select("key", "cls"))).select("cls").distinct())
     rare = materialize(_rare_buckets(texts.join(rest, "cls", "left_semi"), percent))
     tried, many = rare.select("key", "cls").limit(0), 1
