@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -33,20 +34,26 @@ from quantloom.llm.frames import materialize, slices
 CAPACITY = 1024
 END_ID = 2
 #: Entries of a worker's memo of encoded words; it is emptied when full.
-MEMO_WORDS = 1_200_000
+MEMO_WORDS = 700_000
 #: Rounds of the LP, pricing programs in a round, and how fast weights follow the coverage.
 ROUNDS = 60
 GROUPS = 6
 EPSILON = 0.005
 
 _CLEAN_CUT = re.compile(r"(?<=\S) (?=\S)")
+# The byte-level pattern, and the characters that stand for bytes in its vocabulary (printable ones
+# for themselves, the others counted from 256).
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 class WordEncoder:
-    """Encodes texts by a tokenizer whose words never span a single space between two visible characters.
+    """Encodes texts by a byte-level BPE tokenizer, word by word.
 
-    Byte-level vocabularies attach such a space to the word that follows, so a text's ids are the
-    ids of " word" after " word"; each distinct one is encoded once and remembered.
+    Its pattern attaches a single space between two visible characters to the word that follows, so a text's
+    ids are the ids of " word" after " word". Each distinct word is cut into the pattern's pieces and each distinct
+    piece is encoded once; what isn't such a word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
@@ -55,22 +62,38 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.memo: dict[str, bytes | None] = {}
+        self.pieces: dict[str, bytes] = {}
         self.memo_words = memo_words
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            mapped = piece.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+            found = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return found
+
     def _learn(self, words: set[str]) -> None:
-        clean = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        self.memo.update(dict.fromkeys(words))  # None: this word's spaces need a closer look
-        self.memo.update(zip(clean, self._encode([f" {w}" for w in clean]), strict=True))
+        memo, piece = self.memo, self._piece
+        for w in words:
+            if w.isalpha():
+                memo[w] = piece(" " + w)
+            elif not w or w[0].isspace() or w[-1].isspace():
+                memo[w] = None  # its spaces need a closer look
+            elif w[-1] in ".,|" and w[:-1].isalpha():
+                memo[w] = piece(" " + w[:-1]) + piece(w[-1])
+            else:
+                memo[w] = b"".join(map(piece, _PIECE.findall(" " + w)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         split = [t.split(" ") for t in texts]
         if len(self.memo) > self.memo_words:
-            self.memo.clear()
+            self.memo.clear(), self.pieces.clear()
         self._learn({w for x in split for w in x[1:]}.difference(self.memo))
         heads = self._encode([x[0] for x in split])
         out, get = [], self.memo.__getitem__
