@@ -222,15 +222,18 @@ def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     roots = connected_components(links)
     rest = materialize(_mixed(rooted(members.select("key", "cls"))).select("cls").distinct())
     rare = materialize(_rare_buckets(texts.join(rest, "cls", "left_semi"), percent))
-    tried, many = rare.select("key", "cls").limit(0), 1
-    while True:  # until the untried classes of every bucket are of one component
+    tried, many = rare.select("key", "cls").limit(0), 4
+    while True:
+        # A pair that could be a link is of two components and has a short member. So a bucket is settled once its short
+        # members, or all outside its largest component, whichever are fewer, have been compared with the others.
         many *= 4
-        state = _mixed(rooted(rare)).join(tried.withColumn("done", F.lit(True)), ["key", "cls"], "left")
-        main = state.where("done is null").groupBy("key").agg(F.min("root").alias("main"), F.max("root").alias("other")).where("main <> other").select("key", "main")
-        state = materialize(state.join(main, "key"))
-        fresh = state.where("done is null and root <> main").groupBy("key", "root").agg(F.min("cls").alias("cls"))
-        fresh = fresh.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("cls"))).where(F.col("rank") <= many).select("key", "cls")
-        fresh = materialize(fresh.join(rare, ["key", "cls"]).join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", F.col("cls").alias("a"), F.coalesce("root", "cls").alias("a_root"), F.col("n").alias("a_n"), F.col("short").alias("a_short")))
+        placed = rooted(rare)
+        sizes = placed.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum(F.col("short").cast("long")).alias("s"))
+        cover = sizes.groupBy("key").agg(F.max_by("root", "m").alias("main"), (F.sum("m") - F.max("m")).alias("outside"), F.sum("s").alias("shorts"), F.count("*").alias("parts")).where("parts > 1")
+        state = materialize(placed.join(cover.select("key", "main", (F.col("shorts") <= F.col("outside")).alias("by_short")), "key"))
+        fresh = state.where("if(by_short, short, root <> main)").join(tried, ["key", "cls"], "left_anti")
+        fresh = fresh.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("cls"))).where(F.col("rank") <= many)
+        fresh = materialize(fresh.select("key", F.col("cls").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"), F.col("short").alias("a_short")))
         if fresh.isEmpty():
             break
         meet = state.join(fresh, "key").where("root <> a_root and (a_short and n >= a_n or short and n <= a_n)")
