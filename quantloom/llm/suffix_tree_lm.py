@@ -39,7 +39,7 @@ KAPPA = 2.0
 #: Divergence from the parent, in nats per symbol, from which a context is kept.
 LEAST_GAIN = 0.01
 DEPTH = 2
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_200_000
 
 END, BEGIN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
@@ -329,7 +329,7 @@ def _router(tree: Tree):
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text", 8 << 20):
+            for piece in slices(batch, "text"):
                 x, before, row = _tokens(piece)
                 n = piece.num_rows
                 uid = piece.column("uid").to_numpy()
