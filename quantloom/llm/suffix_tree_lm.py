@@ -1,7 +1,7 @@
 """Scoring by a probabilistic suffix tree over words.
 
-The tree's states are contexts, the last one or two words. A context is a candidate when it makes up at
-least ``P_MIN`` of the training tokens (so their number is bounded, whatever the corpus) and is kept when its
+The tree's states are contexts, the last one or two words. A context is a candidate when it occurs
+``LEAST_COUNT`` times in the training corpus, whatever its size, and is kept when its
 next-symbol distribution diverges from its parent's by enough, each occurrence left out of its own
 count. A token is predicted in the longest suffix state of what stands before it:
 
@@ -11,7 +11,8 @@ with n1 the number of x seen once after s, and (c(x) + 1) / (N + V + 1) at the r
 
 All counts cover the whole training corpus and stay distributed: a chunk of documents sends its distinct
 keys once, packed, to the owners of their hash ranges. Tokens whose counts are rare are scored by
-the owners, the others (at most 1 / ``P_LOCAL`` keys) where the text is, so that no key is hot.
+the owners, the others (at most 1 / ``P_LOCAL`` keys) where the text is, so that no key is hot. The contexts
+themselves are held by every task, so the memory of a task grows with their number.
 
 Defined results: tokens are runs of bytes other than ``[\\x20\\x09-\\x0D]``, A to Z lower-cased, and one end; a null text
 counts as empty; without training tokens N and V are 0. Repeated rows count and are scored each. Words
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from quantloom.llm.frames import crc_bucket, materialize, owner_count, slices, text_bytes
 from quantloom.llm.words import LOWER, SPACE, hash_words, mix, run_bounds
 
-P_MIN = 2.0**-14
 P_LOCAL = 2.0**-18
+#: Occurrences from which a symbol or pair can be a context.
 LEAST_COUNT = 8
 KAPPA = 2.0
 #: Divergence from the parent, in nats per symbol, from which a context is kept.
@@ -77,7 +78,7 @@ class Table:
         return np.where(at >= 0, self.counts[at], 0) if len(self.keys) else np.zeros(len(keys), np.int64)
 
     @staticmethod
-    def of(keys: list[int], counts: list[int]) -> Table:
+    def of(keys: np.ndarray, counts: np.ndarray) -> Table:
         k, c = np.array(keys, np.int64).view(np.uint64), np.array(counts, np.int64)
         order = np.argsort(k)
         return Table(k[order], c[order])
@@ -85,7 +86,7 @@ class Table:
 
 @dataclass
 class Tree:
-    """What every task holds: totals, frequent symbols and pairs, and the contexts (all of bounded size)."""
+    """What every task holds: totals, frequent symbols and pairs (of bounded size), and the contexts (as many as occur often enough)."""
 
     owners: int
     n: int = 0
@@ -238,7 +239,7 @@ def _merger(tree: Tree, depth: int, least_frequent: float):
             once = np.bincount(context[~keep], minlength=len(gain))
             seen = np.flatnonzero(np.bincount(context, minlength=len(gain)))
             row |= {"context": _zip(seen.astype(np.int32)), "gain": _zip(gain[seen]), "once": _zip(once[seen].astype(np.int64))}
-        often = np.flatnonzero(n >= max(least_frequent, LEAST_COUNT))
+        often = np.flatnonzero(n >= (LEAST_COUNT if depth < DEPTH else max(least_frequent, LEAST_COUNT)))
         row |= {"frequent_keys": key[often].tobytes(), "frequent_counts": n[often].tobytes(), "frequent_context": context[often].astype(np.int32).tobytes(), "frequent_x": x[often].tobytes()}
         return pa.Table.from_pylist([row], schema=_arrow_model())
 
@@ -261,11 +262,12 @@ def train(documents: DataFrame, owners: int) -> tuple[Tree, DataFrame]:
         level = materialize(counted.groupBy("owner").cogroup(model.select("owner", "depth", "keys", "counts").groupBy("owner")).applyInArrow(_merger(tree, depth, P_LOCAL * tree.n if depth else 0), _MODEL))
         if not depth:
             tree.n, tree.v = level.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-            tree.symbols = _frequent_symbols(level, max(P_LOCAL * tree.n, LEAST_COUNT))
-            often = tree.symbols.counts >= P_MIN * tree.n
+            often = _frequent_symbols(level, LEAST_COUNT)
+            hot = often.counts >= P_LOCAL * tree.n
+            tree.symbols = Table(often.keys[hot], often.counts[hot])
             begins = documents.count()
-            keep = often & (tree.symbols.keys != END)
-            tree.contexts.append(Table.of([*tree.symbols.keys[keep].view(np.int64).tolist(), int(BEGIN.view(np.int64))], [*tree.symbols.counts[keep].tolist(), begins]))
+            keep = often.keys != END
+            tree.contexts.append(Table.of(np.append(often.keys[keep], BEGIN).view(np.int64), np.append(often.counts[keep], begins)))
             tree.parents.append(np.full(len(tree.contexts[0].keys), -1))
             tree.once.append(np.zeros(len(tree.contexts[0].keys), np.int64))
         else:
@@ -275,7 +277,7 @@ def train(documents: DataFrame, owners: int) -> tuple[Tree, DataFrame]:
 
 
 def _frequent_symbols(level: DataFrame, least: float) -> Table:
-    """Symbols of at least ``least`` occurrences: at most 1 / P_LOCAL, hence of bounded size."""
+    """Symbols of at least ``least`` occurrences."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,35 +287,40 @@ def _frequent_symbols(level: DataFrame, least: float) -> Table:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_py(), np.int64)[on]), pa.array(n[on])], names=["k", "n"])
 
     found = level.select("keys", "counts").mapInArrow(pick, "k long, n long").toArrow()
-    return Table.of(found.column("k").to_pylist(), found.column("n").to_pylist())
+    return Table.of(found.column("k").to_numpy(), found.column("n").to_numpy())
 
 
 def _keep_divergent(tree: Tree, level: DataFrame, depth: int) -> None:
     """Sum the owners' parts; keep the divergent contexts of ``depth``, and name the candidates of the next."""
     size = len(tree.contexts[depth - 1].keys)
     gain, once = np.zeros(size), np.zeros(size, np.int64)
-    often: list[tuple[np.ndarray, ...]] = []
-    for r in level.select("context", "gain", "once", "frequent_keys", "frequent_counts", "frequent_context", "frequent_x").toLocalIterator():
+    for r in level.select("context", "gain", "once").toLocalIterator():
         c = _unzip(bytes(r["context"]), np.int32)
         gain[c] += _unzip(bytes(r["gain"]), np.float64)
         once[c] += _unzip(bytes(r["once"]), np.int64)
-        often.append(tuple(np.frombuffer(bytes(r[n]), t) for n, t in (("frequent_keys", np.uint64), ("frequent_counts", np.int64), ("frequent_context", np.int32), ("frequent_x", np.uint64))))
-    keys, counts, context, x = (np.concatenate(c) for c in zip(*often, strict=True)) if often else (np.empty(0, t) for t in (np.uint64, np.int64, np.int32, np.uint64))
-    order = np.argsort(keys)
-    tree.pairs.append(Table(keys[order], counts[order]))
     total = tree.contexts[depth - 1].counts
     tree.once[depth - 1] = once
     kept = (gain + once * np.log((KAPPA + once) / np.maximum(total - 1 + KAPPA, 1e-9))) / np.maximum(total, 1) >= LEAST_GAIN
+    hot: list[tuple[np.ndarray, ...]] = []
+    longer: list[tuple[np.ndarray, ...]] = []
+    for r in level.select("frequent_keys", "frequent_counts", "frequent_context", "frequent_x").toLocalIterator():
+        keys, counts, context, x = (np.frombuffer(bytes(r[n]), t) for n, t in (("frequent_keys", np.uint64), ("frequent_counts", np.int64), ("frequent_context", np.int32), ("frequent_x", np.uint64)))
+        on = counts >= P_LOCAL * tree.n
+        hot.append((keys[on], counts[on]))
+        if depth < DEPTH:
+            # Candidates a level deeper: frequent pairs whose last word is a kept context itself (the tree is closed under suffixes).
+            last = tree.contexts[0].index(x)
+            on = (last >= 0) & (x != END)
+            on[on] = kept[last[on]]
+            longer.append((_key(tree.contexts[0].keys[context[on]], x[on]), counts[on], last[on]))
+    keys, counts = (np.concatenate(c) for c in zip(*hot, strict=True)) if hot else (np.empty(0, t) for t in (np.uint64, np.int64))
+    order = np.argsort(keys)
+    tree.pairs.append(Table(keys[order], counts[order]))
     if depth < DEPTH:
-        # Candidates a level deeper: frequent pairs whose last word is a kept context itself (the tree is closed under suffixes).
-        last = tree.contexts[0].index(x)
-        on = (counts >= max(P_MIN * tree.n, LEAST_COUNT)) & (last >= 0) & (x != END)
-        on[on] = kept[last[on]]
-        words = tree.contexts[0].keys
-        deeper = _key(words[context[on]], x[on])
+        deeper, counts, last = (np.concatenate(c) for c in zip(*longer, strict=True)) if longer else (np.empty(0, t) for t in (np.uint64, np.int64, np.int64))
         order = np.argsort(deeper)
-        tree.contexts.append(Table(deeper[order], counts[on][order]))
-        tree.parents.append(last[on][order])
+        tree.contexts.append(Table(deeper[order], counts[order]))
+        tree.parents.append(last[order])
         tree.once.append(np.zeros(len(deeper), np.int64))
     tree.kept.append(kept)
 
