@@ -2,8 +2,9 @@
 
 Five transducers read the words of a clause: insults, threats, targets, negations and reported speech. Their
 composition is one automaton whose state says what is in force (a negation or a report is, for a few
-words; a target has been named); an insult or threat that it reads is paid out at its weight, changed
-by what is in force. A clause scores what its patterns pay, and a document is judged by its clauses:
+words; a target has been named) and what waits for a target; an insult or threat is paid out at its
+weight, changed by what is in force where it stands, and as aimed when its clause names a target
+before or after it. A clause scores what its patterns pay, and a document is judged by its clauses:
 their sum per length, the strongest one, and how many match.
 
 The lexicon of insults is a seed list and terms learned from labelled documents: whole words, and beginnings
@@ -40,8 +41,10 @@ REPORTS = ("said", "says", "say", "wrote", "called", "quoted", "claims", "report
 #: Words for which a negation or a report stays in force, and what an insult is then worth.
 NEGATION_REACH, NEGATED = 3, 0.3
 REPORT_REACH, REPORTED = 6, 0.7
-#: What an insult is worth once its clause has named a target; a threat counts without one for little.
+#: What an insult is worth when its clause names a target; a threat counts without one for little.
 TARGETED, UNAIMED_THREAT = 1.25, 0.15
+#: What a threat before its target is worth of one after it ("kill you" is to pay less than "you I will kill").
+TARGET_FOLLOWS = 0.95
 #: Bounds: learned terms, and labelled rows for the calibration.
 LEXICON_TERMS = 2000
 FIT_ROWS = 20_000
@@ -91,17 +94,27 @@ class ClauseAutomaton:
         """What the patterns of one clause pay, and how many matched; arcs are (place, symbol, weight)."""
         paid, matched, negated, reported, target = 0.0, 0, -1, -1, False
         threats = 0
+        waiting_insults = waiting_threats = 0.0  # worth of what has been read without a target
+        unaimed = 0
         for place, symbol, weight in arcs:
             if symbol == "insult":
-                worth = weight * (TARGETED if target else 1.0)
-                worth *= NEGATED if place <= negated else 1.0
-                worth *= REPORTED if place <= reported else 1.0
-                paid, matched = paid + worth, matched + 1
+                worth = weight * (NEGATED if place <= negated else 1.0) * (REPORTED if place <= reported else 1.0)
+                paid, matched = paid + worth * (TARGETED if target else 1.0), matched + 1
+                if not target:
+                    waiting_insults += worth
             elif symbol == "threat":
                 threats += 1
-                if target and place > negated:
-                    paid, matched = paid + weight, matched + 1
+                if place > negated:
+                    worth = weight * (REPORTED if place <= reported else 1.0)
+                    if target:
+                        paid, matched = paid + worth, matched + 1
+                    else:
+                        waiting_threats += worth
+                        unaimed += 1
             elif symbol == "target":
+                if not target:
+                    paid += waiting_insults * (TARGETED - 1.0) + waiting_threats * TARGET_FOLLOWS
+                    matched += unaimed
                 target = True
             elif symbol == "negation":
                 negated = place + NEGATION_REACH
