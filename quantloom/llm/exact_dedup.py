@@ -7,7 +7,7 @@ more than once. Only these suspects' texts are shuffled, grouped by their bytes
 Defined results: a null text counts as empty; texts are equal when they are identical once the
 white space of ``[\\x20\\x09-\\x0D]`` is deleted; in a group the row with most code points in
 its original text stays, then the smallest doc_id (null ids last). Repeated rows with one doc_id
-share its fate. Tables may be empty and may carry any further columns, which are not read.
+share its fate here, while ``drop_exact_copies`` leaves one row of a group. Tables may be empty and may carry any further columns, which are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.frames import materialize, owner_count
+from quantloom.llm.frames import materialize, one_row_each, owner_count
 from quantloom.llm.golomb import decode, encode
 
 #: Bits of a fingerprint; false suspects are sorted out by their bytes.
@@ -149,6 +149,5 @@ def exact_groups(documents: DataFrame, owners: int | None = None, chunk_rows: in
 
 
 def drop_exact_copies(documents: DataFrame, owners: int | None = None) -> DataFrame:
-    """The rows of ``documents`` that stay, with their columns as they were."""
-    gone = exact_groups(documents, owners).where("not kept").select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct()
-    return documents.join(gone, documents["doc_id"].eqNullSafe(F.col("__gone_id")) & (F.xxhash64(documents["text"]) == F.col("__gone_key")), "left_anti")
+    """One row of each group of ``documents``, with their columns as they were; of rows with one id the longest original stays."""
+    return one_row_each(documents, materialize(exact_groups(documents, owners).select("doc_id", "text_key", "kept", F.col("text_sha256").alias("grp"))))

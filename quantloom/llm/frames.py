@@ -69,3 +69,22 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         end = min(max(end, begin + 1), batch.num_rows)
         yield batch.slice(begin, end - begin)
         begin = end
+
+
+def one_row_each(documents: DataFrame, groups: DataFrame) -> DataFrame:
+    """One of the ``kept`` rows of each group, with the columns of ``documents``.
+
+    ``groups`` holds doc_id, text_key (xxhash64 of the text), kept and grp; rows whose grp is null are
+    groups of their own. Where several rows of a group are kept (repeated rows, one id for
+    several texts, ids that are all null) the longest text stays, then the least text key and row hash.
+    """
+    same = documents["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(documents["text"]) == F.col("__key"))
+    named = groups.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "kept", F.col("grp").alias("__grp"))
+    crowded = named.where("kept and __grp is not null").groupBy("__grp").agg(F.count("*").alias("n")).where("n > 1").select("__grp")
+    several = named.where("kept").join(crowded, "__grp").select("__id", "__key", "__grp").distinct()
+    apart = named.where("not kept").select("__id", "__key").unionByName(several.select("__id", "__key")).distinct()
+    hashed = [c for c, kind in documents.dtypes if "map<" not in kind and kind != "variant"]
+    order = F.struct(-F.length(F.coalesce(documents["text"], F.lit(""))), "__key", F.xxhash64(*(documents[c] for c in hashed)))
+    row = F.struct(*(documents[c] for c in documents.columns))
+    chosen = documents.join(several, same).groupBy("__grp").agg(F.min_by(row, order).alias("row")).select("row.*")
+    return documents.join(apart, same, "left_anti").unionByName(chosen)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quantloom.llm.components import connected_components
-from quantloom.llm.frames import materialize, slices, text_bytes
+from quantloom.llm.frames import materialize, one_row_each, slices, text_bytes
 from quantloom.llm.words import LOWER, SPACE, hash_words, mix, roll, runs_in_rows
 
 SHINGLE = 5
@@ -175,7 +175,7 @@ def _rare_buckets(texts: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id and kept of every row of ``documents`` (doc_id, text)."""
+    """doc_id, text_key, n_shingles, component_id, component (null for an empty set) and kept of every row of ``documents`` (doc_id, text)."""
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     signed = materialize(docs.mapInArrow(_sign, _SIGNED))
     own = [f"u{i}" for i in range(COLLECTIONS)]
@@ -245,13 +245,12 @@ def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     whole = classes.groupBy("cls").agg(F.min("least_id").alias("least_id")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = whole.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = whole.join(least, "root").select("cls", "component_id")
-    linked = signed.where("n_shingles > 0").join(named, "cls").select("doc_id", "text_key", "n_shingles", "component_id")
-    empty = signed.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = whole.join(least, "root").select("cls", "component_id", F.col("root").alias("component"))
+    linked = signed.where("n_shingles > 0").join(named, "cls").select("doc_id", "text_key", "n_shingles", "component_id", "component")
+    empty = signed.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
     return linked.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``documents`` that represent their component, with their columns as they were."""
-    gone = near_groups(documents, percent).where("not kept").select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct()
-    return documents.join(gone, documents["doc_id"].eqNullSafe(F.col("__gone_id")) & (F.xxhash64(documents["text"]) == F.col("__gone_key")), "left_anti")
+    """One row of each component of ``documents`` (and every empty set), with their columns as they were."""
+    return one_row_each(documents, materialize(near_groups(documents, percent).select("doc_id", "text_key", "kept", F.col("component").alias("grp"))))
