@@ -751,6 +751,6 @@ def cvar_book(spark, d):
 
 @query()
 def mined_factors(spark, d):
-    from quantloom.plans.miner import Evolution, mine
+    from quantloom.plans.miner import mine
 
-    return spark.createDataFrame(mine(market.bars(spark, d), Evolution(population=12, generations=2, max_depth=3, horizon=1, hall=5)), "expression string, fitness double, mean_ic double, n_evaluated long")
+    return spark.createDataFrame(mine(market.bars(spark, d)), "expression string, fitness double, mean_ic double, n_evaluated long")
