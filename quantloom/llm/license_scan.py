@@ -150,29 +150,43 @@ class Scanner:
         return found
 
     def spans(self, words: list[int]) -> list[tuple[int, int, int, float]]:
-        """(template, first word, end, covered share) of the best chain of each template."""
+        """(template, first word, end, covered share) of the best chain of each template, and of all others that cover enough and don't overlap a better one."""
         places: dict[int, list[tuple[int, int, int]]] = {}
         for start, long, state in self.runs(words):
             for t, end in self.automaton.where[state]:
                 places.setdefault(t, []).append((start, end - long + 1, long))
         out = []
         for t, own in places.items():
-            own.sort()
-            chains: list[tuple[int, int, int, int]] = []  # covered, first word, end here, end in the template
-            reach = MOST_GAP + self.sizes[t]
-            for start, at, long in own:
-                best = (long, start, start + long, at + long)
-                for k in range(len(chains) - 1, -1, -1):
-                    if own[k][0] < start - reach:  # runs further back end beyond any gap
-                        break
-                    covered, first, end, stop = chains[k]
-                    shift = max(0, end - start, stop - at)
-                    if start + shift - end <= MOST_GAP and at + shift - stop <= MOST_GAP and shift < long:
-                        best = max(best, (covered + long - shift, first, start + long, at + long))
-                chains.append(best)
-            covered, first, end, _ = max(chains)
-            out.append((t, first, end, covered / self.sizes[t]))
-        return out
+            while own:
+                covered, first, end = self.best_chain(t, own)
+                out.append((t, first, end, covered / self.sizes[t]))
+                if covered < LEAST_COVER * self.sizes[t]:
+                    break
+                # What the runs hold on both sides of the chain.
+                own = [(s, at, min(long, first - s)) for s, at, long in own if s < first] + [(max(s, end), at + max(0, end - s), s + long - max(s, end)) for s, at, long in own if s + long > end]
+                if sum(long for _, _, long in own) < LEAST_COVER * self.sizes[t]:
+                    break
+        # The best of each template comes first; a later one is listed only if it covers enough.
+        best: dict[int, int] = {}
+        return [x for x in out if best.setdefault(x[0], x[1]) == x[1] or x[3] >= LEAST_COVER]
+
+    def best_chain(self, t: int, own: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+        """Covered words, first word and end of the best chain of runs (place, place in template ``t``, length)."""
+        own.sort()
+        chains: list[tuple[int, int, int, int]] = []  # covered, first word, end here, end in the template
+        reach = MOST_GAP + self.sizes[t]
+        for start, at, long in own:
+            best = (long, start, start + long, at + long)
+            for k in range(len(chains) - 1, -1, -1):
+                if own[k][0] < start - reach:  # runs further back end beyond any gap
+                    break
+                covered, first, end, stop = chains[k]
+                shift = max(0, end - start, stop - at)
+                if start + shift - end <= MOST_GAP and at + shift - stop <= MOST_GAP and shift < long:
+                    best = max(best, (covered + long - shift, first, start + long, at + long))
+            chains.append(best)
+        covered, first, end, _ = max(chains)
+        return covered, first, end
 
 
 def _scan(with_spans: bool):
