@@ -9,8 +9,8 @@ Identical vectors are one entry with their smallest ids (as many as a result can
 that very many rows share costs no more than another. Entries are dealt to groups of about
 ``GROUP_ENTRIES``, large cells over several groups; a group keeps only each query's best.
 
-Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part,
-nor do vectors of another length than most have; ties go to the smaller vec_id; fewer candidates
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part;
+every length of vectors has its own index; ties go to the smaller vec_id; fewer candidates
 than asked for give fewer rows; an empty table gives none. Rows that repeat an id are one. Further
 columns are not read.
 """
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -121,19 +122,24 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 5, share: float
     spark = embeddings.sparkSession
     sound = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
     rows = embeddings.where("vec_id is not null").where(sound).select("vec_id", "embedding", F.xxhash64("embedding").alias("h"))
-    sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], out)
-    width = sizes[0][0]
-    rows = rows.where(F.size("embedding") == width)
+    asking = queries.where("vec_id is not null").where(sound)
+    # A query is answered among the vectors of its length; each length has its own index.
+    widths = sorted(r[0] for r in asking.select(F.size("embedding")).distinct().collect())
+    found = [_nearest_of(rows.where(F.size("embedding") == w), asking.where(F.size("embedding") == w), w, k, share, group_entries, sample) for w in widths]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest_of(rows: DataFrame, queries: DataFrame, width: int, k: int, share: float, group_entries: int, sample: int) -> DataFrame:
+    """``nearest`` over sound vectors of one length."""
     thin = rows.mapInArrow(_thin(k + 1), rows.schema)
     entries = materialize(
         thin.groupBy("h", "embedding").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids")).select("h", "embedding", "ids", F.col("ids")[0].alias("entry"))
     )
     total = entries.count()
     asked = materialize(
-        queries.where("vec_id is not null").where(sound).where(F.size("embedding") == width).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.xxhash64("embedding").alias("h"))
+        queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.xxhash64("embedding").alias("h"))
         .distinct().join(entries.select("h", "embedding", "entry"), "h").where("q = embedding").select("query_id", "entry")
     )
     searched = entries.join(asked.select("entry").distinct(), "entry", "left_semi").select("entry", "embedding")
