@@ -713,6 +713,7 @@ def backtest_report(spark, d):
     scores = three_signals(bars).where("signal = 'momentum_3'")
     found = run_backtest(scores, bars, n_trials=3, others=three_signals(bars).where("signal <> 'momentum_3'"), sectors=market.sectors(spark, d))
     keep = {k: float(v) for k, v in found.items() if isinstance(v, int | float) and not isinstance(v, bool)} | {f"regime_{k}": v for k, v in found["regimes"].items()}
+    keep |= {"passed": float(found["passed"])} | {f"failed: {why}": 1.0 for why in found["reasons"]}
     return spark.createDataFrame(sorted(keep.items()), "statistic string, amount double")
 
 
