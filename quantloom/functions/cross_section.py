@@ -26,6 +26,13 @@ def zscore(x: str, by: By) -> Column:
     return F.when(flat, 0.0).otherwise((F.col(x) - F.avg(x).over(w)) / F.nullif(F.stddev_pop(x).over(w), F.lit(0.0)))
 
 
+def with_zscore(df: DataFrame, x: str, name: str) -> DataFrame:
+    """``df`` with the z-score of ``x`` over all its rows, from one aggregate row instead of a window in one task."""
+    whole = df.agg(F.count(x).alias("__n"), F.min(x).alias("__low"), F.max(x).alias("__high"), F.avg(x).alias("__mean"), F.stddev_pop(x).alias("__dev"))
+    z = F.when((F.col("__n") < 2) | (F.col("__low") == F.col("__high")), 0.0).otherwise((F.col(x) - F.col("__mean")) / F.nullif(F.col("__dev"), F.lit(0.0)))
+    return df.crossJoin(F.broadcast(whole)).withColumn(name, z).drop("__n", "__low", "__high", "__mean", "__dev")
+
+
 def average_rank(x: str, by: By) -> Column:
     """1-based ranks; ties share their mean rank."""
     by = _cols(by)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantloom.functions.cross_section import demeaned, rank01, rank_correlation, zscore
+from quantloom.functions.cross_section import demeaned, rank01, rank_correlation, with_zscore, zscore
 
 #: The day a record became known, per kind of record.
 KNOWN_ON = {"prices": "date", "estimates": "estimate_date", "fundamentals": "report_date", "ownership": "as_of_date"}
@@ -223,7 +223,7 @@ def trailing_vol(bars: DataFrame, cutoff: dt.date | str, lookback: int = 63) ->
 def tilt(scores: DataFrame, vols: DataFrame, floor: float = 1e-4) -> DataFrame:
     """ticker, weight: the day's z-score over volatility; missing or zero volatility takes the median of the positive ones."""
     middle = vols.where("vol > 0").agg(F.coalesce(F.median("vol"), F.lit(floor)).alias("middle"))
-    z = scores.withColumn("one", F.lit(1)).withColumn("z", zscore("raw_score", "one"))
+    z = with_zscore(scores, "raw_score", "z")
     vol = F.greatest(F.coalesce(F.when(F.col("vol") != 0, F.col("vol")), F.col("middle")), F.lit(floor))
     return z.join(vols, "ticker", "left").crossJoin(middle).select("ticker", (F.col("z") / vol).alias("weight"))
 

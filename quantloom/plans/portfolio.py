@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.cross_section import zscore
+from quantloom.functions.cross_section import with_zscore
 from quantloom.operators import core
 from quantloom.plans.lp import mean_cvar
 
@@ -32,7 +32,8 @@ def _facts(book: DataFrame, bars: DataFrame, day: dt.date | str, previous: DataF
 def cvar_portfolio(scores: DataFrame, bars: DataFrame, day: dt.date | str, previous: DataFrame | None = None, lookback: int = 63, beta: float = 0.95, risk_aversion: float = 1.0, **limits) -> tuple[DataFrame, dict]:
     """The book of least CVaR less rewarded return. One matrix of ``lookback`` days by the day's names is solved on the driver."""
     spark = scores.sparkSession
-    today = scores.where(F.col("date") == F.lit(day).cast("date")).withColumn("one", F.lit(1)).select("ticker", zscore("raw_score", "one").alias("z"))
+    today = scores.where(F.col("date") == F.lit(day).cast("date"))
+    today = with_zscore(today, "raw_score", "z").select("ticker", "z")
     names = {r["ticker"]: r["z"] for r in today.orderBy("ticker").collect()}
     if not names:
         raise ValueError(f"no combined scores on {day}")
