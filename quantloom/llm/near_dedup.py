@@ -5,17 +5,18 @@ A document is its set of five-word shingles. ``COLLECTIONS`` small hash collecti
 COLLECTIONS * (COLLECTIONS - 1) / 2 tables whose keys hold 2 * ROWS minhashes. Candidates are
 verified on their full shingle sets, and verified links are merged into components.
 
-Identical sets form one class and are searched once. Buckets (equal keys) aren't expanded into pairs:
-each class is compared with a few leaders of its bucket, and links are merged into components. Buckets that still mix components hold either unrelated texts
-with long common passages, or missed links. Their classes get an exact prefix filter: links must
-share a shingle among the rarest of both sets, so that common passages no longer bring texts
-together. In the few buckets of rare shingles that remain mixed, leaders are taken from every
-component until all pairs that could be links have been settled.
+Identical sets form one class and are searched once. Buckets (equal keys) aren't expanded into pairs.
+First every class is compared with three leaders of its bucket, and links are merged into components. A
+bucket that still mixes components is settled exactly: what lies outside its largest component meets
+all its classes in cells of bounded size, in which common shingles are counted for all pairs at once; a
+cell returns no more than a spanning forest of the links between components. So every candidate
+pair of different components is decided on full sets, whatever its bucket's size, and none is written out.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; a shorter text
 than five words is one shingle; repeated rows are one class; null ids come last in "smallest
 doc_id". Sets hold 51-bit shingle hashes. A true link at the threshold is missed with
-probability under 0.001 (no collection pair agrees), links of higher similarity far less often.
+probability under 0.001 (no two collections agree), links of higher similarity far less often. Empty
+tables give no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quantloom.llm.components import connected_components
 from quantloom.llm.frames import materialize, one_row_each, slices, text_bytes
@@ -37,16 +37,15 @@ SHINGLE = 5
 PERCENT = 75
 COLLECTIONS = 12
 ROWS = 2
-#: Of all minhashes, so many at least agree in a pair that is worth verifying; at the threshold
-#: three quarters do, and fewer than this do with a probability of about 1e-5.
-AGREE = 9
+#: Classes of a cell's side, and their shingles, about. They bound a task's memory; larger buckets have more cells.
+CELL_CLASSES = 1024
+CELL_SHINGLES = 2_000_000
 
 _PRIME = np.random.default_rng(77).integers(1, 2**62, COLLECTIONS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = np.random.default_rng(78).integers(1, 2**63, COLLECTIONS * ROWS, dtype=np.uint64)
-#: What picks a bucket's leaders: the least class ids under these masks.
-STARS = (0, 2**63 - 1, 0x2545F4914F6CDD1D)
+#: A bucket's leaders are its least and greatest class ids, and the least one under this mask.
+MASK = 0x2545F4914F6CDD1D
 _ROW_BITS = 13
-_SKETCH_BYTES = 6
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -81,12 +80,7 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield piece.slice(begin, 1 << _ROW_BITS)
 
 
-_SIGNED = (
-    "doc_id long, text_key long, n_shingles long, cls long, check long, "
-    + ", ".join(f"u{i} long" for i in range(COLLECTIONS))
-    + ", "
-    + ", ".join(f"k{i} long" for i in range(COLLECTIONS * ROWS // _SKETCH_BYTES))
-)
+_SIGNED = "doc_id long, text_key long, n_shingles long, cls long, check long, " + ", ".join(f"u{i} long" for i in range(COLLECTIONS))
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,21 +103,30 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for j in range(1, ROWS):
                     value = mix(value) + least[i * ROWS + j]
                 out[2 + i, full] = mix(value)
-            byte = mix(least) & np.uint64(255)
-            for i in range(len(_PRIME)):
-                out[2 + COLLECTIONS + i // _SKETCH_BYTES, full] |= byte[i] << np.uint64(8 * (i % _SKETCH_BYTES))
         yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_key"), pa.array(size, pa.int64()), *(pa.array(x.view(np.int64)) for x in out)], names=names)
 
 
+def _class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sorted shingle sets of classes' texts, as packed 64-bit integers."""
+    for piece in _rows_of(batches):
+        sets, bounds = shingle_sets(*text_bytes(piece.column("text")))
+        packed = [sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([piece.column("cls"), pa.array(packed, pa.binary())], names=["cls", "shingles"])
+
+
+def _set(packed: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(packed.as_buffer(), np.uint64)
+
+
 def _linked(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
         for batch in batches:
             keep = []
-            for a, one, two in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
+            for a, one, two in zip(batch.column("a").to_pylist(), batch.column("set_a"), batch.column("set_b"), strict=True):
                 if a != last:
-                    last, left = a, _set_of(one.as_py())
-                right = _set_of(two.as_py())
+                    last, left = a, _set(one)
+                right = _set(two)
                 common = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(100 * common >= percent * (len(left) + len(right) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -131,119 +134,160 @@ def _linked(percent: int):
     return verify
 
 
-def _set_of(text: str | None) -> np.ndarray:
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    return shingle_sets(raw, np.array([0, len(raw)]))[0]
+def common_shingles(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """How many shingles each of the sets ``rows`` has in common with each other set of ``columns`` (not with itself).
 
+    A shingle of few pairs adds one to each of them; those of many pairs are multiplied as 0/1 matrices.
+    """
+    size = np.array([len(x) for x in sets])
+    _, item, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    shared = count[item] > 1
+    item, owner = item[shared], owner[shared]
+    place = np.full((2, len(sets)), -1)
+    place[0, rows], place[1, columns] = np.arange(len(rows)), np.arange(len(columns))
+    n = len(count)
+    degree = [np.bincount(item[place[i, owner] >= 0], minlength=n) for i in (0, 1)]
+    product = degree[0] * degree[1]
+    out = np.zeros(len(rows) * len(columns), np.int64)
+    few = (product > 0) & (product < out.size / 128)
+    sides = []
+    for i in (0, 1):
+        on = (place[i, owner] >= 0) & few[item]
+        order = np.argsort(item[on], kind="stable")
+        sides.append((place[i, owner[on]][order], np.append(0, np.cumsum(np.bincount(item[on], minlength=n)))))
+    wanted = np.flatnonzero(few)
+    begin = 0
+    while begin < len(wanted):  # so many pairs at a time
+        end = begin + max(1, int(np.searchsorted(np.cumsum(product[wanted[begin:]]), 4_000_000, side="right")))
+        own = wanted[begin:end]
+        total = product[own]
+        head = np.repeat(np.cumsum(total) - total, total)
+        k = np.arange(int(total.sum())) - head
+        which = np.repeat(own, total)
+        i, j = np.divmod(k, degree[1][which])
+        out += np.bincount(sides[0][0][sides[0][1][which] + i] * len(columns) + sides[1][0][sides[1][1][which] + j], minlength=out.size)
+        begin = end
+    out = out.reshape(len(rows), len(columns))
+    many = np.flatnonzero(product >= out.size / 128) if out.size else []
+    for begin in range(0, len(many), 2048):
+        number = np.full(n, -1)
+        number[many[begin : begin + 2048]] = np.arange(len(many[begin : begin + 2048]))
+        matrices = []
+        for i, length in ((0, len(rows)), (1, len(columns))):
+            on = (place[i, owner] >= 0) & (number[item] >= 0)
+            m = np.zeros((length, min(2048, len(many) - begin)), np.float32)
+            m[place[i, owner[on]], number[item[on]]] = 1
+            matrices.append(m)
+        out += (matrices[0] @ matrices[1].T).astype(np.int64)
+    return out
+
+
+def forest(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links ``a`` to ``b`` (numbers into ``root``), so many that join the same components, as pairs of roots."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    out = []
+    for x, y in zip(root[a].tolist(), root[b].tolist(), strict=True):
+        s, t = top(x), top(y)
+        if s != t:
+            up[max(s, t)] = min(s, t)
+            out.append((x, y))
+    return out
+
+
+def _settle(percent: int):
+    """Cells (sorted by ``cell``) -> links between their components, as pairs of roots."""
+
+    def links(root: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        rows, columns = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        if not len(rows) or not len(columns):
+            return []
+        size = np.array([len(x) for x in sets])
+        common = common_shingles(sets, rows, columns)
+        near = 100 * common >= percent * (size[rows][:, None] + size[columns] - common)
+        a, b = np.nonzero(near & (root[rows][:, None] != root[columns]))
+        return forest(root, rows[a], columns[b])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, root, side, sets = None, [], [], []
+        for batch in batches:
+            out = []
+            columns = (batch.column("cell").to_pylist(), batch.column("root").to_pylist(), batch.column("side").to_pylist(), batch.column("shingles"))
+            for own, r, s, packed in zip(*columns, strict=True):
+                if own != cell:
+                    out += links(np.array(root, np.int64), np.array(side), sets) if root else []
+                    cell, root, side, sets = own, [], [], []
+                root.append(r), side.append(s), sets.append(_set(packed))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        out = links(np.array(root, np.int64), np.array(side), sets) if root else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-def _agreeing(words: int) -> str:
-    """SQL: how many of the sketches' bytes agree (x and y are their packed longs)."""
-    low, one = int.from_bytes(b"\x7f" * _SKETCH_BYTES, "big"), int.from_bytes(b"\x80" * _SKETCH_BYTES, "big")
-    return " + ".join(f"bit_count(~(((x.k{i} ^ y.k{i}) & {low}L) + {low}L | (x.k{i} ^ y.k{i})) & {one}L)" for i in range(words))
-
+    return settle
 
-def _mixed(state: DataFrame) -> DataFrame:
-    """The rows (key, cls, root) of buckets that hold more than one component."""
-    mixed = state.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return state.join(mixed, "key", "left_semi")
 
+def _cells(mixed: DataFrame, cell_classes: int, cell_shingles: int) -> DataFrame:
+    """The rows (key, cls, n, root) of buckets that hold several components, dealt to cells: cell, cls, root, side.
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in _rows_of(batches):
-        sets, bounds = shingle_sets(*text_bytes(piece.column("text")))
-        size = np.diff(bounds)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(piece.column("cls").to_numpy(), size)), pa.array(np.repeat(size, size)), pa.array(sets.view(np.int64))], names=["cls", "n", "key"])
-
+    A bucket's cells are a grid: classes outside its largest component are dealt to its rows (side 0), all classes to
+    its columns (side 1; side 2 is both), so that each of the former meets each of the latter in one cell.
+    """
+    by_root = mixed.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    grid = (
+        by_root.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.max_by("s", F.struct("m", "root")).alias("main_s"), F.max("m").alias("main_m"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count("*").alias("parts"))
+        .where("parts > 1")
+        .select("key", "main", *(F.expr(f"greatest(ceil(({m}) / {cell_classes}), ceil(({s}) / {cell_shingles}))").alias(n) for n, m, s in (("height", "m - main_m", "s - main_s"), ("width", "m", "s"))))
+    )
+    own = mixed.join(grid, "key").withColumns({"i": F.expr("pmod(xxhash64(cls, 1), height)"), "j": F.expr("pmod(xxhash64(cls, 2), width)"), "small": F.expr("root <> main")})
+    columns = "transform(sequence(0L, height - 1), x -> struct(x AS i, j, if(small and x = i, 2, 1) AS side))"
+    rows = "if(small, transform(filter(sequence(0L, width - 1), x -> x <> j), x -> struct(i, x AS j, 0 AS side)), array())"
+    dealt = own.select("key", "cls", "root", F.explode(F.expr(f"concat({columns}, {rows})")).alias("at"))
+    return dealt.select(F.xxhash64("key", "at.i", "at.j").alias("cell"), "cls", "root", F.col("at.side").alias("side"))
 
-def _rare_buckets(texts: DataFrame, percent: int) -> DataFrame:
-    """The exact prefix filter over the sets of ``texts`` (cls, text): key (a shingle), cls, n, short.
 
-    Shingles are ordered by how many of the sets have them. Two sets that reach the threshold share
-    a shingle among the first n - ceil(p n) + 1 of the larger one and the first
-    n - ceil(2 p n / (1 + p)) + 1 of the smaller one (``short``).
-    """
-    rows = texts.mapInArrow(_shingle_rows, "cls long, n long, key long")
-    shared = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    common = rows.join(shared, "key")
-    own = W.partitionBy("cls")
-    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "key"))
-    limit = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
-    short = F.expr(f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")
-    early = common.withColumn("place", place).where(F.col("place") <= limit).select("key", "cls", "n", (F.col("place") <= short).alias("short"))
-    useful = early.groupBy("key").agg(F.count("*").alias("m"), F.max("short").alias("any")).where("m > 1 and any").select("key")
-    return early.join(useful, "key", "left_semi")
-
-
-def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_groups(documents: DataFrame, percent: int = PERCENT, cell_classes: int = CELL_CLASSES, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, component (null for an empty set) and kept of every row of ``documents`` (doc_id, text)."""
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     signed = materialize(docs.mapInArrow(_sign, _SIGNED))
     own = [f"u{i}" for i in range(COLLECTIONS)]
-    sketch = [f"k{i}" for i in range(COLLECTIONS * ROWS // _SKETCH_BYTES)]
+    at = F.min(F.struct("doc_id", "text_key"))
     classes = materialize(
-        signed.where("n_shingles > 0").groupBy("cls", "check", "n_shingles")
-        .agg(F.min("doc_id").alias("least_id"), *(F.min(c).alias(c) for c in own + sketch), F.count("*").alias("n"))
-    )
-    keys = classes.select("cls", F.explode(F.array(*(F.xxhash64(F.lit(t), a, b) for t, (a, b) in enumerate(combinations(own, 2))))).alias("key"))
-    leaders = keys.groupBy("key").agg(F.count("*").alias("n"), *(F.min(F.col("cls").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(STARS))).where("n > 1")
-    stars = F.array(*(F.col(f"m{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(STARS)))
-    members = materialize(keys.join(leaders.select("key", stars.alias("leaders")), "key").select("key", "cls", "leaders"))
-
-    facts = classes.select("cls", "n_shingles", *sketch)
-    fit = f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles) AND {_agreeing(len(sketch))} >= {AGREE}"
-
-    def promising(pairs: DataFrame) -> DataFrame:
-        return (
-            pairs.alias("p").join(facts.alias("x"), F.expr("p.a = x.cls")).join(facts.alias("y"), F.expr("p.b = y.cls"))
-            .where(fit).select("a", "b")
-        )
-
-    starred = members.select("cls", F.explode("leaders").alias("leader")).where("cls <> leader").select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
-    first = materialize(promising(starred.distinct()))
-    place = (
-        signed.join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("at"))
-        .select("cls", F.col("at.doc_id").alias("p_id"), F.col("at.text_key").alias("p_key"))
-    )
-    texts = materialize(
-        docs.join(place, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key"))).select("cls", "text").dropDuplicates(["cls"])
+        signed.where("n_shingles > 0").groupBy("cls", "check", "n_shingles").agg(F.min("doc_id").alias("least_id"), at.alias("at"), *(F.min(c).alias(c) for c in own))
     )
+    tables = F.array(*(F.xxhash64(F.lit(t), a, b) for t, (a, b) in enumerate(combinations(own, 2))))
+    keys = classes.select("cls", F.col("n_shingles").alias("n"), F.explode(tables).alias("key"))
+    masked = F.struct(F.col("cls").bitwiseXOR(F.lit(MASK)), "cls", "n")
+    leaders = (
+        keys.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("cls", "n")).alias("x"), F.max(F.struct("cls", "n")).alias("y"), F.min(masked).alias("z")).where("m > 1")
+        .select("key", "m", F.array_distinct(F.array("x", "y", F.struct("z.cls", "z.n"))).alias("leaders"))
+    )
+    members = materialize(keys.join(leaders, "key").select("key", "cls", "n", "leaders", (F.col("m") > F.size("leaders") + 1).alias("open")))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        return materialize(
-            pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-            .select("a", "b", "text_a", "text_b").mapInArrow(_linked(percent), "a long, b long")
-        )
-
-    def rooted(bucketed: DataFrame) -> DataFrame:
-        return bucketed.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    chosen = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("at.doc_id").alias("p_id"), F.col("at.text_key").alias("p_key"))
+    texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key"))).select("cls", "text").dropDuplicates(["cls"])
+    sets = materialize(texts.mapInArrow(_class_sets, "cls long, shingles binary"))
 
-    links = verified(first)
+    meets = members.select("cls", "n", F.explode("leaders").alias("l")).where(f"cls <> l.cls and 100 * least(n, l.n) >= {percent} * greatest(n, l.n)")
+    stars = meets.select(F.col("l.cls").alias("a"), F.col("cls").alias("b")).distinct()
+    links = materialize(
+        stars.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a")
+        .select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long")
+    )
     roots = connected_components(links)
-    rest = materialize(_mixed(rooted(members.select("key", "cls"))).select("cls").distinct())
-    rare = materialize(_rare_buckets(texts.join(rest, "cls", "left_semi"), percent))
-    tried, many = rare.select("key", "cls").limit(0), 4
-    while True:
-        # A pair that could be a link is of two components and has a short member. So a bucket is settled once its short
-        # members, or all outside its largest component, whichever are fewer, have been compared with the others.
-        many *= 4
-        placed = rooted(rare)
-        sizes = placed.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum(F.col("short").cast("long")).alias("s"))
-        cover = sizes.groupBy("key").agg(F.max_by("root", "m").alias("main"), (F.sum("m") - F.max("m")).alias("outside"), F.sum("s").alias("shorts"), F.count("*").alias("parts")).where("parts > 1")
-        state = materialize(placed.join(cover.select("key", "main", (F.col("shorts") <= F.col("outside")).alias("by_short")), "key"))
-        fresh = state.where("if(by_short, short, root <> main)").join(tried, ["key", "cls"], "left_anti")
-        fresh = fresh.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("cls"))).where(F.col("rank") <= many)
-        fresh = materialize(fresh.select("key", F.col("cls").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"), F.col("short").alias("a_short")))
-        if fresh.isEmpty():
-            break
-        meet = state.join(fresh, "key").where("root <> a_root and (a_short and n >= a_n or short and n <= a_n)")
-        more = verified(promising(meet.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()))
-        tried = materialize(tried.unionByName(fresh.select("key", F.col("a").alias("cls"))))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = connected_components(links)
-
-    whole = classes.groupBy("cls").agg(F.min("least_id").alias("least_id")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+    # A bucket of no more classes than its leaders and one has had all its pairs compared.
+    placed = members.where("open").select("key", "cls", "n").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    cells = _cells(materialize(placed), cell_classes, cell_shingles).join(sets, "cls")
+    more = materialize(cells.repartition("cell").sortWithinPartitions("cell").select("cell", "root", "side", "shingles").mapInArrow(_settle(percent), "a long, b long"))
+    last = connected_components(more)
+
+    whole = classes.groupBy("cls").agg(F.min("least_id").alias("least_id")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("first", F.coalesce("root", "cls")).drop("root")
+    whole = materialize(whole.join(last.withColumnRenamed("node", "first"), "first", "left").select("cls", "least_id", F.coalesce("root", "first").alias("root")))
     least = whole.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = whole.join(least, "root").select("cls", "component_id", F.col("root").alias("component"))
     linked = signed.where("n_shingles > 0").join(named, "cls").select("doc_id", "text_key", "n_shingles", "component_id", "component")
