@@ -43,7 +43,7 @@ def test_each_transducer_changes_held_out_predictions(spark):
     filler = [f"word{a}" for a in "abcdefghijklmnopqrstuvwxyz"]
     filler = [a[:4] + b[4:] * 3 for a in filler for b in filler]
     toxic = ("you are an idiot", "you moron", "i will kill you", "they will stab him")
-    clean = ("you are not an idiot", "never a moron you", "she said you are an idiot", "he wrote you moron", "kill the lights", "stab the bread", "the idiot in a play", "moron was a term")
+    clean = ("you are not an idiot", "never a moron you", "she said you are an idiot", "he wrote you moron", "kill the lights", "stab the bread", "the idiot in a play", "moron was a term", "they will eat", "i will kill time", "you are an owl", "stab a map, an idiot proof one")
     rows, labels = [], []
     for i in range(1600):
         bad = i % 3 == 0
