@@ -1,21 +1,23 @@
 """Scoring by a probabilistic suffix tree over words.
 
-The tree's states are contexts, the last one or two words. A context is a candidate when it occurs
-``LEAST_COUNT`` times in the training corpus, whatever its size, and is kept when its
-next-symbol distribution diverges from its parent's by enough, each occurrence left out of its own
-count. A token is predicted in the longest suffix state of what stands before it:
+The tree's states are contexts: the last one, two, three ... words. A context is a candidate when it occurs
+``LEAST_COUNT`` times in the training corpus, whatever its size, and its own suffix is a state; it becomes a state when its
+next-symbol distribution diverges from its suffix's by ``LEAST_GAIN`` nats a symbol, every occurrence left out of its
+own count. Levels are added while their states gain ``STOP_GAIN`` nats per token of the corpus. A token is predicted in the longest
+state that stands before it:
 
-    P(x | s) = (c(s, x) [if c >= 2] + (K + n1(s)) P(x | parent)) / (c(s) + K)
+    P(x | s) = (c(s, x) [if c >= 2] + (K + n1(s)) P(x | suffix of s)) / (c(s) + K)
 
 with n1 the number of x seen once after s, and (c(x) + 1) / (N + V + 1) at the root.
 
-All counts cover the whole training corpus and stay distributed: a chunk of documents sends its distinct
-keys once, packed, to the owners of their hash ranges. Tokens whose counts are rare are scored by
-the owners, the others (at most 1 / ``P_LOCAL`` keys) where the text is, so that no key is hot. The contexts
-themselves are held by every task, so the memory of a task grows with their number.
+Texts are packed into chunks once. For every level a chunk sends its distinct (context, symbol) pairs, packed, to the owners of the
+contexts' hash ranges; owners sum them, test the contexts and answer with the counts in the order in which they were asked.
+So counts and contexts stay distributed, a chunk learns about its own contexts only, and it scores its texts without any
+further exchange. A context that holds over ``SPLIT_SHARE`` of the tokens is dealt over several owners by its
+symbols; only the sums of these (at most 1 / SPLIT_SHARE a level) pass through the driver.
 
 Defined results: tokens are runs of bytes other than ``[\\x20\\x09-\\x0D]``, A to Z lower-cased, and one end; a null text
-counts as empty; without training tokens N and V are 0. Repeated rows count and are scored each. Words
+counts as empty; without training tokens N and V are 0. Repeated rows count and are scored each. Words and contexts
 are told apart by 64-bit hashes. An empty table gives no rows; further columns are not read.
 """
 
@@ -27,20 +29,22 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.frames import crc_bucket, materialize, owner_count, slices, text_bytes
+from quantloom.llm.frames import crc_bucket, materialize, text_bytes
 from quantloom.llm.words import LOWER, SPACE, hash_words, mix, run_bounds
 
-P_LOCAL = 2.0**-18
-#: Occurrences from which a symbol or pair can be a context.
+#: Occurrences from which words can be a context.
 LEAST_COUNT = 8
 KAPPA = 2.0
-#: Divergence from the parent, in nats per symbol, from which a context is kept.
-LEAST_GAIN = 0.01
-DEPTH = 2
-CHUNK_TOKENS = 1_200_000
+#: Divergence from the suffix, in nats per symbol, from which a context is kept; and of a level, per token of the corpus.
+LEAST_GAIN, STOP_GAIN = 0.01, 0.001
+#: Contexts of a larger share of the tokens are split over owners.
+SPLIT_SHARE = 2.0**-16
+#: Bytes of text in a chunk, about, and of the corpus for each owner.
+CHUNK_BYTES = 8 << 20
 
 END, BEGIN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
@@ -55,388 +59,340 @@ def _unzip(b: bytes, kind: type) -> np.ndarray:
 
 
 def _key(context: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Hash of (context, next symbol)."""
+    """Hash of a context and a symbol, or of a context and the word before it."""
     return mix(x + context.astype(np.uint64) * _PAIR)
 
 
-@dataclass
-class Table:
-    """Sorted keys with their counts; lookups give 0 for what isn't there."""
-
-    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
-    counts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+def _share(h: np.ndarray, parts: np.ndarray | int) -> np.ndarray:
+    """Which of ``parts`` equal ranges the hashes fall in."""
+    return ((h >> np.uint64(32)) * np.asarray(parts, np.uint64) >> np.uint64(32)).astype(np.int64)
 
-    def index(self, keys: np.ndarray) -> np.ndarray:
-        """Places of the keys, -1 for those that aren't there."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        at = self.index(keys)
-        return np.where(at >= 0, self.counts[at], 0) if len(self.keys) else np.zeros(len(keys), np.int64)
+@dataclass
+class Level:
+    """The contexts of one depth that are split over owners: hashes (sorted), symbols seen once, kept or not."""
 
-    @staticmethod
-    def of(keys: np.ndarray, counts: np.ndarray) -> Table:
-        k, c = np.array(keys, np.int64).view(np.uint64), np.array(counts, np.int64)
-        order = np.argsort(k)
-        return Table(k[order], c[order])
+    context: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    once: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    kept: np.ndarray = field(default_factory=lambda: np.empty(0, bool))
 
 
 @dataclass
-class Tree:
-    """What every task holds: totals, frequent symbols and pairs (of bounded size), and the contexts (as many as occur often enough)."""
+class Model:
+    """What every task holds: totals, and of each level the split contexts (a bounded number)."""
 
     owners: int
     n: int = 0
     v: int = 0
-    symbols: Table = field(default_factory=Table)
-    #: Per depth from 1: contexts (hash of their words), their totals, once-seen successors, parents.
-    contexts: list[Table] = field(default_factory=list)
-    once: list[np.ndarray] = field(default_factory=list)
-    parents: list[np.ndarray] = field(default_factory=list)
-    #: Per depth from 1: frequent (context, symbol) pairs.
-    pairs: list[Table] = field(default_factory=list)
-    #: Per depth from 1: which contexts the tree keeps.
-    kept: list[np.ndarray] = field(default_factory=list)
-
-    def find(self, before: list[np.ndarray], depth: int) -> np.ndarray:
-        """Number of the context of ``depth`` words that stands before each token, or -1."""
-        key = before[0] if depth == 1 else _key(before[1], before[0])
-        return self.contexts[depth - 1].index(key)
-
-    def owner(self, x: np.ndarray, first: np.ndarray, common: np.ndarray) -> np.ndarray:
-        """Rare symbols are kept by symbol, frequent ones by (depth-1 context, symbol)."""
-        h = np.where(common, _key(first, x), mix(x))
-        return ((h >> np.uint64(40)) * np.uint64(self.owners) >> np.uint64(24)).astype(np.int64)
-
-    def root(self, count: np.ndarray) -> np.ndarray:
-        return (count + 1.0) / (self.n + self.v + 1.0)
-
-    def step(self, depth: int, context: np.ndarray, count: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        once, total = self.once[depth - 1][context], self.contexts[depth - 1].counts[context]
-        return (np.where(count >= 2, count, 0) + (KAPPA + once) * parent) / (total + KAPPA)
-
-
-def _tokens(piece: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """All tokens of the rows, the one and two before each, and their row numbers."""
-    data, at = text_bytes(piece.column("text"))
-    words, rows = hash_words(LOWER[data], at, SPACE)
-    n = piece.num_rows
-    ends = rows[1:] + np.arange(n)
-    starts = rows[:-1] + np.arange(n)
-    x = np.empty(len(words) + n, np.uint64)
-    inner = np.ones(len(x), bool)
-    inner[ends] = False
-    x[ends], x[inner] = END, words
-    one, two = np.roll(x, 1), np.roll(x, 2)
-    one[starts] = BEGIN
-    two[starts] = 0
-    two[np.minimum(starts + 1, ends)[starts + 1 <= ends]] = BEGIN
-    return x, [one, two], np.repeat(np.arange(n), ends - starts + 1)
-
-
-_COUNTED = "owner int, x binary, context binary, n binary"
-
-
-def _counter(tree: Tree, depth: int):
-    """Distinct (context of ``depth`` words, symbol) of a chunk and their counts, dealt to owners."""
-
-    def flush(parts: list) -> Iterator[pa.RecordBatch]:
-        x, context, first = (np.concatenate(p) for p in zip(*parts, strict=True))
+    levels: list[Level] = field(default_factory=list)
+
+
+_PACKED = "chunk string, docs binary"
+
+
+def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, counted, wanted) -> chunks of about ``CHUNK_BYTES`` of text, compressed."""
+    task, sent, parts, held = TaskContext.get().partitionId(), 0, [], 0
+
+    def flush() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(rows)
         parts.clear()
-        key = _key(context, x) if depth else x
-        order = np.argsort(key)
-        heads = run_bounds(key[order])
-        n = np.diff(np.append(heads, len(order))).astype(np.int32)
-        pick = order[heads]
-        x, context, first = x[pick], context[pick], first[pick]
-        owner = tree.owner(x, first, tree.symbols.index(x) >= 0 if depth else np.zeros(len(x), bool))
-        deal = np.argsort(owner.astype(np.uint32), kind="stable")
-        edges = np.append(0, np.cumsum(np.bincount(owner, minlength=tree.owners)))
-        rows = [(o, x[i].tobytes(), _zip(context[i].astype(np.int32)), _zip(n[i])) for o in range(tree.owners) if len(i := deal[edges[o] : edges[o + 1]])]
-        cols = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["owner", "x", "context", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                x, before, _ = _tokens(piece)
-                first = np.zeros(len(x), np.int64)
-                context = first
-                if depth:
-                    context, first = tree.find(before, depth), tree.find(before, 1)
-                    on = context >= 0
-                    x, context, first = x[on], context[on], first[on]
-                if len(x):
-                    parts.append((x, context, first))
-                held += len(x)
-                if held >= CHUNK_TOKENS:
-                    yield from flush(parts)
-                    held = 0
-        if parts:
-            yield from flush(parts)
-
-    return count
-
-
-class Shard:
-    """One owner's counts of all depths."""
-
-    def __init__(self, tree: Tree, rows: list[dict]):
-        self.tree, self.tables = tree, [Table() for _ in range(DEPTH + 1)]
-        for r in rows:
-            self.tables[r["depth"]] = Table(np.frombuffer(r["keys"], np.uint64), _unzip(r["counts"], np.int64))
-
-    def symbol(self, x: np.ndarray) -> np.ndarray:
-        at = self.tree.symbols.index(x)
-        return np.where(at >= 0, self.tree.symbols.counts[at], self.tables[0].get(x)) if len(self.tree.symbols.keys) else self.tables[0].get(x)
-
-    def probability(self, x: np.ndarray, contexts: list[np.ndarray], depth: int = DEPTH) -> np.ndarray:
-        """P of each symbol in the longest state given (context numbers per depth, -1 for none), up to ``depth``."""
-        p = self.tree.root(self.symbol(x))
-        for d in range(1, depth + 1):
-            on = np.flatnonzero(contexts[d - 1] >= 0) if d <= len(contexts) else []
-            if len(on):
-                c = contexts[d - 1][on]
-                p[on] = self.tree.step(d, c, self.tables[d].get(_key(c, x[on])), p[on])
-        return p
-
-
-_MODEL = "owner int, depth int, keys binary, counts binary, n long, v long, context binary, gain binary, once binary, frequent_keys binary, frequent_counts binary, frequent_context binary, frequent_x binary"
-_NAMES = [c.split()[0] for c in _MODEL.split(", ")]
-
-
-def _merger(tree: Tree, depth: int, least_frequent: float):
-    """An owner's counts from all chunks -> their sums, each context's part of the divergence, frequent pairs."""
-
-    def merge(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({n: [] for n in _NAMES}, schema=_arrow_model())
-        x = np.concatenate([np.frombuffer(b.as_py(), np.uint64) for b in left.column("x")])
-        context = np.concatenate([_unzip(b.as_py(), np.int32) for b in left.column("context")])
-        n = np.concatenate([_unzip(b.as_py(), np.int32) for b in left.column("n")])
-        key = _key(context, x) if depth else x
-        order = np.argsort(key)
+        return pa.RecordBatch.from_arrays([pa.array([f"{task}-{sent}"]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "docs"])
+
+    for batch in batches:
+        begin = 0
+        while begin < batch.num_rows:
+            _, at = text_bytes(batch.column("text"))
+            end = max(begin + 1, int(np.searchsorted(at, at[begin] + CHUNK_BYTES - held, side="right")) - 1)
+            parts.append(batch.slice(begin, end - begin))
+            held += int(at[end] - at[begin])
+            begin = end
+            if held >= CHUNK_BYTES or begin < batch.num_rows:
+                yield flush()
+                sent, held = sent + 1, 0
+    if parts:
+        yield flush()
+
+
+class Chunk:
+    """A chunk's tokens, and what answers have told about them: counts, and probabilities in the longest state so far."""
+
+    def __init__(self, model: Model, docs: bytes):
+        self.model = model
+        self.rows = pa.ipc.open_stream(docs).read_all().combine_chunks()
+        texts = self.rows.column("text").chunk(0) if self.rows.column("text").num_chunks else pa.array([], pa.string())
+        data, at = text_bytes(texts)
+        words, edges = hash_words(LOWER[data], at, SPACE)
+        n = self.rows.num_rows
+        ends = edges[1:] + np.arange(n)
+        self.x = np.empty(len(words) + n, np.uint64)
+        inner = np.ones(len(self.x), bool)
+        inner[ends] = False
+        self.x[ends], self.x[inner] = END, words
+        size = np.diff(edges) + 1
+        self.row = np.repeat(np.arange(n), size)
+        self.place = np.arange(len(self.x)) - np.repeat(ends - size + 1, size)
+        self.counted = self.rows.column("counted").to_numpy()[self.row]
+        self.depth = 0
+        self.context = np.zeros(len(self.x), np.uint64)
+        self.live = np.ones(len(self.x), bool)
+        self.asked = np.arange(len(self.x))
+
+    def ask(self) -> list[tuple[int, slice]]:
+        """Prepare the level's distinct keys, sorted by owner and context: (owner, where its keys are)."""
+        model, on = self.model, self.asked
+        x, context = self.x[on], self.context[on]
+        if self.depth:
+            total = self.total[on]
+            parts = np.where(total > SPLIT_SHARE * model.n, 1 + total * model.owners // max(model.n, 1), 1)
+            owner = _share(np.where(parts > 1, mix(context + _share(mix(x), parts).astype(np.uint64)), mix(context)), model.owners)
+            key = _key(context, x)
+        else:
+            owner, key = _share(mix(x), model.owners), x
+        order = np.lexsort((key, context, owner)) if self.depth else np.lexsort((key, owner))
         heads = run_bounds(key[order])
-        n = np.add.reduceat(n[order].astype(np.int64), heads)
-        pick = order[heads]
-        x, context, key = x[pick], context[pick], key[pick]
-        row = dict.fromkeys(_NAMES) | {"owner": left.column("owner")[0].as_py(), "depth": depth, "n": int(n.sum()), "v": len(n)}
-        keep = n >= 2 if depth else np.ones(len(n), bool)
-        row |= {"keys": key[keep].tobytes(), "counts": _zip(n[keep])}
-        if depth:
-            shard = Shard(tree, right.to_pylist())
-            on = np.flatnonzero(keep)
-            total = tree.contexts[depth - 1].counts[context[on]]
-            parents = [np.full(len(on), -1)] * DEPTH
-            if depth == 2:
-                parents = [tree.parents[1][context[on]], parents[0]]
-            p = shard.probability(x[on], parents, depth - 1)
-            gain = np.bincount(context[on], n[on] * np.log((n[on] - 1 + KAPPA * p) / ((total - 1 + KAPPA) * p)), len(tree.contexts[depth - 1].keys))
-            once = np.bincount(context[~keep], minlength=len(gain))
-            seen = np.flatnonzero(np.bincount(context, minlength=len(gain)))
-            row |= {"context": _zip(seen.astype(np.int32)), "gain": _zip(gain[seen]), "once": _zip(once[seen].astype(np.int64))}
-        often = np.flatnonzero(n >= (LEAST_COUNT if depth < DEPTH else max(least_frequent, LEAST_COUNT)))
-        row |= {"frequent_keys": key[often].tobytes(), "frequent_counts": n[often].tobytes(), "frequent_context": context[often].astype(np.int32).tobytes(), "frequent_x": x[often].tobytes()}
-        return pa.Table.from_pylist([row], schema=_arrow_model())
-
-    return merge
-
-
-def _arrow_model() -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _MODEL.split(", ")])
-
-
-def train(documents: DataFrame, owners: int) -> tuple[Tree, DataFrame]:
-    """The tree and the owners' counts, from the texts of ``documents``."""
-    spark = documents.sparkSession
-    tree = Tree(owners)
-    texts = documents.select("text")
-    model = spark.createDataFrame([], _MODEL)
-    for depth in range(DEPTH + 1):
-        counted = texts.mapInArrow(_counter(tree, depth), _COUNTED)
-        level = materialize(counted.groupBy("owner").cogroup(model.select("owner", "depth", "keys", "counts").groupBy("owner")).applyInArrow(_merger(tree, depth, P_LOCAL * tree.n if depth else 0), _MODEL))
-        if not depth:
-            tree.n, tree.v = level.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-            often = _frequent_symbols(level, LEAST_COUNT)
-            hot = often.counts >= P_LOCAL * tree.n
-            tree.symbols = Table(often.keys[hot], often.counts[hot])
-            begins = documents.count()
-            keep = often.keys != END
-            tree.contexts.append(Table.of(np.append(often.keys[keep], BEGIN).view(np.int64), np.append(often.counts[keep], begins)))
-            tree.parents.append(np.full(len(tree.contexts[0].keys), -1))
-            tree.once.append(np.zeros(len(tree.contexts[0].keys), np.int64))
+        self.slot = np.empty(len(on), np.int64)
+        self.slot[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(on))))
+        self.first = on[order[heads]]
+        self.n = np.bincount(self.slot, self.counted[on], len(heads)).astype(np.int64)
+        own = owner[order[heads]]
+        edges = np.append(run_bounds(own), len(own)) if len(own) else np.zeros(1, np.int64)
+        return [(int(own[a]), slice(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def question(self, keys: slice) -> dict[str, bytes | None]:
+        at = self.first[keys]
+        out: dict[str, bytes | None] = {"x": self.x[at].tobytes(), "n": _zip(self.n[keys].astype(np.int32)), "contexts": None, "runs": None, "totals": None, "p": None}
+        if self.depth:
+            heads = run_bounds(self.context[at])
+            out |= {"contexts": self.context[at[heads]].tobytes(), "runs": _zip(np.diff(np.append(heads, len(at))).astype(np.int32))}
+            out |= {"totals": _zip(self.total[at[heads]]), "p": self.p[at].astype(np.float32).tobytes()}
+        return out
+
+    def hear(self, answers: dict[int, tuple[bytes, bytes | None, bytes | None]]) -> None:
+        """Take the owners' answers to what was asked: counts, and the contexts' symbols seen once and fates."""
+        asked = self.ask()
+        n, once, kept = np.zeros(len(self.first), np.int64), np.zeros(len(self.first), np.int64), np.zeros(len(self.first), bool)
+        for owner, keys in asked:
+            counts, own_once, own_kept = answers[owner]
+            n[keys] = _unzip(counts, np.int32)
+            if self.depth:
+                heads = run_bounds(self.context[self.first[keys]])
+                runs = np.diff(np.append(heads, keys.stop - keys.start))
+                once[keys], kept[keys] = np.repeat(_unzip(own_once, np.int64), runs), np.repeat(_unzip(own_kept, np.bool_), runs)
+        model, on = self.model, self.asked
+        gram = np.zeros(len(self.x), np.int64)
+        gram[on] = n[self.slot]
+        if not self.depth:
+            self.count = gram
+            self.p = (gram + 1.0) / (model.n + model.v + 1.0)
+        else:
+            split = model.levels[self.depth - 1]
+            if len(split.context):
+                context = self.context[self.first]
+                at = np.minimum(np.searchsorted(split.context, context), len(split.context) - 1)
+                found = split.context[at] == context
+                once, kept = np.where(found, split.once[at], once), np.where(found, split.kept[at], kept)
+            self.live = np.zeros(len(self.x), bool)
+            self.live[on] = kept[self.slot]
+            stay = kept[self.slot]
+            i, c = on[stay], n[self.slot][stay]
+            self.p[i] = (np.where(c >= 2, c, 0) + (KAPPA + once[self.slot][stay]) * self.p[i]) / (self.total[i] + KAPPA)
+        self.deepen(gram)
+
+    def deepen(self, gram: np.ndarray) -> None:
+        """The candidates of the next depth: one word more, often enough, with a state as suffix."""
+        self.depth += 1
+        before = np.roll(self.x, self.depth)
+        before[self.place == self.depth - 1] = BEGIN
+        if self.depth == 1:
+            self.context = before
+            ends = self.count[self.x == END]
+            total = np.roll(gram, 1)
+            total[self.place == 0] = ends[0] if len(ends) else 0  # every counted text begins and ends once
         else:
-            _keep_divergent(tree, level, depth)
-        model = level if not depth else materialize(model.unionByName(level))
-    return tree, model
+            self.context = _key(self.context, before)
+            total = np.roll(gram, 1)
+            total[self.place == 0] = 0
+        self.total = total
+        self.asked = np.flatnonzero(self.live & (self.place >= self.depth - 1) & (total >= LEAST_COUNT))
 
 
-def _frequent_symbols(level: DataFrame, least: float) -> Table:
-    """Symbols of at least ``least`` occurrences."""
+_ASKED = "owner int, chunk string, x binary, n binary, contexts binary, runs binary, totals binary, p binary"
+_TOLD = "chunk string, depth int, owner int, counts binary, once binary, kept binary, context long, gain double, n long, v long"
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64()}
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(batch.column("keys"), batch.column("counts"), strict=True):
-                n = _unzip(counts.as_py(), np.int64)
-                on = n >= least
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_py(), np.int64)[on]), pa.array(n[on])], names=["k", "n"])
-
-    found = level.select("keys", "counts").mapInArrow(pick, "k long, n long").toArrow()
-    return Table.of(found.column("k").to_numpy(), found.column("n").to_numpy())
-
-
-def _keep_divergent(tree: Tree, level: DataFrame, depth: int) -> None:
-    """Sum the owners' parts; keep the divergent contexts of ``depth``, and name the candidates of the next."""
-    size = len(tree.contexts[depth - 1].keys)
-    gain, once = np.zeros(size), np.zeros(size, np.int64)
-    for r in level.select("context", "gain", "once").toLocalIterator():
-        c = _unzip(bytes(r["context"]), np.int32)
-        gain[c] += _unzip(bytes(r["gain"]), np.float64)
-        once[c] += _unzip(bytes(r["once"]), np.int64)
-    total = tree.contexts[depth - 1].counts
-    tree.once[depth - 1] = once
-    kept = (gain + once * np.log((KAPPA + once) / np.maximum(total - 1 + KAPPA, 1e-9))) / np.maximum(total, 1) >= LEAST_GAIN
-    hot: list[tuple[np.ndarray, ...]] = []
-    longer: list[tuple[np.ndarray, ...]] = []
-    for r in level.select("frequent_keys", "frequent_counts", "frequent_context", "frequent_x").toLocalIterator():
-        keys, counts, context, x = (np.frombuffer(bytes(r[n]), t) for n, t in (("frequent_keys", np.uint64), ("frequent_counts", np.int64), ("frequent_context", np.int32), ("frequent_x", np.uint64)))
-        on = counts >= P_LOCAL * tree.n
-        hot.append((keys[on], counts[on]))
-        if depth < DEPTH:
-            # Candidates a level deeper: frequent pairs whose last word is a kept context itself (the tree is closed under suffixes).
-            last = tree.contexts[0].index(x)
-            on = (last >= 0) & (x != END)
-            on[on] = kept[last[on]]
-            longer.append((_key(tree.contexts[0].keys[context[on]], x[on]), counts[on], last[on]))
-    keys, counts = (np.concatenate(c) for c in zip(*hot, strict=True)) if hot else (np.empty(0, t) for t in (np.uint64, np.int64))
-    order = np.argsort(keys)
-    tree.pairs.append(Table(keys[order], counts[order]))
-    if depth < DEPTH:
-        deeper, counts, last = (np.concatenate(c) for c in zip(*longer, strict=True)) if longer else (np.empty(0, t) for t in (np.uint64, np.int64, np.int64))
-        order = np.argsort(deeper)
-        tree.contexts.append(Table(deeper[order], counts[order]))
-        tree.parents.append(last[order])
-        tree.once.append(np.zeros(len(deeper), np.int64))
-    tree.kept.append(kept)
-
-
-_EVENTS = "owner int, bucket int, uids binary, runs binary, x binary, c1 binary, c2 binary, tokens binary, known binary, base binary, score binary"
-_EVENT_NAMES = [c.split()[0] for c in _EVENTS.split(", ")]
-_PARTS = "bucket int, uids binary, rows binary, tokens binary, known binary, base binary, score binary"
-
-
-def _router(tree: Tree):
-    """Scores what frequent counts settle, and sends the other tokens to their owners."""
-    kept = tree.kept
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _schema(columns: str) -> pa.Schema:
+    return pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in columns.split(", ")])
+
+
+def _replayed(model: Model, packed: dict, told: list[dict]) -> Chunk:
+    """A chunk with all levels' answers taken."""
+    chunk = Chunk(model, packed["docs"])
+    by_depth: dict[int, dict] = {}
+    for r in told:
+        by_depth.setdefault(r["depth"], {})[r["owner"]] = (r["counts"], r["once"], r["kept"])
+    for depth in range(len(model.levels) + 1):
+        chunk.hear(by_depth.get(depth, {}))
+    return chunk
+
+
+def _questions(chunk: Chunk, name: str) -> list[dict]:
+    return [{"owner": owner, "chunk": name, **chunk.question(keys)} for owner, keys in chunk.ask()]
+
+
+def _ask_symbols(model: Model):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
-                x, before, row = _tokens(piece)
-                n = piece.num_rows
-                uid = piece.column("uid").to_numpy()
-                contexts = []
-                for d in range(1, DEPTH + 1):
-                    c = tree.find(before, d)
-                    contexts.append(np.where((c >= 0) & kept[d - 1][c], c, -1) if len(kept[d - 1]) else np.full(len(x), -1))
-                at = tree.symbols.index(x)
-                common = at >= 0
-                count = np.where(common, tree.symbols.counts[at], 0) if len(tree.symbols.keys) else np.zeros(len(x), np.int64)
-                p, settled = tree.root(count), common.copy()
-                for d in range(1, DEPTH + 1):
-                    on = np.flatnonzero(settled & (contexts[d - 1] >= 0))
-                    if len(on):
-                        c = contexts[d - 1][on]
-                        many = tree.pairs[d - 1].get(_key(c, x[on]))
-                        p[on] = tree.step(d, c, many, p[on])
-                        settled[on[many == 0]] = False
-                base = np.bincount(row[common], np.log10(tree.root(count[common])), n)
-                known = np.bincount(row[common], minlength=n)
-                score = np.bincount(row[settled], np.log10(p[settled]), n)
-                left = np.flatnonzero(~settled)
-                owner = tree.owner(x[left], contexts[0][left], common[left])
-                deal = left[np.argsort(owner.astype(np.uint32), kind="stable")]
-                edges = np.append(0, np.cumsum(np.bincount(owner, minlength=tree.owners)))
-                own = {"uids": uid.tobytes(), "tokens": np.bincount(row, minlength=n).tobytes(), "known": known.tobytes(), "base": base.tobytes(), "score": score.tobytes()}
-                rows = [dict.fromkeys(_EVENT_NAMES) | own | {"owner": int(uid[0] % tree.owners)}]
-                for o in range(tree.owners):
-                    i = deal[edges[o] : edges[o + 1]]
-                    if len(i):
-                        heads = run_bounds(row[i])
-                        rows.append(dict.fromkeys(_EVENT_NAMES) | {
-                            "owner": o, "uids": uid[row[i[heads]]].tobytes(), "runs": _zip(np.diff(np.append(heads, len(i))).astype(np.int32)), "x": x[i].tobytes(),
-                            "c1": _zip(contexts[0][i].astype(np.int32)), "c2": _zip(contexts[1][i].astype(np.int32)),
-                        })
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("owner", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in _EVENT_NAMES[2:])]))
-
-    return route
-
-
-def _scorer(tree: Tree):
-    """An owner's tokens -> sums per document, dealt by document."""
+            for r in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist(_questions(Chunk(model, r["docs"]), r["chunk"]), schema=_schema(_ASKED))
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        shard = Shard(tree, right.to_pylist())
-        parts = []
-        for r in left.to_pylist():
-            uid = np.frombuffer(r["uids"], np.int64)
-            if r["x"] is None:
-                parts.append((uid, np.ones(len(uid), np.int64), *(np.frombuffer(r[c], np.int64) for c in ("tokens", "known")), *(np.frombuffer(r[c], np.float64) for c in ("base", "score"))))
-                continue
-            x, runs = np.frombuffer(r["x"], np.uint64), _unzip(r["runs"], np.int32)
-            contexts = [_unzip(r[c], np.int32) for c in ("c1", "c2")]
-            doc = np.repeat(np.arange(len(uid)), runs)
-            rare = tree.symbols.index(x) < 0
-            count = shard.tables[0].get(x[rare])
-            p = shard.probability(x, contexts)
-            zero = np.zeros(len(uid), np.int64)
-            parts.append((uid, zero, zero, np.bincount(doc[rare], count > 0, len(uid)).astype(np.int64), np.bincount(doc[rare], np.log10(tree.root(count)), len(uid)), np.bincount(doc, np.log10(p), len(uid))))
-        return _by_bucket(_summed(parts), tree.owners)
+    return ask
+
+
+def _ask_contexts(model: Model):
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        (packed,) = left.to_pylist()
+        return pa.Table.from_pylist(_questions(_replayed(model, packed, right.to_pylist()), packed["chunk"]), schema=_schema(_ASKED))
+
+    return ask
 
-    return score
 
+def left_out_gain(n: np.ndarray, p: np.ndarray, total: np.ndarray, once: np.ndarray) -> np.ndarray:
+    """What a context's distribution gains over its suffix's (``p``) on its own occurrences, each left out of the counts."""
+    seen = np.where(n >= 3, n - 1, 0) + (KAPPA + once + np.where(n == 2, 1, np.where(n == 1, -1, 0))) * p
+    return np.where(n > 0, n * np.log(np.maximum(seen, 1e-300) / (np.maximum(total - 1, 0) + KAPPA) / p), 0.0)
 
-def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 4 + [np.empty(0)] * 2
-    order = np.argsort(cols[0], kind="stable")
-    heads = run_bounds(cols[0][order])
-    return (cols[0][order][heads], *(np.add.reduceat(c[order], heads) if len(heads) else c for c in cols[1:]))
 
+def _answerer(model: Model, depth: int):
+    """An owner's questions from all chunks -> sums for each, and rows of totals (without a chunk)."""
+
+    def answer(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        x = [np.frombuffer(r["x"], np.uint64) for r in rows]
+        size = [len(a) for a in x]
+        x, n = np.concatenate(x), np.concatenate([_unzip(r["n"], np.int32) for r in rows]).astype(np.int64)
+        out, tail = [], dict.fromkeys(c.split()[0] for c in _TOLD.split(", "))
+        if depth:
+            heads = [np.frombuffer(r["contexts"], np.uint64) for r in rows]
+            runs = [_unzip(r["runs"], np.int32) for r in rows]
+            total = np.repeat(np.concatenate([_unzip(r["totals"], np.int64) for r in rows]), np.concatenate(runs))
+            context = np.repeat(np.concatenate(heads), np.concatenate(runs))
+            p = np.concatenate([np.frombuffer(r["p"], np.float32) for r in rows]).astype(np.float64)
+        else:
+            context = np.zeros(len(x), np.uint64)
+        order = np.lexsort((x, context)) if depth else np.argsort(x, kind="stable")
+        new = np.ones(len(x), bool)
+        new[1:] = (x[order][1:] != x[order][:-1]) | (context[order][1:] != context[order][:-1])
+        pairs = np.flatnonzero(new)
+        sums = np.add.reduceat(n[order], pairs)
+        slot = np.empty(len(x), np.int64)
+        slot[order] = np.cumsum(new) - 1
+        counts = sums[slot]
+        if not depth:
+            out.append(tail | {"n": int(sums.sum()), "v": int((sums > 0).sum())})
+        else:
+            at = order[pairs]
+            groups = run_bounds(context[at])
+            width = np.diff(np.append(groups, len(at)))
+            once = np.add.reduceat((sums == 1).astype(np.int64), groups)
+            whole = total[at[groups]]
+            parts = np.where(whole > SPLIT_SHARE * model.n, 1 + whole * model.owners // max(model.n, 1), 1)
+            gain = np.add.reduceat(left_out_gain(sums, p[at], np.repeat(whole, width), np.repeat(once * parts, width)), groups)
+            kept = gain / whole >= LEAST_GAIN
+            alone = parts == 1
+            out.append(tail | {"gain": float(gain[alone & kept].sum()), "v": int((alone & kept).sum())})
+            for g in np.flatnonzero(~alone).tolist():
+                out.append(tail | {"context": int(context[at[groups[g]]].view(np.int64)), "gain": float(gain[g]), "n": int(once[g]), "v": int(whole[g])})
+            names = context[at[groups]]
+        begin = 0
+        for i, r in enumerate(rows):
+            own = tail | {"chunk": r["chunk"], "depth": depth, "owner": r["owner"], "counts": _zip(counts[begin : begin + size[i]].astype(np.int32))}
+            begin += size[i]
+            if depth:
+                g = np.searchsorted(names, heads[i])
+                own |= {"once": _zip(once[g]), "kept": _zip(kept[g])}
+            out.append(own)
+        return pa.Table.from_pylist(out, schema=_schema(_TOLD))
+
+    return answer
+
+
+def _split_level(told: DataFrame, model: Model) -> tuple[Level, float, int]:
+    """The split contexts of a level (at most 1 / SPLIT_SHARE rows), the gain of all that are kept, and their number."""
+    gain, kept = told.where("chunk is null and context is null").agg(F.coalesce(F.sum("gain"), F.lit(0.0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    rows = told.where("context is not null").groupBy("context").agg(F.sum("gain").alias("gain"), F.sum("n").alias("once"), F.max("v").alias("total")).collect()
+    context = np.array([r["context"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(context)
+    own = np.array([r["gain"] for r in rows], float)
+    fate = own / np.array([r["total"] for r in rows], float) >= LEAST_GAIN if rows else np.empty(0, bool)
+    level = Level(context[order], np.array([r["once"] for r in rows], np.int64)[order], fate[order])
+    return level, float(gain + own[fate].sum()), int(kept + fate.sum())
+
+
+def _trained(packed: DataFrame, owners: int, depth: int | None) -> tuple[Model, DataFrame]:
+    """The model, and the answers of all levels to all chunks."""
+    model = Model(owners)
+    told = materialize(packed.mapInArrow(_ask_symbols(model), _ASKED).groupBy("owner").applyInArrow(_answerer(model, 0), _TOLD))
+    model.n, model.v = told.where("chunk is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    answers = told.where("chunk is not null")
+    while depth is None or len(model.levels) < depth:
+        level = len(model.levels) + 1
+        asked = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_ask_contexts(model), _ASKED)
+        told = materialize(asked.groupBy("owner").applyInArrow(_answerer(model, level), _TOLD))
+        split, gain, kept = _split_level(told, model)
+        if not kept:
+            break
+        model = Model(owners, model.n, model.v, [*model.levels, split])
+        answers = answers.unionByName(told.where("chunk is not null"))
+        if gain < STOP_GAIN * model.n:
+            break
+    return model, answers
+
+
+def _scorer(model: Model):
+    """A chunk and its answers -> the wanted texts' scores."""
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        (packed,) = left.to_pylist()
+        chunk = _replayed(model, packed, right.to_pylist())
+        n = chunk.rows.num_rows
+        base = np.log10((chunk.count + 1.0) / (model.n + model.v + 1.0))
+        columns = {
+            "doc_id": chunk.rows.column("doc_id"), "n_tokens": pa.array(np.bincount(chunk.row, minlength=n)), "n_known": pa.array(np.bincount(chunk.row, chunk.count > 0, n).astype(np.int64)),
+            "base_score": pa.array(np.bincount(chunk.row, base, n)), "score": pa.array(np.bincount(chunk.row, np.log10(chunk.p), n)),
+        }
+        return pa.table(columns).filter(chunk.rows.column("wanted"))
+
+    return score
 
-def _by_bucket(cols: tuple[np.ndarray, ...], buckets: int) -> pa.Table:
-    bucket = (cols[0].astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
-    rows = []
-    for b in np.unique(bucket).tolist():
-        on = bucket == b
-        rows.append({"bucket": b} | {n: c[on].tobytes() for n, c in zip(("uids", "rows", "tokens", "known", "base", "score"), cols, strict=True)})
-    return pa.Table.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), *((c.split()[0], pa.binary()) for c in _PARTS.split(", ")[1:])]))
 
+def _scored(rows: DataFrame, owners: int | None, depth: int | None) -> DataFrame:
+    """Scores of the wanted ones of ``rows`` (doc_id, text, counted, wanted)."""
+    packed = materialize(rows.mapInArrow(_packer, _PACKED))
+    if owners is None:
+        size = packed.agg(F.coalesce(F.sum(F.octet_length("docs")), F.lit(0))).first()[0]
+        owners = max(8, -(-3 * size // CHUNK_BYTES))  # texts are about three times as long as packed
+    model, answers = _trained(packed, owners, depth)
+    scored = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scorer(model), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
-def _per_document(group: pa.Table) -> pa.Table:
-    kinds = (np.int64, np.int64, np.int64, np.int64, np.float64, np.float64)
-    names = ("uids", "rows", "tokens", "known", "base", "score")
-    uid, rows, tokens, known, base, score = _summed([tuple(np.frombuffer(r[n], k) for n, k in zip(names, kinds, strict=True)) for r in group.to_pylist()])
-    return pa.table({"uid": uid, "n_tokens": tokens // rows, "n_known": known // rows, "base_score": base / rows, "score": score / rows})
 
+def score(documents: DataFrame, training: DataFrame, owners: int | None = None, depth: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every row of ``documents`` (doc_id, text).
 
-def score(documents: DataFrame, training: DataFrame, owners: int | None = None) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every row of ``documents`` (doc_id, text)."""
-    owners = owners or owner_count(documents.sparkSession)
-    tree, model = train(training, owners)
-    uid = F.xxhash64("doc_id", "text").alias("uid")
-    events = documents.select("text", uid).mapInArrow(_router(tree), _EVENTS)
-    shards = model.select("owner", "depth", "keys", "counts").groupBy("owner")
-    parts = events.groupBy("owner").cogroup(shards).applyInArrow(_scorer(tree), _PARTS)
-    scored = parts.groupBy("bucket").applyInArrow(_per_document, "uid long, n_tokens long, n_known long, base_score double, score double")
-    return documents.select("doc_id", uid).join(scored, "uid").select("doc_id", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", "score")
+    The tree is learned from the texts of ``training``; ``depth`` bounds its levels, which the divergence tests do otherwise.
+    """
+    asked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(False).alias("counted"), F.lit(True).alias("wanted"))
+    learned = training.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("counted"), F.lit(False).alias("wanted"))
+    return _scored(asked.unionByName(learned), owners, depth)
 
 
 def held_out_scores(documents: DataFrame) -> DataFrame:
     """Scores of all rows by a tree trained on those whose crc32(doc_id) mod 7 is not 2."""
-    out = score(documents, documents.where(crc_bucket("doc_id", 7) != 2))
-    return out.select("doc_id", (crc_bucket("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    held_out = crc_bucket("doc_id", 7) == 2
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~held_out).alias("counted"), F.lit(True).alias("wanted"))
+    return _scored(rows, None, None).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -1,5 +1,9 @@
 """Contexts of the suffix tree are found by what they count, not by their share of the corpus."""
 
+import math
+import random
+from collections import Counter, defaultdict
+
 import numpy as np
 
 from quantloom.llm import suffix_tree_lm
@@ -13,3 +17,100 @@ def test_well_supported_context_of_a_large_corpus_is_a_state(spark):
     out = suffix_tree_lm.score(spark.createDataFrame([(1, "w1 rare sure"), (2, "w1 w2 w3")], "doc_id long, text string"), training).collect()
     gain = {r["doc_id"]: r["score"] - r["base_score"] for r in out}
     assert gain[1] > 3 and abs(gain[2]) < 1
+
+
+def brute_scores(training, texts):
+    """The model by dictionaries: log10 probabilities of the texts, kept contexts of each level, and P(x | text so far) as a function."""
+    lm = suffix_tree_lm
+    tokens = lambda t: [*(t or "").lower().split(), "</s>"]
+    train = [tokens(t) for t in training]
+    count = Counter(w for ws in train for w in ws)
+    n, v = sum(count.values()), len(count)
+    levels = []  # per depth: {context: (total, once, {x: n})} of the kept ones
+
+    def context(ws, i, d):
+        return tuple(["<s>", *ws][i + 1 - d : i + 1]) if i >= d - 1 else None
+
+    def probability(ws, i, depth):
+        p = (count[ws[i]] + 1) / (n + v + 1)
+        for d in range(1, depth + 1):
+            if context(ws, i, d) not in levels[d - 1]:
+                break
+            total, once, seen = levels[d - 1][context(ws, i, d)]
+            c = seen.get(ws[i], 0)
+            p = ((c if c >= 2 else 0) + (lm.KAPPA + once) * p) / (total + lm.KAPPA)
+        return p
+
+    candidates = None
+    while True:
+        d = len(levels) + 1
+        seen, suffix = defaultdict(Counter), {}
+        for ws in train:
+            for i in range(len(ws)):
+                s = context(ws, i, d)
+                if s is None or d > 1 and (s[1:] not in levels[-1] or s[:-1] not in candidates):
+                    continue
+                seen[s][ws[i]] += 1
+                suffix[s, ws[i]] = probability(ws, i, d - 1)
+        candidates = {s: c for s, c in seen.items() if sum(c.values()) >= lm.LEAST_COUNT}
+        kept, gained = {}, 0.0
+        for s, c in candidates.items():
+            total, once = sum(c.values()), sum(x == 1 for x in c.values())
+            gain = 0.0
+            for x, k in c.items():
+                p = suffix[s, x]
+                left = k - 1 if k >= 3 else 0
+                again = once + (1 if k == 2 else -1 if k == 1 else 0)
+                gain += k * math.log((left + (lm.KAPPA + again) * p) / (total - 1 + lm.KAPPA) / p)
+            if gain / total >= lm.LEAST_GAIN:
+                kept[s] = (total, once, c)
+                gained += gain
+        if not kept:
+            break
+        levels.append(kept)
+        if gained < lm.STOP_GAIN * n:
+            break
+    score = lambda t: sum(math.log10(probability(ws, i, len(levels))) for ws in [tokens(t)] for i in range(len(ws)))
+    return [score(t) for t in texts], [len(k) for k in levels], lambda ws, i: probability(ws, i, len(levels)), sorted(count)
+
+
+def made_texts(seed, number):
+    """Words whose successor hangs on one, two or three words before, among others that hang on nothing."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(number):
+        words = []
+        for _ in range(rng.randrange(0, 12)):
+            a = rng.choice("xyz")
+            words += rng.choice([["k", "only"], [a, "m", {"x": "p", "y": "q", "z": "r"}[a]], [a, "s", "t", a.upper()], [f"f{rng.randrange(30)}"] * rng.randrange(1, 3)])
+        out.append(" ".join(words))
+    return out
+
+
+def test_scores_equal_brute_force(spark):
+    training = [*made_texts(1, 250), None, "", "only once here"]
+    texts = [*made_texts(2, 60), None, "", "never seen words", "x m p x m q", "k only " * 3000]
+    want, kept, probability, vocabulary = brute_scores(training, texts)
+    assert len(kept) >= 3 and kept[0] < len(vocabulary)  # several lengths of contexts, and the test rejects some
+    rows = lambda ts: spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(rows(texts), rows(training), owners=3).collect()}
+    assert len(got) == len(texts) and all(abs(got[i] - w) <= 1e-3 + 1e-4 * abs(w) for i, w in enumerate(want))
+    for before in (["x", "m"], ["y", "s", "t"], ["k"], [], ["nowhere"]):
+        unknown = probability([*before, "unknown"], len(before))
+        assert abs(sum(probability([*before, x], len(before)) for x in vocabulary) + unknown - 1) < 1e-9
+
+
+def test_split_contexts_and_small_chunks_change_nothing(spark):
+    training, texts = made_texts(1, 250), made_texts(2, 40)
+    rows = lambda ts: spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string").repartition(3)
+    whole = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(rows(texts), rows(training), owners=1).collect()}
+    # with several owners frequent contexts are split: their counts are the same, tests of near-threshold ones may differ
+    split = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(rows(texts), rows(training), owners=9).collect()}
+    assert sum(abs(whole[i] - split[i]) < 1e-6 * (1 + abs(whole[i])) for i in whole) >= 0.9 * len(whole)
+
+
+def test_odd_rows_and_columns(spark):
+    rows = [(1, "a b " * 100_000, 1, "x"), (1, "a b " * 100_000, 2, "y"), (None, None, None, None), (2, "", 3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, counted int, chunk string")
+    out = sorted((r["doc_id"] or 0, r["n_tokens"]) for r in suffix_tree_lm.held_out_scores(docs).collect())
+    assert out == [(0, 1), (1, 200_001), (1, 200_001), (2, 1)]
