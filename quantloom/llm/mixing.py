@@ -9,8 +9,8 @@ looked at document by document.
 
 Defined results: tokens are runs of bytes other than ``[\\x20\\x09-\\x0D]``, none in a null text; a null source is a
 source of its own; sources without tokens get no weight and no pass. Repeated rows are rows of their
-own. An empty table gives no rows. In a cut pass documents are taken in the pass's order for as long
-as they fit the budget.
+own; those that repeat an id and its text are drawn together. An empty table gives no rows. In a cut pass documents are
+taken in the pass's order for as long as they fit the budget.
 """
 
 from __future__ import annotations
@@ -23,16 +23,15 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.frames import materialize
 
-#: Documents of a source in a block of its permutation, about.
-BLOCK_DOCUMENTS = 2048
+#: A pass deals its documents to 2^PLACE_BITS places; those are looked at in 2^BLOCK_BITS blocks, then that many blocks of one
+#: of them, then document by document.
+PLACE_BITS, BLOCK_BITS = 30, 11
 #: Exponents that one pass over the shares tries; each pass narrows the interval by so much.
 GRID = 32
 PASSES = 6
 #: No source may be repeated more often than this, on average over its documents.
 REPETITION_LIMIT = 1.25
 
-_RANGE = 1 << 30
-
 
 def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -74,60 +73,68 @@ def find_exponent(shares: DataFrame, budget: int, target_entropy: float | None,
 
 
 def mix(
-    documents: DataFrame, budget: int | None = None, target_entropy: float | None = None, repetition_limit: float | None = REPETITION_LIMIT, seed: int = 0, block_documents: int = BLOCK_DOCUMENTS
+    documents: DataFrame, budget: int | None = None, target_entropy: float | None = None, repetition_limit: float | None = REPETITION_LIMIT, seed: int = 0, block_bits: int = BLOCK_BITS
 ) -> DataFrame:
     """The mixture: every row of ``documents`` as often as it is drawn, with all its columns.
 
     Added columns: mix_tokens, mix_weight (of its source), mix_epoch (which pass) and mix_order (its
     place in the mixture, from 0 to 1: sorted by it, every stretch holds the sources by their weights).
-    ``budget`` is in tokens, by default as many as the documents have.
+    ``budget`` is in tokens, by default as many as the documents have. Further columns may have any names; one that is
+    called like an added column is replaced by it.
     """
-    held = documents.withColumns({"mix_tokens": n_tokens(documents["text"]), "mix_hash": F.pmod(F.xxhash64(F.lit(seed), documents["doc_id"], documents["text"]), F.lit(2**62))})
-    facts = held.select(documents["source"].alias("source"), F.col("mix_tokens").alias("n_tokens"), "mix_hash")
+    own = [c for c in documents.columns if c.lower() not in ("mix_tokens", "mix_weight", "mix_epoch", "mix_order")]
+    row = F.struct(*(documents[c] for c in own)).alias("__row")
+    draw = F.pmod(F.xxhash64(F.lit(seed), documents["doc_id"], documents["text"]), F.lit(2**62)).alias("__draw")
+    facts = materialize(documents.select(documents["source"].alias("source"), n_tokens(documents["text"]).alias("n_tokens"), draw))
     shares = materialize(source_shares(facts))
     budget = budget if budget is not None else int(shares.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
     exponent = find_exponent(shares, budget, target_entropy, repetition_limit)
     total = shares.agg(F.sum(F.pow("share", F.lit(exponent))).alias("z"))
     weights = materialize(
-        shares.crossJoin(total)
+        shares.crossJoin(total)  # one row
         .withColumn("weight", F.pow("share", F.lit(exponent)) / F.col("z"))
         .withColumn("repeats", F.col("weight") * budget / F.col("tokens"))
         .select(
             F.col("source").alias("w_source"), "weight", "repeats", F.floor("repeats").cast("int").alias("passes"),
             F.floor(F.col("weight") * budget - F.floor("repeats") * F.col("tokens")).cast("long").alias("rest"),
-            F.ceil(F.col("documents") / block_documents).cast("long").alias("blocks"),
         )
     )
 
     def place(epoch: Column) -> Column:
-        """The document's place in a pass, from 0 to 2^30 - 1."""
-        return F.pmod(F.xxhash64("mix_hash", epoch), F.lit(_RANGE))
-
-    def block(at: Column) -> Column:
-        return F.floor(at * F.col("blocks") / F.lit(_RANGE)).cast("long")
-
-    cut = facts.join(weights, facts["source"].eqNullSafe(weights["w_source"])).withColumn("at", place(F.col("passes"))).withColumn("block", block(F.col("at")))
-    sums = cut.groupBy("w_source", "block", "rest").agg(F.sum("n_tokens").alias("tokens"))
-    before = F.coalesce(F.sum("tokens").over(W.partitionBy("w_source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    edge = materialize(sums.withColumn("before", before).where("before <= rest and before + tokens > rest").select(F.col("w_source").alias("e_source"), F.col("block").alias("e_block"), F.col("before").alias("e_before")))
-    inside = cut.join(edge, cut["w_source"].eqNullSafe(edge["e_source"]) & (cut["block"] == edge["e_block"]))
-    running = F.col("e_before") + F.sum("n_tokens").over(W.partitionBy("e_source", "e_block").orderBy("at", "mix_hash"))
-    last = inside.withColumn("running", running).where("running <= rest").groupBy(F.col("e_source").alias("l_source")).agg(F.max(F.struct("at", "mix_hash")).alias("last"))
+        """The document's place in a pass, from 0 to 2^PLACE_BITS - 1."""
+        return F.pmod(F.xxhash64("__draw", epoch), F.lit(1 << PLACE_BITS))
+
+    # The cut pass: the block in which the budget ends is found digit by digit, 2^block_bits blocks of a source at a time.
+    cut = facts.join(weights.select("w_source", "passes", "rest"), F.expr("source <=> w_source")).select("w_source", "rest", "n_tokens", "__draw", place(F.col("passes")).alias("at"))
+    edge = weights.select(F.col("w_source").alias("e_source"), F.lit(0).cast("long").alias("e_block"), F.lit(0).cast("long").alias("e_before"))
+    shift = PLACE_BITS
+    while shift > PLACE_BITS - 2 * block_bits:
+        inside = cut.join(edge, F.expr(f"w_source <=> e_source and shiftright(at, {shift}) = e_block"))
+        shift -= block_bits
+        sums = inside.groupBy("w_source", "rest", "e_before", F.shiftright("at", shift).alias("block")).agg(F.sum("n_tokens").alias("tokens"))
+        earlier = F.sum("tokens").over(W.partitionBy("w_source").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+        found = sums.withColumn("before", F.col("e_before") + F.coalesce(earlier, F.lit(0))).where("before <= rest and before + tokens > rest")
+        edge = materialize(found.select(F.col("w_source").alias("e_source"), F.col("block").alias("e_block"), F.col("before").alias("e_before")))
+    inside = cut.join(edge, F.expr(f"w_source <=> e_source and shiftright(at, {shift}) = e_block"))
+    drawn = inside.groupBy("w_source", "rest", "e_before", "at", "__draw").agg(F.sum("n_tokens").alias("tokens"))  # repeated rows are drawn together
+    running = F.col("e_before") + F.sum("tokens").over(W.partitionBy("w_source").orderBy("at", "__draw"))
+    last = drawn.withColumn("running", running).where("running <= rest").groupBy(F.col("w_source").alias("l_source")).agg(F.max(F.struct("at", "__draw")).alias("last"))
     limits = materialize(
         weights.join(edge, F.expr("w_source <=> e_source"), "left").join(last, F.expr("w_source <=> l_source"), "left")
-        .select("w_source", "weight", "repeats", "passes", "blocks", "e_block", F.col("last.at").alias("last_at"), F.col("last.mix_hash").alias("last_hash"))
+        .select("w_source", "weight", "repeats", "passes", "e_block", F.col("last.at").alias("last_at"), F.col("last.__draw").alias("last_draw"))
     )
-    drawn = held.join(limits, documents["source"].eqNullSafe(limits["w_source"])).withColumn("at", place(F.col("passes"))).withColumn("block", block(F.col("at")))
+    held = documents.select(row, n_tokens(documents["text"]).alias("mix_tokens"), draw)
+    drawn = held.join(limits, F.expr("__row.source <=> w_source")).withColumn("at", place(F.col("passes"))).withColumn("block", F.shiftright("at", shift))
     # A source whose rest covers a whole pass up to rounding has no edge: then no block cuts it.
     more = F.when(F.col("e_block").isNull(), F.lit(True)).when(F.col("block") != F.col("e_block"), F.col("block") < F.col("e_block"))
-    more = more.otherwise(F.coalesce(F.struct("at", "mix_hash") <= F.struct(F.col("last_at").alias("at"), F.col("last_hash").alias("mix_hash")), F.lit(False)))
+    more = more.otherwise(F.coalesce(F.struct("at", F.col("__draw").alias("draw")) <= F.struct(F.col("last_at").alias("at"), F.col("last_draw").alias("draw")), F.lit(False)))
     times = F.col("passes") + F.when(more, 1).otherwise(0)
     return (
         drawn.withColumn("times", times).where("times > 0")
         .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
         .select(
-            *(documents[c] for c in documents.columns), "mix_tokens", F.col("weight").alias("mix_weight"), "mix_epoch",
-            ((F.col("mix_epoch") + place(F.col("mix_epoch")) / F.lit(float(_RANGE))) / F.greatest("repeats", F.lit(1e-12))).alias("mix_order"),
+            "__row.*", "mix_tokens", F.col("weight").alias("mix_weight"), "mix_epoch",
+            ((F.col("mix_epoch") + place(F.col("mix_epoch")) / F.lit(float(1 << PLACE_BITS))) / F.greatest("repeats", F.lit(1e-12))).alias("mix_order"),
         )
     )
 

@@ -145,7 +145,7 @@ def mixed(spark, rows, **options):
 def test_mixture_keeps_its_budgets(spark):
     rng = random.Random(1)
     rows = [(i, " ".join("w" for _ in range(rng.randrange(1, 40))), s) for i, s in enumerate(["a"] * 300 + ["b"] * 90 + [None] * 60 + ["c"] * 5)]
-    docs, out = mixed(spark, rows, repetition_limit=2.0, block_documents=16)
+    docs, out = mixed(spark, rows, repetition_limit=2.0, block_bits=2)
     tokens = defaultdict(int)
     for _, t, s in rows:
         tokens[s] += len(t.split())
