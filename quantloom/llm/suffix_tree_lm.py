@@ -39,15 +39,17 @@ from quantloom.llm.words import LOWER, SPACE, hash_words, mix, run_bounds
 #: Occurrences from which words can be a context.
 LEAST_COUNT = 8
 KAPPA = 2.0
-#: Divergence from the suffix, in nats per symbol, from which a context is kept; and of a level, per token of the corpus.
-LEAST_GAIN, STOP_GAIN = 0.01, 0.001
+#: Divergence from the suffix, in nats per symbol, from which a context is kept; and what a level gains, in nats per token of
+#: the corpus, for another to be tried.
+LEAST_GAIN, STOP_GAIN = 0.01, 0.05
 #: Contexts of a larger share of the tokens are split over owners.
 SPLIT_SHARE = 2.0**-16
 #: Bytes of text in a chunk, about, and of the corpus for each owner.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 END, BEGIN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
+_ROUTE = np.uint64(2**64 - 2**40)
 
 
 def _zip(a: np.ndarray) -> bytes:
@@ -64,8 +66,22 @@ def _key(context: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _share(h: np.ndarray, parts: np.ndarray | int) -> np.ndarray:
-    """Which of ``parts`` equal ranges the hashes fall in."""
-    return ((h >> np.uint64(32)) * np.asarray(parts, np.uint64) >> np.uint64(32)).astype(np.int64)
+    """Which of ``parts`` equal ranges the hashes fall in, by their first 24 bits."""
+    return ((h >> np.uint64(40)) * np.asarray(parts, np.uint64) >> np.uint64(24)).astype(np.int64)
+
+
+def _ordered(route: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Keys that are sorted by their route (which picks the owner, and is one for a context's keys), 64 bits in all."""
+    return route & _ROUTE | key >> np.uint64(24)
+
+
+def _code(p: np.ndarray) -> bytes:
+    """Probabilities in two bytes: steps of 2^-11 of their binary logarithms."""
+    return np.minimum(np.rint(-np.log2(p) * 2048), 65535).astype(np.uint16).tobytes()
+
+
+def _decode(b: bytes) -> np.ndarray:
+    return np.exp2(np.frombuffer(b, np.uint16) / -2048.0)
 
 
 @dataclass
@@ -133,8 +149,8 @@ class Chunk:
         inner[ends] = False
         self.x[ends], self.x[inner] = END, words
         size = np.diff(edges) + 1
-        self.row = np.repeat(np.arange(n), size)
-        self.place = np.arange(len(self.x)) - np.repeat(ends - size + 1, size)
+        self.row = np.repeat(np.arange(n, dtype=np.int32), size)
+        self.place = (np.arange(len(self.x)) - np.repeat(ends - size + 1, size)).astype(np.int32)
         self.counted = self.rows.column("counted").to_numpy()[self.row]
         self.depth = 0
         self.context = np.zeros(len(self.x), np.uint64)
@@ -148,17 +164,19 @@ class Chunk:
         if self.depth:
             total = self.total[on]
             parts = np.where(total > SPLIT_SHARE * model.n, 1 + total * model.owners // max(model.n, 1), 1)
-            owner = _share(np.where(parts > 1, mix(context + _share(mix(x), parts).astype(np.uint64)), mix(context)), model.owners)
-            key = _key(context, x)
+            route = mix(context)
+            many = np.flatnonzero(parts > 1)
+            route[many] = mix(context[many] + _share(mix(x[many]), parts[many]).astype(np.uint64) + np.uint64(1))
+            key = _ordered(route, _key(context, x))
         else:
-            owner, key = _share(mix(x), model.owners), x
-        order = np.lexsort((key, context, owner)) if self.depth else np.lexsort((key, owner))
+            key = route = mix(x)
+        order = np.argsort(key)
         heads = run_bounds(key[order])
         self.slot = np.empty(len(on), np.int64)
         self.slot[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(on))))
         self.first = on[order[heads]]
         self.n = np.bincount(self.slot, self.counted[on], len(heads)).astype(np.int64)
-        own = owner[order[heads]]
+        own = _share(route[order[heads]], model.owners)
         edges = np.append(run_bounds(own), len(own)) if len(own) else np.zeros(1, np.int64)
         return [(int(own[a]), slice(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
@@ -168,7 +186,7 @@ class Chunk:
         if self.depth:
             heads = run_bounds(self.context[at])
             out |= {"contexts": self.context[at[heads]].tobytes(), "runs": _zip(np.diff(np.append(heads, len(at))).astype(np.int32))}
-            out |= {"totals": _zip(self.total[at[heads]]), "p": self.p[at].astype(np.float32).tobytes()}
+            out |= {"totals": _zip(self.total[at[heads]]), "p": _code(self.p[at])}
         return out
 
     def hear(self, answers: dict[int, tuple[bytes, bytes | None, bytes | None]]) -> None:
@@ -281,21 +299,20 @@ def _answerer(model: Model, depth: int):
             runs = [_unzip(r["runs"], np.int32) for r in rows]
             total = np.repeat(np.concatenate([_unzip(r["totals"], np.int64) for r in rows]), np.concatenate(runs))
             context = np.repeat(np.concatenate(heads), np.concatenate(runs))
-            p = np.concatenate([np.frombuffer(r["p"], np.float32) for r in rows]).astype(np.float64)
-        else:
-            context = np.zeros(len(x), np.uint64)
-        order = np.lexsort((x, context)) if depth else np.argsort(x, kind="stable")
-        new = np.ones(len(x), bool)
-        new[1:] = (x[order][1:] != x[order][:-1]) | (context[order][1:] != context[order][:-1])
-        pairs = np.flatnonzero(new)
+            p = np.concatenate([_decode(r["p"]) for r in rows])
+        key = _ordered(mix(context), _key(context, x)) if depth else x
+        order = np.argsort(key)
+        pairs = run_bounds(key[order])
         sums = np.add.reduceat(n[order], pairs)
         slot = np.empty(len(x), np.int64)
-        slot[order] = np.cumsum(new) - 1
+        slot[order] = np.repeat(np.arange(len(pairs)), np.diff(np.append(pairs, len(x))))
         counts = sums[slot]
         if not depth:
             out.append(tail | {"n": int(sums.sum()), "v": int((sums > 0).sum())})
         else:
             at = order[pairs]
+            by = np.argsort(context[at], kind="stable")  # contexts whose routes share their first bits may lie mixed
+            at, sums = at[by], sums[by]
             groups = run_bounds(context[at])
             width = np.diff(np.append(groups, len(at)))
             once = np.add.reduceat((sums == 1).astype(np.int64), groups)
