@@ -2,8 +2,10 @@
 
 The two halves of the normalised vectors are quantised separately; a pair of centroids is a cell.
 A query walks the cells by the sum of its distances to the two centroids, with a heap, until the
-cells hold a set share of all entries; those entries are reranked by their exact cosine on the
-original vectors in double precision.
+cells hold a share of all entries; those entries are reranked by their exact cosine on the
+original vectors in double precision. The share is what pilot queries need within the sample for
+``TARGET_RECALL``: small where vectors have near neighbours, large where they have none. Neighbours are nearer in the
+whole table than in a sample of it, so its recall is the target or more.
 
 Identical vectors are one entry with their smallest ids (as many as a result can hold), so a vector
 that very many rows share costs no more than another. Entries are dealt to groups of about
@@ -11,8 +13,8 @@ that very many rows share costs no more than another. Entries are dealt to group
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part;
 every length of vectors has its own index; ties go to the smaller vec_id; fewer candidates
-than asked for give fewer rows; an empty table gives none. Rows that repeat an id are one. Further
-columns are not read.
+than asked for give fewer rows; an empty table gives none. Of rows that repeat an id the one with the least vector
+(in the order of arrays) stands for the id. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -31,12 +33,10 @@ from quantloom.llm.frames import materialize
 
 #: Entries that the centroids are fitted on, at most.
 SAMPLE = 20_000
-#: Share of the entries that a query's cells hold at least; sets recall (measured: tests and README).
-SHARE = 0.65
-#: But so many entries at least.
-LEAST_CANDIDATES = 1024
+#: Recall that the walk's length is fitted to, by so many of the sample's vectors, searched by brute force in the sample.
+TARGET_RECALL = 0.95
+PILOT = 256
 GROUP_ENTRIES = 8192
-MOST_CENTROIDS = 256
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -80,6 +80,24 @@ class MultiIndex:
         one, two = self.distances(x)
         return one.argmin(1) * len(self.right) + two.argmin(1)
 
+    def needed_share(self, x: np.ndarray, k: int, recall: float = TARGET_RECALL, pilot: int = PILOT) -> float:
+        """The share of the vectors ``x`` that walks must hold for so many of the ``k`` nearest of the first ``pilot`` ones."""
+        if len(x) < 2:
+            return 1.0
+        cell = self.cells(x)
+        counts = np.bincount(cell, minlength=len(self.counts))
+        one, two = self.distances(x[:pilot])
+        shares = []
+        for i in range(len(one)):
+            cosine = x @ x[i]
+            cosine[i] = -np.inf
+            near = np.argpartition(-cosine, min(k, len(x) - 1) - 1)[: min(k, len(x) - 1)]
+            order = np.argsort((one[i][:, None] + two[i]).ravel(), kind="stable")
+            reached = np.empty(len(order))
+            reached[order] = np.cumsum(counts[order]) / len(x)
+            shares.append(reached[cell[near]])
+        return float(np.quantile(np.concatenate(shares), recall))
+
     def walk(self, one: np.ndarray, two: np.ndarray, want: float) -> list[int]:
         """Cells by summed distance until they hold ``want`` entries: a heap over the sorted distances' grid."""
         a, b = np.argsort(one, kind="stable").tolist(), np.argsort(two, kind="stable").tolist()
@@ -114,15 +132,16 @@ def _thin(keep: int):
     return thin
 
 
-def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 5, share: float = SHARE, group_entries: int = GROUP_ENTRIES, sample: int = SAMPLE) -> DataFrame:
+def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 5, share: float | None = None, group_entries: int = GROUP_ENTRIES, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id and score: the ``k`` nearest rows found for every row of ``queries``, itself left out.
 
     Both tables hold vec_id and embedding; queries are rows of ``embeddings``.
     """
     spark = embeddings.sparkSession
     sound = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
-    rows = embeddings.where("vec_id is not null").where(sound).select("vec_id", "embedding", F.xxhash64("embedding").alias("h"))
-    asking = queries.where("vec_id is not null").where(sound)
+    one = F.min("embedding").alias("embedding")
+    rows = embeddings.where("vec_id is not null").where(sound).groupBy("vec_id").agg(one).select("vec_id", "embedding", F.xxhash64("embedding").alias("h"))
+    asking = queries.where("vec_id is not null").where(sound).groupBy("vec_id").agg(one)
     # A query is answered among the vectors of its length; each length has its own index.
     widths = sorted(r[0] for r in asking.select(F.size("embedding")).distinct().collect())
     found = [_nearest_of(rows.where(F.size("embedding") == w), asking.where(F.size("embedding") == w), w, k, share, group_entries, sample) for w in widths]
@@ -131,7 +150,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 5, share: float
     return reduce(DataFrame.unionByName, found)
 
 
-def _nearest_of(rows: DataFrame, queries: DataFrame, width: int, k: int, share: float, group_entries: int, sample: int) -> DataFrame:
+def _nearest_of(rows: DataFrame, queries: DataFrame, width: int, k: int, share: float | None, group_entries: int, sample: int) -> DataFrame:
     """``nearest`` over sound vectors of one length."""
     thin = rows.mapInArrow(_thin(k + 1), rows.schema)
     entries = materialize(
@@ -146,7 +165,9 @@ def _nearest_of(rows: DataFrame, queries: DataFrame, width: int, k: int, share:
     n_queries = searched.count()
 
     fit = entries.orderBy(F.xxhash64("entry")).limit(sample).select("embedding").toArrow()  # at most ``sample`` rows
-    index = MultiIndex(unit(_matrix(fit.column(0), width)), max(2, min(MOST_CENTROIDS, round(2 * total**0.25))))
+    fitted = unit(_matrix(fit.column(0), width))
+    index = MultiIndex(fitted, max(2, round(2 * total**0.25)))
+    wanted = max((index.needed_share(fitted, k) if share is None else share) * total, k + 1)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +176,7 @@ def _nearest_of(rows: DataFrame, queries: DataFrame, width: int, k: int, share:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=[*batch.schema.names, "cell"])
 
     placed = materialize(entries.select("entry", "embedding").mapInArrow(assign, "entry long, embedding array<float>, cell int"))
-    for r in placed.groupBy("cell").count().collect():  # at most MOST_CENTROIDS squared rows
+    for r in placed.groupBy("cell").count().collect():  # about 4 sqrt(total) rows
         index.counts[r["cell"]] = r["count"]
     first = np.append(0, np.cumsum(index.counts))
     q_blocks = max(1, -(-n_queries // group_entries))
@@ -166,8 +187,7 @@ def _nearest_of(rows: DataFrame, queries: DataFrame, width: int, k: int, share:
             cell, entry = batch.column("cell").to_numpy(), batch.column("entry").to_numpy()
             spread = (entry.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)).astype(np.int64) % np.maximum(index.counts[cell], 1)
             group = (first[cell] + spread) // group_entries
-            for b in range(q_blocks):
-                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(np.full(len(cell), b)), *batch.columns], names=["g", "b", *batch.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(group), *batch.columns], names=["g", *batch.schema.names])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query to the groups of the cells that it walks."""
@@ -178,7 +198,7 @@ def _nearest_of(rows: DataFrame, queries: DataFrame, width: int, k: int, share:
             g, b, row, cells = [], [], [], []
             for i, entry in enumerate(batch.column("entry").to_pylist()):
                 by_group: dict[int, list[int]] = {}
-                for cell in index.walk(one[i], two[i], max(share * total, LEAST_CANDIDATES)):
+                for cell in index.walk(one[i], two[i], wanted):
                     for group in range(int(first[cell]) // group_entries, (int(first[cell + 1]) - 1) // group_entries + 1):
                         by_group.setdefault(group, []).append(cell)
                 for group, own in by_group.items():
@@ -205,9 +225,11 @@ def _nearest_of(rows: DataFrame, queries: DataFrame, width: int, k: int, share:
                     query.append(np.full(len(mine), names[a + i])), entry.append(ids[mine]), score.append(own[mine])
         return pa.table({"q_entry": np.concatenate(query), "entry": np.concatenate(entry), "score": np.concatenate(score)})
 
-    dealt = placed.mapInArrow(deal, "g long, b long, entry long, embedding array<float>, cell int")
-    routed = searched.mapInArrow(route, "g long, b long, entry long, embedding array<float>, cells array<int>")
-    found = routed.groupBy("g", "b").cogroup(dealt.groupBy("g", "b")).applyInArrow(rerank, "q_entry long, entry long, score double")
+    routed = materialize(searched.mapInArrow(route, "g long, b long, entry long, embedding array<float>, cells array<int>"))
+    # A group's entries go to the blocks of queries that ask for it, once to each.
+    asks = routed.select(F.col("g").alias("group"), F.col("b").alias("block")).distinct()
+    dealt = placed.mapInArrow(deal, "g long, entry long, embedding array<float>, cell int").join(asks, F.col("g") == F.col("group")).select("group", "block", "entry", "embedding", "cell")
+    found = routed.groupBy("g", "b").cogroup(dealt.groupBy("group", "block")).applyInArrow(rerank, "q_entry long, entry long, score double")
     top = found.withColumn("n", F.row_number().over(W.partitionBy("q_entry").orderBy(F.desc("score"), "entry"))).where(F.col("n") <= k + 1)
     named = top.join(entries.select("entry", "ids"), "entry").select("q_entry", "score", F.explode("ids").alias("vec_id"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
