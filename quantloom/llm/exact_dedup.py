@@ -28,6 +28,8 @@ from quantloom.llm.golomb import decode, encode
 FINGERPRINT_BITS = 48
 #: A chunk is what a task sends at once.
 CHUNK_ROWS = 200_000
+#: Rows whose fingerprints an owner holds, about.
+OWNER_ROWS = 500_000
 
 _WHITE = b" \t\n\x0b\x0c\r"
 _SENT = (
@@ -119,7 +121,7 @@ def _answer(group: pa.Table) -> pa.Table:
 
 def exact_groups(documents: DataFrame, owners: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """doc_id, text_key, keep_id, group_size, kept and text_sha256 of every row of ``documents`` (doc_id, text)."""
-    owners = owners or owner_count(documents.sparkSession)
+    owners = owners or owner_count(documents.count(), OWNER_ROWS)
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     sent = materialize(docs.mapInArrow(_sender(owners, chunk_rows), _SENT))
     answers = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is configured and all run on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quantloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -37,9 +40,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def owner_count(spark: SparkSession) -> int:
-    """How many hash ranges an exchange is dealt to: the session's shuffle partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def owner_count(amount: int, most: int) -> int:
+    """How many hash ranges an exchange is dealt to, so that each gets about ``most`` of the ``amount``; eight at least."""
+    return max(8, -(-amount // most))
+
+
+def text_volume(documents: DataFrame) -> int:
+    """Bytes of all texts."""
+    return documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
 def crc_bucket(doc_id: str, modulus: int):

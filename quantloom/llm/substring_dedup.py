@@ -22,12 +22,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.frames import materialize, owner_count, slices, text_bytes
+from quantloom.llm.frames import materialize, owner_count, slices, text_bytes, text_volume
 from quantloom.llm.words import SPACE, hash_words, mix, roll, run_bounds, runs_in_rows
 
 WINDOW = 50
 #: Windows that a task holds and compares at once before it sends them.
 CHUNK_WINDOWS = 2_000_000
+#: Bytes of text whose windows an owner holds, about.
+OWNER_BYTES = 16 << 20
 
 _SENT = "owner int, settled boolean, hashes binary, places binary"
 _ANSWER = "bucket int, places binary"
@@ -141,7 +143,7 @@ def _by_document(group: pa.Table) -> pa.Table:
 
 def repeated_windows(documents: DataFrame, window: int = WINDOW, owners: int | None = None, chunk_windows: int = CHUNK_WINDOWS) -> DataFrame:
     """doc_id, text_key and packed 32-bit word starts of the windows that a smaller doc_id has as well."""
-    owners = owners or owner_count(documents.sparkSession)
+    owners = owners or owner_count(text_volume(documents), OWNER_BYTES)
     docs = documents.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     sent = docs.mapInArrow(_sender(owners, window, chunk_windows), _SENT)
     return sent.groupBy("owner").applyInArrow(_answerer(owners), _ANSWER).groupBy("bucket").applyInArrow(_by_document, _FOUND)
