@@ -57,11 +57,12 @@ AIMED, NEGATED, REPORTED, BARE_THREAT = 1.25, 0.3, 0.7, 0.05
 SEED_WEIGHT = 3.0
 #: Bound: labelled rows for lexicons and calibration.
 FIT_ROWS = 20_000
-#: A learned arc is found in so many documents at least, its log odds are so large, and the deviance of its counts is the
-#: square of so many standard deviations (insults; the other arcs change what an insult is worth and need more).
+#: A learned arc is found in so many documents at least, its log odds are so large, and the deviance of its counts is more than
+#: chance gives the best of all terms that were tested (twice the logarithm of their number) by a margin: none for insults;
+#: the other arcs change what an insult is worth and need more.
 LEAST_DOCUMENTS = 3
 LEAST_LOG_ODDS = 1.5
-INSULT_DEVIATIONS, OTHER_DEVIATIONS = 3.3, 5.0
+INSULT_MARGIN, OTHER_MARGIN = 0.0, 10.0
 PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 
@@ -304,26 +305,38 @@ def _sums(counted: DataFrame) -> DataFrame:
     return counted.groupBy("term", "slot").agg(F.sum(F.col("n") * F.col("toxic")).alias("t"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("c"))
 
 
-def _arcs(sums: DataFrame, toxic: int, clean: int, sign: int, deviations: float) -> list:
+def _arcs(sums: DataFrame, toxic: int, clean: int, sign: int, margin: float) -> list:
     """Terms that are significantly likelier on one side (``sign``): term, slot and log odds."""
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     n, share = F.col("t") + F.col("c"), toxic / (toxic + clean) if toxic else 0.5
     deviance = 2 * (F.col("t") * F.log(F.greatest("t", F.lit(1)) / (n * share)) + F.col("c") * F.log(F.greatest("c", F.lit(1)) / (n * (1 - share))))
-    found = sums.where(F.col("t" if sign > 0 else "c") >= LEAST_DOCUMENTS).withColumn("odds", odds).where((sign * F.col("odds") >= LEAST_LOG_ODDS) & (deviance >= deviations**2))
+    tested = sums.where(F.col("t" if sign > 0 else "c") >= LEAST_DOCUMENTS)
+    least = 2 * np.log(max(tested.count(), 1)) + margin
+    found = tested.withColumn("odds", odds).where((sign * F.col("odds") >= LEAST_LOG_ODDS) & (deviance >= float(least)))
     return found.select("term", "slot", "odds").collect()  # terms of at most ``FIT_ROWS`` documents
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton's method."""
+def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[float, ...]:
+    """Ridge logistic regression by Newton's method; steps are halved until they improve the fit."""
     x = np.column_stack((np.ones(len(x)), x))
     w = np.zeros(x.shape[1])
-    penalty = np.diag([1e-3] + [ridge] * (x.shape[1] - 1))
+    penalty = np.array([1e-3] + [ridge] * (x.shape[1] - 1))
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * penalty @ w**2)
+
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-        w += np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        size, then = 1.0, loss(w + step)
+        while then > now and size > 1e-6:
+            size /= 2
+            then = loss(w + size * step)
+        if now - then < 1e-9 * max(now, 1.0):
             break
+        w, now = w + size * step, then
     return tuple(w.tolist())
 
 
@@ -331,23 +344,25 @@ def learn_arcs(rows: DataFrame, sizes: dict[int, int]) -> Grammar:
     """The seed grammar with the arcs that labelled ``rows`` (text, toxic) add."""
     seeds = Grammar().words
     sums = materialize(_sums(rows.mapInArrow(_by_documents(_lexical), _TERM_ROWS)))
-    plain = {r["term"]: min(r["odds"], 6.0) for r in _arcs(sums.where("slot = 0"), sizes[1], sizes[0], 1, INSULT_DEVIATIONS)}
-    aimed = {r["term"]: min(r["odds"], 6.0) for r in _arcs(sums.where("slot = 1"), sizes[1], sizes[0], 1, OTHER_DEVIATIONS)}
+    plain = {r["term"]: min(r["odds"], 6.0) for r in _arcs(sums.where("slot = 0"), sizes[1], sizes[0], 1, INSULT_MARGIN)}
+    aimed = {r["term"]: min(r["odds"], 6.0) for r in _arcs(sums.where("slot = 1"), sizes[1], sizes[0], 1, OTHER_MARGIN)}
     prefixes = {w[:-1]: odds for w, odds in plain.items() if w[-1] == "*"}
     beginnings = {w: any(w[:n] in prefixes for n in PREFIXES) for w in aimed}
     words = {w: ("threat", odds) for w, odds in aimed.items() if w not in plain and not beginnings[w]}
-    words |= seeds | {w: ("insult", odds) for w, odds in plain.items() if w[-1] != "*" and seeds.get(w, ("insult",))[0] == "insult"}
+    seen = [plain[w] for w in INSULTS if w in plain]
+    typical = float(np.median(seen)) if seen else SEED_WEIGHT  # what seeds that the sample hardly has are worth beside learned weights
+    words |= {w: (symbol, typical) for w, (symbol, _) in seeds.items()} | {w: ("insult", odds) for w, odds in plain.items() if w[-1] != "*" and seeds.get(w, ("insult",))[0] == "insult"}
     grammar = Grammar(words, prefixes)
 
     learned: dict[str, tuple[str, float]] = {}
     before = materialize(_sums(rows.mapInArrow(_by_documents(_before_insults(grammar)), _TERM_ROWS)))
     held = before.where("term = ''").first()
     if held:
-        for r in sorted(_arcs(before.where("term <> ''"), held["t"], held["c"], -1, OTHER_DEVIATIONS), key=lambda r: -r["slot"]):
+        for r in sorted(_arcs(before.where("term <> ''"), held["t"], held["c"], -1, OTHER_MARGIN), key=lambda r: -r["slot"]):
             learned[r["term"]] = (("negation", "report")[r["slot"]], SEED_WEIGHT)
     beside = materialize(_sums(rows.mapInArrow(_with_insults(grammar), _TERM_ROWS)))
     inside, outside = beside.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    learned = {r["term"]: ("target", SEED_WEIGHT) for r in _arcs(beside, inside, outside, 1, OTHER_DEVIATIONS)} | learned
+    learned = {r["term"]: ("target", SEED_WEIGHT) for r in _arcs(beside, inside, outside, 1, OTHER_MARGIN)} | learned
     return Grammar(learned | words, prefixes)
 
 
