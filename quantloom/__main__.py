@@ -21,6 +21,7 @@ def main() -> None:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--provider", default="synthetic")
     p.add_argument("--folder")
+    p.add_argument("--prices-url", help="the vendor's feed of prices")
     p.add_argument("--tickers", help="comma-separated; all of the provider's if left out")
     p.add_argument("--universe-top", type=int, help="the first so many companies of the public listing")
     p.add_argument("--start", type=dt.date.fromisoformat, required=True)
@@ -33,7 +34,7 @@ def main() -> None:
     p.add_argument("--audit")
     a = p.parse_args()
     spark = SparkSession.builder.appName("quantloom").getOrCreate()
-    source = provider(spark, a.provider, **({"folder": a.folder} if a.folder else {}))
+    source = provider(spark, a.provider, **{k: v for k, v in (("folder", a.folder), ("prices_url", a.prices_url)) if v})
     audit = AuditLog(a.audit) if a.audit else None
     tickers = a.tickers.split(",") if a.tickers else None
     if a.universe_top:
@@ -45,7 +46,7 @@ def main() -> None:
     facts = pinned.fundamentals(tickers, a.start - dt.timedelta(days=550), a.end)
     options = {"score_every": a.score_every, "n_trials": a.n_trials, "audit": audit}
     if a.oos:
-        result = train_test_backtest(bars, facts, train_test_split(a.start, a.end, embargo_days=a.embargo_days), **options)
+        result = train_test_backtest(bars, facts, train_test_split(a.start, a.end, embargo_days=a.embargo_days), out=a.out, **options)
     else:
         result = fundamental_backtest(bars, facts, a.start, a.end, out=a.out, **options)
     print(json.dumps(result, default=str, indent=1))

@@ -74,10 +74,18 @@ def fundamental_backtest(bars: DataFrame, fundamentals: DataFrame, start: dt.dat
     scores = signals.fundamental_factors(facts, core.score_dates(priced, score_every)).withColumn("signal", F.lit("fundamental_factors"))
     result = run_backtest(scores, priced, n_trials, audit=audit)
     if out:
-        write_artifact(out, canonical({k: v if not isinstance(v, float) or math.isfinite(v) else str(v) for k, v in result.items()}).encode())
+        write_artifact(out, canonical(_plain(result)).encode())
     return result
 
 
-def train_test_backtest(bars: DataFrame, fundamentals: DataFrame, split: stats.Split, **options) -> Mapping[str, dict]:
-    """Two independent runs, each seeing only what its window's end allows."""
-    return {name: fundamental_backtest(bars, fundamentals, *window, **options) for name, window in (("train", split.train), ("test", split.test))}
+def _plain(result: Mapping) -> dict:
+    """The result with numbers that JSON doesn't know as text."""
+    return {k: _plain(v) if isinstance(v, Mapping) else v if not isinstance(v, float) or math.isfinite(v) else str(v) for k, v in result.items()}
+
+
+def train_test_backtest(bars: DataFrame, fundamentals: DataFrame, split: stats.Split, *, out: str | None = None, **options) -> Mapping[str, dict]:
+    """Two independent runs, each seeing only what its window's end allows; ``out`` gets both."""
+    result = {name: fundamental_backtest(bars, fundamentals, *window, **options) for name, window in (("train", split.train), ("test", split.test))}
+    if out:
+        write_artifact(out, canonical(_plain(result)).encode())
+    return result

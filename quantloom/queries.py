@@ -682,12 +682,16 @@ def audit_verify(spark, d):
 
 
 @query(
-    r"""SELECT path, line, 'credential literal' AS rule FROM (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS value, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents)
-    WHERE regexp_matches(value, '(?i)(api_?key|password|secret|token)\s*=\s*[''"][^''"]{8,}[''"]')""",
+    r"""WITH lines AS (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS value, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents)
+    SELECT path, line, unnest(list_filter([
+        CASE WHEN regexp_matches(value, 'os\.(environ|getenv)') THEN 'environment access' END, CASE WHEN regexp_matches(value, '^\s*print\(') THEN 'print call' END,
+        CASE WHEN regexp_matches(value, '^\s*except\s*:') THEN 'bare except' END,
+        CASE WHEN regexp_matches(value, '(?i)(api_?key|password|secret|token)\s*=\s*[''"][^''"]{8,}[''"]') THEN 'credential literal' END,
+        CASE WHEN regexp_matches(value, '(datetime\.now|date\.today|time\.time)\(') THEN 'wall clock' END], lambda r : r IS NOT NULL)) AS rule FROM lines""",
 )
 def code_scan(spark, d):
     lines = market.read(spark, d, "documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("line", "value"))
-    return lifecycle.code_findings(lines.withColumn("line", (F.col("line") + 1).cast("long"))).where("rule = 'credential literal'")
+    return lifecycle.code_findings(lines.withColumn("line", (F.col("line") + 1).cast("long")))
 
 
 # Streaming
