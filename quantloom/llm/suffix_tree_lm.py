@@ -18,7 +18,7 @@ symbols; only the sums of these (at most 1 / SPLIT_SHARE a level) pass through t
 
 Defined results: tokens are runs of bytes other than ``[\\x20\\x09-\\x0D]``, A to Z lower-cased, and one end; a null text
 counts as empty; without training tokens N and V are 0. Repeated rows count and are scored each. Words and contexts
-are told apart by 64-bit hashes. An empty table gives no rows; further columns are not read.
+are told apart by 64-bit hashes, a context's next symbols by 48 bits. An empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.frames import crc_bucket, materialize, text_bytes
+from quantloom.llm.frames import crc_bucket, materialize, owner_count, text_bytes
 from quantloom.llm.words import LOWER, SPACE, hash_words, mix, run_bounds
 
 #: Occurrences from which words can be a context.
@@ -45,7 +45,7 @@ LEAST_GAIN, STOP_GAIN = 0.01, 0.05
 #: Contexts of a larger share of the tokens are split over owners.
 SPLIT_SHARE = 2.0**-16
 #: Bytes of text in a chunk, about, and of the corpus for each owner.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES, OWNER_BYTES = 4 << 20, 8 << 20
 
 END, BEGIN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
@@ -75,6 +75,17 @@ def _ordered(route: np.ndarray, key: np.ndarray) -> np.ndarray:
     return route & _ROUTE | key >> np.uint64(24)
 
 
+def _short(x: np.ndarray) -> bytes:
+    """48 bits of each hash: enough to tell a context's next symbols apart."""
+    return x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _code(p: np.ndarray) -> bytes:
     """Probabilities in two bytes: steps of 2^-11 of their binary logarithms."""
     return np.minimum(np.rint(-np.log2(p) * 2048), 65535).astype(np.uint16).tobytes()
@@ -102,6 +113,14 @@ class Model:
     v: int = 0
     levels: list[Level] = field(default_factory=list)
 
+    @property
+    def split_from(self) -> float:
+        """Occurrences from which a context is split: more than an owner's share of the tokens, and than ``SPLIT_SHARE``."""
+        return max(self.n / self.owners, SPLIT_SHARE * self.n, 1)
+
+    def parts(self, total: np.ndarray) -> np.ndarray:
+        return np.where(total >= self.split_from, 1 + total * self.owners // max(self.n, 1), 1)
+
 
 _PACKED = "chunk string, docs binary"
 
@@ -163,10 +182,9 @@ class Chunk:
         x, context = self.x[on], self.context[on]
         if self.depth:
             total = self.total[on]
-            parts = np.where(total > SPLIT_SHARE * model.n, 1 + total * model.owners // max(model.n, 1), 1)
             route = mix(context)
-            many = np.flatnonzero(parts > 1)
-            route[many] = mix(context[many] + _share(mix(x[many]), parts[many]).astype(np.uint64) + np.uint64(1))
+            many = np.flatnonzero(total >= model.split_from)
+            route[many] = mix(context[many] + _share(mix(x[many]), model.parts(total[many])).astype(np.uint64) + np.uint64(1))
             key = _ordered(route, _key(context, x))
         else:
             key = route = mix(x)
@@ -182,15 +200,15 @@ class Chunk:
 
     def question(self, keys: slice) -> dict[str, bytes | None]:
         at = self.first[keys]
-        out: dict[str, bytes | None] = {"x": self.x[at].tobytes(), "n": _zip(self.n[keys].astype(np.int32)), "contexts": None, "runs": None, "totals": None, "p": None}
+        out: dict[str, bytes | None] = {"x": _short(self.x[at]) if self.depth else self.x[at].tobytes(), "n": _zip(self.n[keys].astype(np.int32)), "contexts": None, "runs": None, "totals": None, "p": None}
         if self.depth:
             heads = run_bounds(self.context[at])
             out |= {"contexts": self.context[at[heads]].tobytes(), "runs": _zip(np.diff(np.append(heads, len(at))).astype(np.int32))}
             out |= {"totals": _zip(self.total[at[heads]]), "p": _code(self.p[at])}
         return out
 
-    def hear(self, answers: dict[int, tuple[bytes, bytes | None, bytes | None]]) -> None:
-        """Take the owners' answers to what was asked: counts, and the contexts' symbols seen once and fates."""
+    def hear(self, answers: dict[int, tuple[bytes, bytes | None, bytes | None]], more: bool) -> None:
+        """Take the owners' answers to what was asked: counts, and the contexts' symbols seen once and fates; go deeper for ``more``."""
         asked = self.ask()
         n, once, kept = np.zeros(len(self.first), np.int64), np.zeros(len(self.first), np.int64), np.zeros(len(self.first), bool)
         for owner, keys in asked:
@@ -218,7 +236,8 @@ class Chunk:
             stay = kept[self.slot]
             i, c = on[stay], n[self.slot][stay]
             self.p[i] = (np.where(c >= 2, c, 0) + (KAPPA + once[self.slot][stay]) * self.p[i]) / (self.total[i] + KAPPA)
-        self.deepen(gram)
+        if more:
+            self.deepen(gram)
 
     def deepen(self, gram: np.ndarray) -> None:
         """The candidates of the next depth: one word more, often enough, with a state as suffix."""
@@ -247,14 +266,14 @@ def _schema(columns: str) -> pa.Schema:
     return pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in columns.split(", ")])
 
 
-def _replayed(model: Model, packed: dict, told: list[dict]) -> Chunk:
-    """A chunk with all levels' answers taken."""
+def _replayed(model: Model, packed: dict, told: list[dict], more: bool) -> Chunk:
+    """A chunk with all levels' answers taken; with the next level's candidates for ``more``."""
     chunk = Chunk(model, packed["docs"])
     by_depth: dict[int, dict] = {}
     for r in told:
         by_depth.setdefault(r["depth"], {})[r["owner"]] = (r["counts"], r["once"], r["kept"])
     for depth in range(len(model.levels) + 1):
-        chunk.hear(by_depth.get(depth, {}))
+        chunk.hear(by_depth.get(depth, {}), more or depth < len(model.levels))
     return chunk
 
 
@@ -274,7 +293,7 @@ def _ask_symbols(model: Model):
 def _ask_contexts(model: Model):
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         (packed,) = left.to_pylist()
-        return pa.Table.from_pylist(_questions(_replayed(model, packed, right.to_pylist()), packed["chunk"]), schema=_schema(_ASKED))
+        return pa.Table.from_pylist(_questions(_replayed(model, packed, right.to_pylist(), True), packed["chunk"]), schema=_schema(_ASKED))
 
     return ask
 
@@ -290,7 +309,7 @@ def _answerer(model: Model, depth: int):
 
     def answer(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        x = [np.frombuffer(r["x"], np.uint64) for r in rows]
+        x = [_long(r["x"]) if depth else np.frombuffer(r["x"], np.uint64) for r in rows]
         size = [len(a) for a in x]
         x, n = np.concatenate(x), np.concatenate([_unzip(r["n"], np.int32) for r in rows]).astype(np.int64)
         out, tail = [], dict.fromkeys(c.split()[0] for c in _TOLD.split(", "))
@@ -317,7 +336,7 @@ def _answerer(model: Model, depth: int):
             width = np.diff(np.append(groups, len(at)))
             once = np.add.reduceat((sums == 1).astype(np.int64), groups)
             whole = total[at[groups]]
-            parts = np.where(whole > SPLIT_SHARE * model.n, 1 + whole * model.owners // max(model.n, 1), 1)
+            parts = model.parts(whole)
             gain = np.add.reduceat(left_out_gain(sums, p[at], np.repeat(whole, width), np.repeat(once * parts, width)), groups)
             kept = gain / whole >= LEAST_GAIN
             alone = parts == 1
@@ -375,7 +394,7 @@ def _scorer(model: Model):
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         (packed,) = left.to_pylist()
-        chunk = _replayed(model, packed, right.to_pylist())
+        chunk = _replayed(model, packed, right.to_pylist(), False)
         n = chunk.rows.num_rows
         base = np.log10((chunk.count + 1.0) / (model.n + model.v + 1.0))
         columns = {
@@ -392,7 +411,7 @@ def _scored(rows: DataFrame, owners: int | None, depth: int | None) -> DataFrame
     packed = materialize(rows.mapInArrow(_packer, _PACKED))
     if owners is None:
         size = packed.agg(F.coalesce(F.sum(F.octet_length("docs")), F.lit(0))).first()[0]
-        owners = max(8, -(-3 * size // CHUNK_BYTES))  # texts are about three times as long as packed
+        owners = owner_count(3 * size, OWNER_BYTES)  # texts are about three times as long as packed
     model, answers = _trained(packed, owners, depth)
     scored = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scorer(model), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
