@@ -132,7 +132,7 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts).combine_chunks()
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as out:
             out.write_table(rows)
         parts.clear()
         return pa.RecordBatch.from_arrays([pa.array([f"{task}-{sent}"]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "docs"])
