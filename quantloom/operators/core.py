@@ -88,6 +88,19 @@ def split_label(day: Column, train: tuple[dt.date, dt.date], test: tuple[dt.date
     return F.when(day.between(*train), "train").when(day.between(*test), "test")
 
 
+def assert_out_of_sample(train: DataFrame, test: DataFrame, known_on: str, embargo_days: int = 0) -> None:
+    """A LeakError unless all of ``test`` became known after ``train``, with so many days between; an empty side passes."""
+    last = train.agg(F.max(F.col(known_on).cast("date"))).first()[0]
+    first = test.agg(F.min(F.col(known_on).cast("date"))).first()[0]
+    if last is None or first is None:
+        return
+    between = (first - last).days - 1
+    if between < 0:
+        raise LeakError(f"test records start on {first}, train records end on {last}")
+    if between < embargo_days:
+        raise LeakError(f"{between} days between train and test records, {embargo_days} required")
+
+
 # Returns
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,6 +21,52 @@ def latest(events: DataFrame) -> DataFrame:
     return events.groupBy("name").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in events.columns if c not in ("name", "seq")), F.max("seq").alias("seq"))
 
 
+class RegistryError(ValueError):
+    """A name that is taken or unknown, an unknown metric, or a forbidden step."""
+
+
+def insert(events: DataFrame, new: DataFrame) -> DataFrame:
+    """``events`` with the first rows of new signals (name and any metrics), DISCOVERED; a name that is taken or comes twice is an error."""
+    names = new.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    taken = names.join(events.select("name").distinct(), "name", "left_semi").unionByName(names.where("n > 1")).first()
+    if taken:
+        raise RegistryError(f"signal already registered: {taken['name']}")
+    first = new.withColumns({"seq": F.lit(1).cast(events.schema["seq"].dataType), "status": F.lit("DISCOVERED")})
+    return events.unionByName(first, allowMissingColumns=True)
+
+
+def get(events: DataFrame, name: str) -> Row | None:
+    """The current row of one signal, None if there is none."""
+    return latest(events.where(F.col("name") == name)).first()
+
+
+def require(events: DataFrame, name: str) -> Row:
+    """The current row of one signal, or a RegistryError."""
+    if (found := get(events, name)) is None:
+        raise RegistryError(f"no such signal: {name}")
+    return found
+
+
+def _appended(events: DataFrame, values: dict) -> DataFrame:
+    row = events.sparkSession.range(1).select(*(F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in events.schema))
+    return events.unionByName(row)
+
+
+def update_metrics(events: DataFrame, name: str, **metrics: object) -> DataFrame:
+    """``events`` with a row that holds new values of metrics and no status; those given as None stay as they are."""
+    if strange := sorted(set(metrics) - (set(events.columns) - {"name", "seq", "status"})):
+        raise RegistryError(f"no such metric: {', '.join(strange)}")
+    return _appended(events, metrics | {"name": name, "seq": require(events, name)["seq"] + 1})
+
+
+def advance(events: DataFrame, name: str, status: str, **fields: object) -> DataFrame:
+    """``events`` with the next step of a signal, or a RegistryError if the lifecycle forbids it."""
+    now = require(events, name)
+    if (now["status"], status) not in TRANSITIONS:
+        raise RegistryError(f"{name}: {now['status']} cannot become {status}")
+    return _appended(events, fields | {"name": name, "seq": now["seq"] + 1, "status": status})
+
+
 def by_status(events: DataFrame, status: str) -> DataFrame:
     return latest(events).where(F.col("status") == status).orderBy("name")
 
@@ -32,10 +78,13 @@ def stamped(events: DataFrame) -> DataFrame:
 
 
 def bad_transitions(events: DataFrame) -> DataFrame:
-    """name, seq, before, status of every step that the lifecycle forbids; a first status must be DISCOVERED."""
+    """name, seq, before, status of every step that the lifecycle forbids; a first status must be DISCOVERED.
+
+    Rows without a status (updates of metrics) are no steps.
+    """
     spark: SparkSession = events.sparkSession
     allowed = spark.createDataFrame(TRANSITIONS, "before string, status string")
-    steps = events.select("name", "seq", "status", F.lag("status").over(W.partitionBy("name").orderBy("seq")).alias("before"))
+    steps = events.where("status is not null").select("name", "seq", "status", F.lag("status").over(W.partitionBy("name").orderBy("seq")).alias("before"))
     started = steps.where("before is null and status <> 'DISCOVERED'")
     wrong = steps.where("before is not null").join(F.broadcast(allowed), ["before", "status"], "left_anti")  # seven rows
     return started.select("name", "seq", "before", "status").unionByName(wrong.select("name", "seq", "before", "status"))

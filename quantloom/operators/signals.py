@@ -50,6 +50,29 @@ def earnings_surprise(estimates: DataFrame, day: dt.date | str, metric: str = "E
     return _weighted(parts, ("expert", "trend", "management"), weights)
 
 
+def earnings_surprise_on(estimates: DataFrame, dates: DataFrame, metric: str = "EPS", weights: Sequence[float] = (1 / 3, 1 / 3, 1 / 3)) -> DataFrame:
+    """``earnings_surprise`` of every date in one plan, as a loop over the days would give it.
+
+    A ticker's figures are running aggregates over its estimates; two tickers are peers from the day on which an analyst
+    had covered both.
+    """
+    last = dates.agg(F.max("date")).first()[0]
+    scoped = estimates.where(F.col("metric") == metric)
+    known = require_flagged(as_of(scoped, last, "estimate_date") if last else scoped.limit(0)).withColumn("a", F.coalesce("analyst_accuracy", F.lit(DEFAULT_ACCURACY)))
+    run = W.partitionBy("ticker").orderBy("estimate_date").rangeBetween(W.unboundedPreceding, 0)
+    held, spread = F.sum("a").over(run), F.when(F.count("value").over(run) > 1, F.stddev_pop("value").over(run)).otherwise(0.0)
+    expert = F.when(held > 0, F.sum(F.col("a") * F.col("value")).over(run) / F.nullif(held, F.lit(0.0)) - F.avg("value").over(run)).otherwise(0.0)
+    own = known.select("ticker", "estimate_date", expert.alias("expert"), (-spread).alias("management"))
+    now = as_of_join(grid(dates, own), own, "ticker", "date", "estimate_date", ["expert", "management"]).where("management is not null")
+    covered = known.groupBy("ticker", "analyst_id").agg(F.min("estimate_date").alias("since"))
+    other = covered.select(F.col("ticker").alias("peer"), "analyst_id", F.col("since").alias("p_since"))
+    pairs = covered.join(other, "analyst_id").where("ticker <> peer").groupBy("ticker", "peer").agg(F.min(F.greatest("since", "p_since")).alias("since"))
+    theirs = now.select(F.col("ticker").alias("peer"), "date", F.col("expert").alias("theirs"))
+    trend = pairs.join(theirs, "peer").where("date >= since").groupBy("date", "ticker").agg(F.avg("theirs").alias("trend"))
+    parts = now.join(trend, ["date", "ticker"], "left").withColumn("trend", F.coalesce("trend", F.lit(0.0)))
+    return _weighted(parts, ("expert", "trend", "management"), weights)
+
+
 def fundamental_factors(fundamentals: DataFrame, dates: DataFrame, weights: Sequence[float] = (1 / 3, 1 / 3, 1 / 3)) -> DataFrame:
     """Low accruals, return on assets and revenue acceleration of the latest period known on each date."""
     by = W.partitionBy("ticker").orderBy("report_date")

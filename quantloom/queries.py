@@ -466,6 +466,18 @@ def sig_earnings_surprise(spark, d):
     return signals.earnings_surprise(market.estimates(spark, d), CUTOFF).drop("rank_score")
 
 
+@query(
+    _composite_sql("expert trend management", "parts"),
+    f"""{MONTHLY}, {ESTIMATES}, {SCORE_DAYS}, known AS (SELECT d.date, e.*, coalesce(analyst_accuracy, 0.5::DOUBLE) AS a FROM days d JOIN estimates e ON e.estimate_date <= d.date WHERE metric = 'EPS'),
+    own AS (SELECT date, ticker, CASE WHEN sum(a) > 0 THEN sum(a * value) / sum(a) - avg(value) ELSE 0 END AS expert, -CASE WHEN count(*) > 1 THEN stddev_pop(value) ELSE 0 END AS management FROM known GROUP BY ALL),
+    peers AS (SELECT DISTINCT x.date, x.ticker, y.ticker AS peer FROM known x JOIN known y USING (date, analyst_id) WHERE x.ticker <> y.ticker),
+    trends AS (SELECT p.date, p.ticker, avg(o.expert) AS trend FROM peers p JOIN own o ON p.peer = o.ticker AND p.date = o.date GROUP BY ALL),
+    parts AS (SELECT date, ticker, expert, management, coalesce(trend, 0) AS trend FROM own LEFT JOIN trends USING (date, ticker))""", "raw_score",
+)
+def sig_earnings_surprise_dates(spark, d):
+    return signals.earnings_surprise_on(market.estimates(spark, d), _days(spark, d)).drop("rank_score")
+
+
 @query(
     _composite_sql("accruals roa acceleration", "parts"),
     f"""{MONTHLY}, {FUNDAMENTALS}, {SCORE_DAYS}, facts AS (SELECT ticker, report_date, -(net_income - operating_cash_flow) / total_assets AS accruals, net_income / total_assets AS roa,
@@ -723,17 +735,20 @@ def backtest_report(spark, d):
 
 @query()
 def optimal_weights(spark, d):
-    import numpy as np
+    from quantloom.plans.research import ic_weights
+    from quantloom.sources.storage import checkpointed
+
+    return spark.createDataFrame(list(ic_weights(checkpointed(_ics(spark, d))).items()), "signal string, weight double")
 
-    from quantloom.plans import stats
 
-    ics = _ics(spark, d)
-    means = {r["signal"]: r["mean_ic"] for r in core.ic_summary(core.common_ic(ics)).collect()}
-    cov = {(r["a"], r["b"]): r["cov"] for r in core.ic_covariance(ics).collect()}
-    names = sorted(means)
-    n = core.common_ic(ics).select("date").distinct().count()
-    weights = stats.optimal_weights(names, np.array([means[x] for x in names]), np.array([[cov[a, b] for b in names] for a in names]), n)
-    return spark.createDataFrame(list(weights.items()), "signal string, weight double")
+@query()
+def research_book(spark, d):
+    from quantloom.plans.research import four_signals
+    from quantloom.plans.research import research_book as build
+
+    bars = market.bars(spark, d)
+    scores = four_signals(bars, market.estimates(spark, d), market.fundamentals(spark, d), market.ownership(spark, d), market.links(spark, d), _days(spark, d))
+    return build(scores, bars)[0]
 
 
 @query()
