@@ -30,6 +30,8 @@ FINGERPRINT_BITS = 48
 CHUNK_ROWS = 200_000
 #: Rows whose fingerprints an owner holds, about.
 OWNER_ROWS = 500_000
+#: Groups of over 1/HOT_GROUPS of all rows, fewer than HOT_GROUPS, are sent to their rows instead of these to one task.
+HOT_GROUPS = 1_000
 
 _WHITE = b" \t\n\x0b\x0c\r"
 _SENT = (
@@ -121,7 +123,8 @@ def _answer(group: pa.Table) -> pa.Table:
 
 def exact_groups(documents: DataFrame, owners: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """doc_id, text_key, keep_id, group_size, kept and text_sha256 of every row of ``documents`` (doc_id, text)."""
-    owners = owners or owner_count(documents.count(), OWNER_ROWS)
+    total = documents.count()
+    owners = owners or owner_count(total, OWNER_ROWS)
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     sent = materialize(docs.mapInArrow(_sender(owners, chunk_rows), _SENT))
     answers = (
@@ -137,7 +140,7 @@ def exact_groups(documents: DataFrame, owners: int | None = None, chunk_rows: in
     marked = materialize(marked)
     suspects = marked.where("suspect")
     wanted = suspects.select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key")).distinct()
-    verified = (
+    verified = materialize(
         docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_key") == F.col("s_key")), "left_semi")
         .groupBy(normalized(F.col("text")).alias("bytes"), F.length(F.coalesce("text", F.lit(""))).alias("n_points"))
         .agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
@@ -145,7 +148,10 @@ def exact_groups(documents: DataFrame, owners: int | None = None, chunk_rows: in
         .groupBy("text_sha256")
         .agg(F.sum("n").alias("group_size"), F.max_by("first_id", F.struct("n_points", -F.coalesce("first_id", F.lit(2**63 - 1)))).alias("keep_id"))
     )
-    found = suspects.join(verified, "text_sha256", "left").select("doc_id", "text_key", "keep_id", "group_size", "text_sha256")
+    large = F.col("group_size") > max(1, total // HOT_GROUPS)
+    hot = F.broadcast(verified.where(large))  # fewer than ``HOT_GROUPS`` rows
+    rest = suspects.join(hot, "text_sha256", "left_anti").join(verified.where(~large), "text_sha256", "left")
+    found = suspects.join(hot, "text_sha256").unionByName(rest).select("doc_id", "text_key", "keep_id", "group_size", "text_sha256")
     alone = marked.where("not suspect").select("doc_id", "text_key", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     return found.unionByName(alone).select("doc_id", "text_key", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
