@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Owners that a task of an exchange serves, about, and partitions that an exchange is never dealt to more than, but by the session.
+OWNERS_A_TASK, MOST_PARTITIONS = 4, 50_000
 #: Bytes of text that the vectorised kernels take at a time; bounds the working set of a task.
 SLICE_BYTES = 4 << 20
 
@@ -45,6 +47,12 @@ def owner_count(amount: int, most: int) -> int:
     return max(8, -(-amount // most))
 
 
+def dealt(rows: DataFrame, owner: str, owners: int) -> DataFrame:
+    """``rows`` dealt by their owner, over more partitions the more owners there are; never over fewer than the session's."""
+    session = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(session, min(owners // OWNERS_A_TASK, MOST_PARTITIONS)), owner)
+
+
 def text_volume(documents: DataFrame) -> int:
     """Bytes of all texts."""
     return documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

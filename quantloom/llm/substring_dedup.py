@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.frames import materialize, owner_count, slices, text_bytes, text_volume
+from quantloom.llm.frames import dealt, materialize, owner_count, slices, text_bytes, text_volume
 from quantloom.llm.words import SPACE, hash_words, mix, roll, run_bounds, runs_in_rows
 
 WINDOW = 50
@@ -146,7 +146,8 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, owners: int | N
     owners = owners or owner_count(text_volume(documents), OWNER_BYTES)
     docs = documents.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     sent = docs.mapInArrow(_sender(owners, window, chunk_windows), _SENT)
-    return sent.groupBy("owner").applyInArrow(_answerer(owners), _ANSWER).groupBy("bucket").applyInArrow(_by_document, _FOUND)
+    answers = dealt(sent, "owner", owners).groupBy("owner").applyInArrow(_answerer(owners), _ANSWER)
+    return dealt(answers, "bucket", owners).groupBy("bucket").applyInArrow(_by_document, _FOUND)
 
 
 def _cutter(window: int, with_text: bool):
