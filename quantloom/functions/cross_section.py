@@ -63,6 +63,7 @@ def rank_correlation(pairs: DataFrame, x: str, y: str, by: By, min_n: int = 5) -
     return rho.where((F.col("n") >= min_n) & F.col("rho").isNotNull())
 
 
-def score_table(df: DataFrame, raw: str, by: By = "date") -> DataFrame:
-    """Attach raw_score and rank_score (average-rank [0, 1]) for emission as signal scores."""
-    return df.withColumn("raw_score", F.col(raw)).withColumn("rank_score", rank01("raw_score", by))
+def score_table(df: DataFrame, raw: str, name: str, version: str, inputs: Sequence[str], by: By = "date") -> DataFrame:
+    """``df`` as signal scores: raw_score and rank_score (average-rank [0, 1]), stamped with signal, version and inputs."""
+    scored = df.withColumn("raw_score", F.col(raw)).withColumn("rank_score", rank01("raw_score", by))
+    return scored.withColumns({"signal": F.lit(name), "version": F.lit(version), "inputs": F.array(*map(F.lit, inputs)).cast("array<string>")})

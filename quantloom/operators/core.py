@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
@@ -36,6 +37,12 @@ def as_of(df: DataFrame, cutoff: dt.date | str, known_on: str) -> DataFrame:
     return df.where(F.col(known_on) <= F.lit(cutoff).cast("date"))
 
 
+def knowledge_days(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """kind, ticker, known_on of the records of every kind in ``KNOWN_ON``."""
+    parts = [df.select(F.lit(kind).alias("kind"), "ticker", F.col(KNOWN_ON[kind]).cast("date").alias("known_on")) for kind, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def leak_report(df: DataFrame, cutoff: dt.date | str, known_on: str) -> DataFrame:
     """One row: how many records come after the cutoff, and the earliest such day."""
     late = F.col(known_on) > F.lit(cutoff).cast("date")
@@ -125,7 +132,11 @@ def market_return(bars: DataFrame) -> DataFrame:
 
 def daily_ic(scores: DataFrame, forward: DataFrame, min_n: int = 5) -> DataFrame:
     """signal, date, n, ic: rank correlation of raw scores and forward returns per signal and day."""
-    pairs = scores.select("signal", "date", "ticker", "raw_score").join(forward, ["ticker", "date"])
+    return paired_ic(scores.select("signal", "date", "ticker", "raw_score").join(forward, ["ticker", "date"]), min_n)
+
+
+def paired_ic(pairs: DataFrame, min_n: int = 5) -> DataFrame:
+    """The same of scores that carry their forward return (fwd) already: no join, and no second look at the bars."""
     return rank_correlation(pairs, "raw_score", "fwd", ["signal", "date"], min_n).withColumnRenamed("rho", "ic")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantloom.functions.cross_section import average_rank, rank01, zscore
+from quantloom.functions.cross_section import average_rank, rank01, score_table, zscore
 from quantloom.operators import contracts, core, lifecycle, signals
 from quantloom.plans import compiler
 from quantloom.plans.dsl import parse
@@ -106,12 +106,12 @@ def _weekly(spark: SparkSession, d: str) -> DataFrame:
     return market.bars(spark, d, "week")
 
 
-def three_signals(bars: DataFrame) -> DataFrame:
-    """A long table of three simple signals on the observation axis."""
+def three_signals(bars: DataFrame, *also: str) -> DataFrame:
+    """A long table of three simple signals on the observation axis, with columns of ``bars`` that are to come along."""
     back = lambda k: F.col("adjusted_close") / F.lag("adjusted_close", k).over(core.by_ticker()) - 1
-    wide = bars.select("date", "ticker", back(3).alias("momentum_3"), (-back(1)).alias("reversal_1"), F.log(1 + F.col("volume")).alias("volume"))
+    wide = bars.select("date", "ticker", *also, back(3).alias("momentum_3"), (-back(1)).alias("reversal_1"), F.log(1 + F.col("volume")).alias("volume"))
     pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("signal"), F.col(n).alias("raw_score")) for n in ("momentum_3", "reversal_1", "volume"))))
-    return wide.select("date", "ticker", pairs.alias("s")).select("s.signal", "date", "ticker", "s.raw_score").where("raw_score is not null")
+    return wide.select("date", "ticker", *also, pairs.alias("s")).select("s.signal", "date", "ticker", "s.raw_score", *also).where("raw_score is not null")
 
 
 PRICE_COLUMNS = "open high low close adjusted_close"
@@ -208,9 +208,30 @@ def rank_01(spark, d):
     return _weekly(spark, d).select("date", "ticker", rank01("volume", "date").alias("r"))
 
 
+@query(
+    f"SELECT 'volume' AS signal, '1.0' AS version, 'bars.volume' AS inputs, date, ticker, raw_score, {_rank01_sql('raw_score', 'date')} AS rank_score FROM (SELECT date, ticker, ln(1 + volume) AS raw_score FROM bars)", MONTHLY,
+    "raw_score rank_score",
+)
+def score_stamps(spark, d):
+    traded = market.bars(spark, d).select("date", "ticker", F.log(1 + F.col("volume")).alias("traded"))
+    found = score_table(traded, "traded", "volume", "1.0", ["bars.volume"])
+    return found.select("signal", "version", F.array_join("inputs", ",").alias("inputs"), "date", "ticker", "raw_score", "rank_score")
+
+
+@query(
+    """SELECT kind, ticker, min(known_on) AS first_known, max(known_on) AS last_known, count(*)::BIGINT AS n FROM (SELECT 'prices' AS kind, ticker, date AS known_on FROM bars UNION ALL
+    SELECT 'estimates', ticker, estimate_date FROM estimates UNION ALL SELECT 'fundamentals', ticker, report_date FROM fundamentals UNION ALL SELECT 'ownership', ticker, as_of_date FROM ownership) GROUP BY ALL""",
+    f"{MONTHLY}, {ESTIMATES}, {FUNDAMENTALS}, {OWNERSHIP}",
+)
+def knowledge_days(spark, d):
+    tables = {"prices": market.bars(spark, d), "estimates": market.estimates(spark, d), "fundamentals": market.fundamentals(spark, d), "ownership": market.ownership(spark, d)}
+    return core.knowledge_days(tables).groupBy("kind", "ticker").agg(F.min("known_on").alias("first_known"), F.max("known_on").alias("last_known"), F.count(F.lit(1)).alias("n"))
+
+
 def _ics(spark, d, h=1):
-    bars = market.bars(spark, d)
-    return core.daily_ic(three_signals(bars), core.forward_return(bars, h))
+    """The ICs from one look at the bars: scores and forward returns of a ticker come from the same window."""
+    ahead = F.lead("adjusted_close", h).over(core.by_ticker()) / F.col("adjusted_close") - 1
+    return core.paired_ic(three_signals(market.bars(spark, d).withColumn("fwd", ahead), "fwd").where("fwd is not null"))
 
 
 ICS = f"{MONTHLY}, {FWD.format(h=1)}, {SCORES}, {IC}"
@@ -231,7 +252,8 @@ def ic_summary(spark, d):
 
 @query("SELECT signal, avg(ic) AS mean_ic, count(*)::BIGINT AS n_days FROM ics GROUP BY signal", f"{MONTHLY}, {FWD.format(h=63)}, {SCORES}, {IC}", "mean_ic")
 def decay_ic(spark, d):
-    return core.ic_summary(_ics(spark, d, 63)).select("signal", "mean_ic", "n_days")
+    bars = market.bars(spark, d)
+    return core.ic_summary(core.daily_ic(three_signals(bars), core.forward_return(bars, 63))).select("signal", "mean_ic", "n_days")
 
 
 REGIME_CTES = f"{RET.format(k=1, src='bars')}, {MARKET}, {REGIMES}"
@@ -632,6 +654,15 @@ def feed_vendor_prices(spark, d):
     return feeds.vendor_prices(quotes, adjusted)[0]
 
 
+@query("SELECT ticker, count(*)::BIGINT AS n_skipped FROM bars WHERE volume % 7 = 0 GROUP BY ticker", MONTHLY)
+def feed_vendor_skipped(spark, d):
+    named = market.bars(spark, d).withColumns({"requestId": F.concat("ticker", F.lit("-US")), "day": F.col("date").cast("string")})
+    price = F.when(F.col("volume") % 7 == 0, -F.col("close")).otherwise(F.col("close"))
+    quote = F.struct("requestId", F.col("day").alias("date"), price.alias("price"), F.col("open").alias("priceOpen"), F.col("high").alias("priceHigh"), F.col("low").alias("priceLow"), "volume")
+    quotes = named.groupBy("ticker").agg(F.to_json(F.struct(F.collect_list(quote).alias("data"))).alias("body"))
+    return feeds.vendor_prices(quotes, quotes.limit(0))[1].groupBy("ticker").agg(F.count(F.lit(1)).alias("n_skipped"))
+
+
 LISTING = "listing AS (SELECT s_suppkey AS pos, s_suppkey % 40 AS cik, 'S' || lpad(s_suppkey::VARCHAR, 5, '0') AS ticker FROM supplier)"
 
 
@@ -667,6 +698,11 @@ def registry_latest(spark, d):
     return lifecycle.latest(_registry(spark, d)).select("name", "seq", "status", "mean_ic")
 
 
+@query("SELECT name, max(seq) AS seq, arg_max(mean_ic, seq) FILTER (mean_ic IS NOT NULL) AS mean_ic FROM reg GROUP BY name HAVING arg_max(status, seq) = 'STAGING'", REGISTRY, "mean_ic")
+def registry_by_status(spark, d):
+    return lifecycle.by_status(_registry(spark, d), "STAGING").select("name", "seq", "mean_ic")
+
+
 @query("SELECT name, min(seq) FILTER (status = 'VALIDATED') AS validated, min(seq) FILTER (status = 'PRODUCTION') AS promoted, min(seq) FILTER (status = 'RETIRED') AS retired FROM reg GROUP BY name", REGISTRY)
 def registry_stamps(spark, d):
     out = lifecycle.stamped(_registry(spark, d).withColumn("at", F.col("seq")))
@@ -718,6 +754,15 @@ def stream_activity(spark, d):
     return run_to_end(activity(events, "ts", "event_type", "value")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("SELECT DISTINCT user_id, event_type, ts::DATE AS day FROM events")
+def stream_first_filings(spark, d):
+    from quantloom.streaming.filings import first_filings, run_to_end, stream_table
+
+    events = stream_table(spark, d, "events.parquet", market.read(spark, d, "events").schema)
+    keyed = events.select("user_id", "event_type", F.to_date("ts").alias("day"), F.col("ts").cast("timestamp").alias("at"))
+    return run_to_end(first_filings(keyed, ["user_id", "event_type", "day"], "at"), "append").select("user_id", "event_type", "day")
+
+
 # Searches, books and verdicts: results of iterative or driver-side numerics over Spark plans
 
 

@@ -29,15 +29,23 @@ def activity(stream: DataFrame, at: str, kind: str, value: str, width: str = "1
 
 
 def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Process what is there now and return it; each batch is written to the shared folder, none held by the driver."""
+    """Process what is there now and return it; each batch is written to the shared folder, none held by the driver.
+
+    A batch that is tried again replaces what its first try wrote.
+    """
     from quantloom.sources.storage import shared_folder
 
     spark = stream.sparkSession
     where = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{where}/out")
+    done: set[int] = set()
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/out" if mode == "complete" else f"{where}/out/batch={number}")
+        done.add(number)
 
     running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).foreachBatch(write).start()
     running.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{where}/out")
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{where}/out").select(*stream.columns)
