@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.llm.ann import nearest
+from quantloom.llm.conversation_repair import repaired_digests
 from quantloom.llm.exact_dedup import exact_groups
 from quantloom.llm.frames import table
+from quantloom.llm.language_id import held_out_languages
 from quantloom.llm.license_scan import scan_licenses
 from quantloom.llm.mixing import mix
 from quantloom.llm.near_dedup import near_groups
 from quantloom.llm.packing import pack
 from quantloom.llm.substring_dedup import remove_repeats
 from quantloom.llm.suffix_tree_lm import held_out_scores
+from quantloom.llm.token_alignment import align_tokens
 from quantloom.llm.toxicity import toxicity
 from quantloom.llm.url_filter import filter_urls
 
@@ -68,7 +71,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_multi_index, op3_exact_dedup, op4_license_scan, op5_packing, op6_mixing, op7_near_dedup, op8_suffix_tree_lm, op9_url_filter, op10_substring_dedup)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_digests(table(spark, sf_dir, "conversations"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_languages(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_multi_index, op3_exact_dedup, op4_license_scan, op5_packing, op6_mixing, op7_near_dedup, op8_suffix_tree_lm, op9_url_filter, op10_substring_dedup, op11_conversation_repair, op12_language_id, op13_token_alignment)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
