@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Owners that a task of an exchange serves, about, and partitions that an exchange is never dealt to more than, but by the session.
@@ -39,7 +39,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quantloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what ``materialize`` has written for ``tables``, of which no plan may be run any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def owner_count(amount: int, most: int) -> int:
@@ -53,6 +63,20 @@ def dealt(rows: DataFrame, owner: str, owners: int) -> DataFrame:
     return rows.repartition(max(session, min(owners // OWNERS_A_TASK, MOST_PARTITIONS)), owner)
 
 
+#: A group of a larger share of the rows than one in so many is broadcast to them by ``join_groups``.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: Column, size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``groups`` (one row each, ``size`` rows in it) so that no task gets the rows of a large group alone.
+
+    Groups of over ``total`` / HOT_SHARE rows, fewer than HOT_SHARE of them, are broadcast to their rows; the others
+    meet theirs by their key. ``how`` is inner or left_semi; ``on`` names columns of both, that differ.
+    """
+    large = F.col(size) > max(1, total // HOT_SHARE)
+    return rows.join(F.broadcast(groups.where(large)), on, how).unionByName(rows.join(groups.where(~large), on, how))
+
+
 def text_volume(documents: DataFrame) -> int:
     """Bytes of all texts."""
     return documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

@@ -12,6 +12,9 @@ all its classes in cells of bounded size, in which common shingles are counted f
 cell returns no more than a spanning forest of the links between components. So every candidate
 pair of different components is decided on full sets, whatever its bucket's size, and none is written out.
 
+No key meets all its rows in one task: large buckets and groups of one text are broadcast to their rows (fewer than a thousand of
+each), and a leader's set is sent once for every ``LEADER_ROWS`` classes that it meets.
+
 Defined results: a null or wordless text has an empty set and is linked with nothing; a shorter text
 than five words is one shingle; repeated rows are one class; null ids come last in "smallest
 doc_id". Sets hold 51-bit shingle hashes. A true link at the threshold is missed with
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.components import connected_components
-from quantloom.llm.frames import materialize, one_row_each, slices, text_bytes
+from quantloom.llm.frames import join_groups, materialize, one_row_each, slices, text_bytes
 from quantloom.llm.words import LOWER, SPACE, hash_words, mix, roll, runs_in_rows
 
 SHINGLE = 5
@@ -40,6 +43,8 @@ ROWS = 2
 #: Classes of a cell's side, and their shingles, about. They bound a task's memory; larger buckets have more cells.
 CELL_CLASSES = 1024
 CELL_SHINGLES = 2_000_000
+#: Classes that a task compares with one copy of their leader, about.
+LEADER_ROWS = 256
 
 _PRIME = np.random.default_rng(77).integers(1, 2**62, COLLECTIONS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = np.random.default_rng(78).integers(1, 2**63, COLLECTIONS * ROWS, dtype=np.uint64)
@@ -231,7 +236,7 @@ def _settle(percent: int):
     return settle
 
 
-def _cells(mixed: DataFrame, cell_classes: int, cell_shingles: int) -> DataFrame:
+def _cells(mixed: DataFrame, cell_classes: int, cell_shingles: int, total: int) -> DataFrame:
     """The rows (key, cls, n, root) of buckets that hold several components, dealt to cells: cell, cls, root, side.
 
     A bucket's cells are a grid: classes outside its largest component are dealt to its rows (side 0), all classes to
@@ -241,9 +246,9 @@ def _cells(mixed: DataFrame, cell_classes: int, cell_shingles: int) -> DataFrame
     grid = (
         by_root.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.max_by("s", F.struct("m", "root")).alias("main_s"), F.max("m").alias("main_m"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count("*").alias("parts"))
         .where("parts > 1")
-        .select("key", "main", *(F.expr(f"greatest(ceil(({m}) / {cell_classes}), ceil(({s}) / {cell_shingles}))").alias(n) for n, m, s in (("height", "m - main_m", "s - main_s"), ("width", "m", "s"))))
+        .select(F.col("key").alias("grid_key"), "main", F.col("m").alias("grid_m"), *(F.expr(f"greatest(ceil(({m}) / {cell_classes}), ceil(({s}) / {cell_shingles}))").alias(n) for n, m, s in (("height", "m - main_m", "s - main_s"), ("width", "m", "s"))))
     )
-    own = mixed.join(grid, "key").withColumns({"i": F.expr("pmod(xxhash64(cls, 1), height)"), "j": F.expr("pmod(xxhash64(cls, 2), width)"), "small": F.expr("root <> main")})
+    own = join_groups(mixed, grid, F.col("key") == F.col("grid_key"), "grid_m", total).withColumns({"i": F.expr("pmod(xxhash64(cls, 1), height)"), "j": F.expr("pmod(xxhash64(cls, 2), width)"), "small": F.expr("root <> main")})
     columns = "transform(sequence(0L, height - 1), x -> struct(x AS i, j, if(small and x = i, 2, 1) AS side))"
     rows = "if(small, transform(filter(sequence(0L, width - 1), x -> x <> j), x -> struct(i, x AS j, 0 AS side)), array())"
     dealt = own.select("key", "cls", "root", F.explode(F.expr(f"concat({columns}, {rows})")).alias("at"))
@@ -254,43 +259,57 @@ def near_groups(documents: DataFrame, percent: int = PERCENT, cell_classes: int
     """doc_id, text_key, n_shingles, component_id, component (null for an empty set) and kept of every row of ``documents`` (doc_id, text)."""
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     signed = materialize(docs.mapInArrow(_sign, _SIGNED))
+    total = signed.count()
     own = [f"u{i}" for i in range(COLLECTIONS)]
     at = F.min(F.struct("doc_id", "text_key"))
     classes = materialize(
-        signed.where("n_shingles > 0").groupBy("cls", "check", "n_shingles").agg(F.min("doc_id").alias("least_id"), at.alias("at"), *(F.min(c).alias(c) for c in own))
+        signed.where("n_shingles > 0").groupBy("cls", "check", "n_shingles").agg(F.min("doc_id").alias("least_id"), at.alias("at"), F.count("*").alias("rows"), *(F.min(c).alias(c) for c in own))
     )
     tables = F.array(*(F.xxhash64(F.lit(t), a, b) for t, (a, b) in enumerate(combinations(own, 2))))
     keys = classes.select("cls", F.col("n_shingles").alias("n"), F.explode(tables).alias("key"))
     masked = F.struct(F.col("cls").bitwiseXOR(F.lit(MASK)), "cls", "n")
     leaders = (
         keys.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("cls", "n")).alias("x"), F.max(F.struct("cls", "n")).alias("y"), F.min(masked).alias("z")).where("m > 1")
-        .select("key", "m", F.array_distinct(F.array("x", "y", F.struct("z.cls", "z.n"))).alias("leaders"))
+        .select(F.col("key").alias("bucket"), "m", F.array_distinct(F.array("x", "y", F.struct("z.cls", "z.n"))).alias("leaders"))
     )
-    members = materialize(keys.join(leaders, "key").select("key", "cls", "n", "leaders", (F.col("m") > F.size("leaders") + 1).alias("open")))
-
-    chosen = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("at.doc_id").alias("p_id"), F.col("at.text_key").alias("p_key"))
-    texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key"))).select("cls", "text").dropDuplicates(["cls"])
+    number = classes.count()
+    pairs = len(own) * (len(own) - 1) // 2 * number
+    met = join_groups(keys, materialize(leaders), F.col("key") == F.col("bucket"), "m", pairs)
+    members = materialize(met.select("key", "cls", "n", "leaders", (F.col("m") > F.size("leaders") + 1).alias("open")))
+
+    # The text of one row of each class; a class's rows of that id and text may be many.
+    chosen = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "rows", F.col("at.doc_id").alias("p_id"), F.col("at.text_key").alias("p_key"))
+    found = join_groups(docs, materialize(chosen), F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key")), "rows", total)
+    texts = found.select("cls", "text").dropDuplicates(["cls"])
     sets = materialize(texts.mapInArrow(_class_sets, "cls long, shingles binary"))
 
     meets = members.select("cls", "n", F.explode("leaders").alias("l")).where(f"cls <> l.cls and 100 * least(n, l.n) >= {percent} * greatest(n, l.n)")
-    stars = meets.select(F.col("l.cls").alias("a"), F.col("cls").alias("b")).distinct()
+    stars = materialize(meets.select(F.col("l.cls").alias("a"), F.col("cls").alias("b")).distinct())
+    parts = stars.groupBy("a").agg(F.ceil(F.count("*") / LEADER_ROWS).alias("parts"))
+    spread = join_groups(stars, materialize(parts.select(F.col("a").alias("leader"), "parts", (F.col("parts") * LEADER_ROWS).alias("m"))), F.col("a") == F.col("leader"), "m", stars.count())
+    spread = spread.select("a", "b", F.expr("pmod(xxhash64(b), parts)").alias("part"))
+    copies = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")).join(parts, "a").select("a", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), "set_a")
     links = materialize(
-        stars.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a")
+        spread.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b").join(copies, ["a", "part"])
         .select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long")
     )
     roots = connected_components(links)
 
     # A bucket of no more classes than its leaders and one has had all its pairs compared.
     placed = members.where("open").select("key", "cls", "n").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    cells = _cells(materialize(placed), cell_classes, cell_shingles).join(sets, "cls")
+    cells = _cells(materialize(placed), cell_classes, cell_shingles, pairs).join(sets, "cls")
     more = materialize(cells.repartition("cell").sortWithinPartitions("cell").select("cell", "root", "side", "shingles").mapInArrow(_settle(percent), "a long, b long"))
     last = connected_components(more)
 
-    whole = classes.groupBy("cls").agg(F.min("least_id").alias("least_id")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("first", F.coalesce("root", "cls")).drop("root")
-    whole = materialize(whole.join(last.withColumnRenamed("node", "first"), "first", "left").select("cls", "least_id", F.coalesce("root", "first").alias("root")))
-    least = whole.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = whole.join(least, "root").select("cls", "component_id", F.col("root").alias("component"))
-    linked = signed.where("n_shingles > 0").join(named, "cls").select("doc_id", "text_key", "n_shingles", "component_id", "component")
+    whole = classes.groupBy("cls").agg(F.min("least_id").alias("least_id"), F.sum("rows").alias("rows")).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    whole = materialize(whole.select("cls", "least_id", "rows", F.coalesce("root", "cls").alias("first")))
+    firsts = whole.groupBy("first").agg(F.min("least_id").alias("least_id"), F.count("*").alias("m")).join(last.withColumnRenamed("node", "first"), "first", "left")
+    firsts = materialize(firsts.select(F.col("first").alias("start"), "least_id", "m", F.coalesce("root", "first").alias("component")))
+    least = firsts.groupBy(F.col("component").alias("own")).agg(F.min("least_id").alias("component_id"), F.count("*").alias("starts"))
+    placed = join_groups(firsts.select("start", "m", "component"), materialize(least), F.col("component") == F.col("own"), "starts", number)
+    named = join_groups(whole.select("cls", "rows", "first"), materialize(placed.select("start", "m", "component", "component_id")), F.col("first") == F.col("start"), "m", number)
+    named = named.select(F.col("cls").alias("named"), "rows", "component_id", "component")
+    linked = join_groups(signed.where("n_shingles > 0"), materialize(named), F.col("cls") == F.col("named"), "rows", total).select("doc_id", "text_key", "n_shingles", "component_id", "component")
     empty = signed.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
     return linked.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -3,26 +3,30 @@
 The tree's states are contexts: the last one, two, three ... words. A context is a candidate when it occurs
 ``LEAST_COUNT`` times in the training corpus, whatever its size, and its own suffix is a state; it becomes a state when its
 next-symbol distribution diverges from its suffix's by ``LEAST_GAIN`` nats a symbol, every occurrence left out of its
-own count. Levels are added while their states gain ``STOP_GAIN`` nats per token of the corpus. A token is predicted in the longest
+own count. Levels are added until no candidate becomes a state. A token is predicted in the longest
 state that stands before it:
 
     P(x | s) = (c(s, x) [if c >= 2] + (K + n1(s)) P(x | suffix of s)) / (c(s) + K)
 
 with n1 the number of x seen once after s, and (c(x) + 1) / (N + V + 1) at the root.
 
-Texts are packed into chunks once. For every level a chunk sends its distinct (context, symbol) pairs, packed, to the owners of the
-contexts' hash ranges; owners sum them, test the contexts and answer with the counts in the order in which they were asked.
-So counts and contexts stay distributed, a chunk learns about its own contexts only, and it scores its texts without any
-further exchange. A context that holds over ``SPLIT_SHARE`` of the tokens is dealt over several owners by its
-symbols; only the sums of these (at most 1 / SPLIT_SHARE a level) pass through the driver.
+Texts are read once and become chunks of word numbers. For every level a chunk sends its distinct (context, symbol) pairs, packed, to the
+owners of the contexts' hash ranges; owners sum them, test the contexts and answer with the counts in the order in which they were
+asked. With the answers a chunk goes on to its next state: the scores of what is settled, and the tokens whose
+contexts may still grow. So counts and contexts stay distributed, a chunk learns about its own contexts only, and no level is gone
+through twice. A context that holds over ``SPLIT_SHARE`` of the tokens is dealt over several owners by its
+symbols: its once-seen symbols are summed first, then its test. Only the sums of these (at most 1 / SPLIT_SHARE a level) pass through the
+driver, and the result doesn't hang on the number of owners.
 
 Defined results: tokens are runs of bytes other than ``[\\x20\\x09-\\x0D]``, A to Z lower-cased, and one end; a null text
 counts as empty; without training tokens N and V are 0. Repeated rows count and are scored each. Words and contexts
-are told apart by 64-bit hashes, a context's next symbols by 48 bits. An empty table gives no rows; further columns are not read.
+are told apart by 64-bit hashes, a context's next symbols by 48 bits; counts are 64-bit. Between levels probabilities are held in 32 bits. An
+empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,15 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.frames import crc_bucket, materialize, owner_count, text_bytes
+from quantloom.llm.frames import crc_bucket, discard, materialize, owner_count, text_bytes, text_volume
 from quantloom.llm.words import LOWER, SPACE, hash_words, mix, run_bounds
 
 #: Occurrences from which words can be a context.
 LEAST_COUNT = 8
 KAPPA = 2.0
-#: Divergence from the suffix, in nats per symbol, from which a context is kept; and what a level gains, in nats per token of
-#: the corpus, for another to be tried.
-LEAST_GAIN, STOP_GAIN = 0.01, 0.05
+#: Divergence from the suffix, in nats per symbol, from which a context is kept.
+LEAST_GAIN = 0.01
 #: Contexts of a larger share of the tokens are split over owners.
 SPLIT_SHARE = 2.0**-16
 #: Bytes of text in a chunk, about, and of the corpus for each owner.
@@ -52,8 +55,8 @@ _PAIR = np.uint64(0x9FB21C651E98DF25)
 _ROUTE = np.uint64(2**64 - 2**40)
 
 
-def _zip(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+def _zip(a: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(a).tobytes())
 
 
 def _unzip(b: bytes, kind: type) -> np.ndarray:
@@ -86,15 +89,6 @@ def _long(b: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _code(p: np.ndarray) -> bytes:
-    """Probabilities in two bytes: steps of 2^-11 of their binary logarithms."""
-    return np.minimum(np.rint(-np.log2(p) * 2048), 65535).astype(np.uint16).tobytes()
-
-
-def _decode(b: bytes) -> np.ndarray:
-    return np.exp2(np.frombuffer(b, np.uint16) / -2048.0)
-
-
 @dataclass
 class Level:
     """The contexts of one depth that are split over owners: hashes (sorted), symbols seen once, kept or not."""
@@ -106,12 +100,11 @@ class Level:
 
 @dataclass
 class Model:
-    """What every task holds: totals, and of each level the split contexts (a bounded number)."""
+    """What every task holds: the number of owners, and totals."""
 
     owners: int
     n: int = 0
     v: int = 0
-    levels: list[Level] = field(default_factory=list)
 
     @property
     def split_from(self) -> float:
@@ -122,143 +115,165 @@ class Model:
         return np.where(total >= self.split_from, 1 + total * self.owners // max(self.n, 1), 1)
 
 
-_PACKED = "chunk string, docs binary"
-
-
-def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, counted, wanted) -> chunks of about ``CHUNK_BYTES`` of text, compressed."""
-    task, sent, parts, held = TaskContext.get().partitionId(), 0, [], 0
-
-    def flush() -> pa.RecordBatch:
-        rows = pa.Table.from_batches(parts).combine_chunks()
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as out:
-            out.write_table(rows)
-        parts.clear()
-        return pa.RecordBatch.from_arrays([pa.array([f"{task}-{sent}"]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "docs"])
-
-    for batch in batches:
-        begin = 0
-        while begin < batch.num_rows:
-            _, at = text_bytes(batch.column("text"))
-            end = max(begin + 1, int(np.searchsorted(at, at[begin] + CHUNK_BYTES - held, side="right")) - 1)
-            parts.append(batch.slice(begin, end - begin))
-            held += int(at[end] - at[begin])
-            begin = end
-            if held >= CHUNK_BYTES or begin < batch.num_rows:
-                yield flush()
-                sent, held = sent + 1, 0
-    if parts:
-        yield flush()
+#: A chunk's rows, words (distinct hashes) and tokens (numbers of words), and the places that are asked about, with their probabilities
+#: in the longest state so far and their contexts' totals.
+_STATE = ("docs", "size", "word", "code", "asked", "p", "total")
+_KINDS = {"size": np.int64, "word": np.uint64, "code": np.uint32, "asked": np.uint32, "p": np.float32, "total": np.int64}
 
 
 class Chunk:
-    """A chunk's tokens, and what answers have told about them: counts, and probabilities in the longest state so far."""
+    """A chunk's tokens, and what answers have told about them.
+
+    ``docs`` holds doc_id, counted, wanted, n_tokens, n_known, base_score and score of its rows; the score is of the tokens that are no longer asked about.
+    """
 
-    def __init__(self, model: Model, docs: bytes):
-        self.model = model
-        self.rows = pa.ipc.open_stream(docs).read_all().combine_chunks()
-        texts = self.rows.column("text").chunk(0) if self.rows.column("text").num_chunks else pa.array([], pa.string())
+    def __init__(self, model: Model, depth: int, state: dict):
+        self.model, self.depth = model, depth
+        self.docs: pa.Table = state["docs"]
+        self.size, self.word, self.code, self.asked, self.total = (state[c] for c in ("size", "word", "code", "asked", "total"))
+        self.p = state["p"].astype(np.float64)
+        self.asked = self.asked.astype(np.int64)
+        self.row = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+        self.place = np.arange(len(self.code)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.context = self._context(self.asked)
+        self.x = self.word[self.code[self.asked]]
+
+    @classmethod
+    def read(cls, model: Model, rows: pa.Table) -> Chunk:
+        """The chunk of rows (doc_id, text, counted, wanted)."""
+        texts = rows.column("text").chunk(0) if rows.column("text").num_chunks else pa.array([], pa.string())
         data, at = text_bytes(texts)
         words, edges = hash_words(LOWER[data], at, SPACE)
-        n = self.rows.num_rows
+        n = rows.num_rows
         ends = edges[1:] + np.arange(n)
-        self.x = np.empty(len(words) + n, np.uint64)
-        inner = np.ones(len(self.x), bool)
+        x = np.empty(len(words) + n, np.uint64)
+        inner = np.ones(len(x), bool)
         inner[ends] = False
-        self.x[ends], self.x[inner] = END, words
+        x[ends], x[inner] = END, words
+        word, code = np.unique(x, return_inverse=True)
         size = np.diff(edges) + 1
-        self.row = np.repeat(np.arange(n, dtype=np.int32), size)
-        self.place = (np.arange(len(self.x)) - np.repeat(ends - size + 1, size)).astype(np.int32)
-        self.counted = self.rows.column("counted").to_numpy()[self.row]
-        self.depth = 0
-        self.context = np.zeros(len(self.x), np.uint64)
-        self.live = np.ones(len(self.x), bool)
-        self.asked = np.arange(len(self.x))
+        docs = rows.select(["doc_id", "counted", "wanted"]).append_column("n_tokens", pa.array(size))
+        for name, kind in (("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())):
+            docs = docs.append_column(name, pa.array(np.zeros(n), pa.float64()).cast(kind))
+        everything = np.arange(len(x))
+        return cls(model, 0, {"docs": docs, "size": size, "word": word, "code": code.astype(np.uint32), "asked": everything, "p": np.ones(len(x)), "total": np.zeros(len(x), np.int64)})
+
+    def _context(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the contexts of the tokens ``at``, of as many words as the depth."""
+        context = np.zeros(len(at), np.uint64)
+        for d in range(1, self.depth + 1):
+            before = np.where(self.place[at] >= d, self.word[self.code[np.maximum(at - d, 0)]], BEGIN)
+            context = before if d == 1 else _key(context, before)
+        return context
 
     def ask(self) -> list[tuple[int, slice]]:
         """Prepare the level's distinct keys, sorted by owner and context: (owner, where its keys are)."""
-        model, on = self.model, self.asked
-        x, context = self.x[on], self.context[on]
+        model, x, context = self.model, self.x, self.context
         if self.depth:
-            total = self.total[on]
             route = mix(context)
-            many = np.flatnonzero(total >= model.split_from)
-            route[many] = mix(context[many] + _share(mix(x[many]), model.parts(total[many])).astype(np.uint64) + np.uint64(1))
+            many = np.flatnonzero(self.total >= model.split_from)
+            route[many] = mix(context[many] + _share(mix(x[many]), model.parts(self.total[many])).astype(np.uint64) + np.uint64(1))
             key = _ordered(route, _key(context, x))
         else:
             key = route = mix(x)
         order = np.argsort(key)
         heads = run_bounds(key[order])
-        self.slot = np.empty(len(on), np.int64)
-        self.slot[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(on))))
-        self.first = on[order[heads]]
-        self.n = np.bincount(self.slot, self.counted[on], len(heads)).astype(np.int64)
-        own = _share(route[order[heads]], model.owners)
+        self.slot = np.empty(len(x), np.int64)
+        self.slot[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(x))))
+        self.first = order[heads]
+        counted = self.docs.column("counted").to_numpy()[self.row[self.asked]]
+        self.n = np.bincount(self.slot, counted, len(heads)).astype(np.int64)
+        own = _share(route[self.first], model.owners)
         edges = np.append(run_bounds(own), len(own)) if len(own) else np.zeros(1, np.int64)
         return [(int(own[a]), slice(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def question(self, keys: slice) -> dict[str, bytes | None]:
         at = self.first[keys]
-        out: dict[str, bytes | None] = {"x": _short(self.x[at]) if self.depth else self.x[at].tobytes(), "n": _zip(self.n[keys].astype(np.int32)), "contexts": None, "runs": None, "totals": None, "p": None}
+        out: dict[str, bytes | None] = {"x": _short(self.x[at]) if self.depth else self.x[at].tobytes(), "n": _zip(self.n[keys]), "contexts": None, "runs": None, "totals": None, "p": None}
         if self.depth:
             heads = run_bounds(self.context[at])
             out |= {"contexts": self.context[at[heads]].tobytes(), "runs": _zip(np.diff(np.append(heads, len(at))).astype(np.int32))}
-            out |= {"totals": _zip(self.total[at[heads]]), "p": _code(self.p[at])}
+            out |= {"totals": _zip(self.total[at[heads]]), "p": _zip(self.p[at].astype(np.float32))}
         return out
 
-    def hear(self, answers: dict[int, tuple[bytes, bytes | None, bytes | None]], more: bool) -> None:
+    def hear(self, answers: dict[int, dict], split: Level, more: bool) -> None:
         """Take the owners' answers to what was asked: counts, and the contexts' symbols seen once and fates; go deeper for ``more``."""
         asked = self.ask()
         n, once, kept = np.zeros(len(self.first), np.int64), np.zeros(len(self.first), np.int64), np.zeros(len(self.first), bool)
         for owner, keys in asked:
-            counts, own_once, own_kept = answers[owner]
-            n[keys] = _unzip(counts, np.int32)
+            told = answers[owner]
+            n[keys] = _unzip(told["counts"], np.int64)
             if self.depth:
                 heads = run_bounds(self.context[self.first[keys]])
                 runs = np.diff(np.append(heads, keys.stop - keys.start))
-                once[keys], kept[keys] = np.repeat(_unzip(own_once, np.int64), runs), np.repeat(_unzip(own_kept, np.bool_), runs)
-        model, on = self.model, self.asked
-        gram = np.zeros(len(self.x), np.int64)
-        gram[on] = n[self.slot]
+                once[keys], kept[keys] = np.repeat(_unzip(told["once"], np.int64), runs), np.repeat(_unzip(told["kept"], np.bool_), runs)
+        count = n[self.slot]
         if not self.depth:
-            self.count = gram
-            self.p = (gram + 1.0) / (model.n + model.v + 1.0)
+            self.p = (count + 1.0) / (self.model.n + self.model.v + 1.0)
+            stay = np.ones(len(count), bool)
+            rows = len(self.size)
+            for name, x in (("n_known", count > 0), ("base_score", np.log10(self.p))):
+                self._put(name, np.bincount(self.row, x, rows))
         else:
-            split = model.levels[self.depth - 1]
             if len(split.context):
                 context = self.context[self.first]
                 at = np.minimum(np.searchsorted(split.context, context), len(split.context) - 1)
                 found = split.context[at] == context
                 once, kept = np.where(found, split.once[at], once), np.where(found, split.kept[at], kept)
-            self.live = np.zeros(len(self.x), bool)
-            self.live[on] = kept[self.slot]
             stay = kept[self.slot]
-            i, c = on[stay], n[self.slot][stay]
-            self.p[i] = (np.where(c >= 2, c, 0) + (KAPPA + once[self.slot][stay]) * self.p[i]) / (self.total[i] + KAPPA)
-        if more:
-            self.deepen(gram)
-
-    def deepen(self, gram: np.ndarray) -> None:
-        """The candidates of the next depth: one word more, often enough, with a state as suffix."""
+            c = count[stay]
+            self.p[stay] = (np.where(c >= 2, c, 0) + (KAPPA + once[self.slot][stay]) * self.p[stay]) / (self.total[stay] + KAPPA)
+        self._deepen(count, stay, more)
+
+    def _put(self, name: str, values: np.ndarray) -> None:
+        at = self.docs.column_names.index(name)
+        self.docs = self.docs.set_column(at, name, pa.array(values).cast(self.docs.schema.field(name).type))
+
+    def _deepen(self, count: np.ndarray, stay: np.ndarray, more: bool) -> None:
+        """Keep the candidates of the next depth: one word more, often enough, with a state as suffix. Others are settled."""
+        gram = np.zeros(len(self.code), np.int64)
+        gram[self.asked] = count
+        total = gram[np.maximum(self.asked - 1, 0)]  # how often the context stands: what its last word counted in the context before
+        first = self.place[self.asked] == 0
+        total[first] = 0
+        if self.depth == 0:
+            ends = gram[self.word[self.code] == END]
+            total[first] = ends[0] if len(ends) else 0  # every counted text begins and ends once
+        on = stay & (self.place[self.asked] >= self.depth) & (total >= LEAST_COUNT) & more
+        settled = self.asked[~on]
+        self._put("score", self.docs.column("score").to_numpy() + np.bincount(self.row[settled], np.log10(self.p[~on]), len(self.size)))
+        self.asked, self.p, self.total = self.asked[on], self.p[on], total[on]
         self.depth += 1
-        before = np.roll(self.x, self.depth)
-        before[self.place == self.depth - 1] = BEGIN
-        if self.depth == 1:
-            self.context = before
-            ends = self.count[self.x == END]
-            total = np.roll(gram, 1)
-            total[self.place == 0] = ends[0] if len(ends) else 0  # every counted text begins and ends once
-        else:
-            self.context = _key(self.context, before)
-            total = np.roll(gram, 1)
-            total[self.place == 0] = 0
-        self.total = total
-        self.asked = np.flatnonzero(self.live & (self.place >= self.depth - 1) & (total >= LEAST_COUNT))
+        # Of the words, those that a further context can reach.
+        used = np.zeros(len(self.code) + 1, bool)
+        for d in range(self.depth + 1):
+            used[np.maximum(self.asked - d, -1)] = True
+        used = used[:-1]
+        word, code = np.unique(self.code[used], return_inverse=True)
+        self.word, fresh = self.word[word], np.zeros(len(self.code), np.uint32)
+        fresh[used] = code
+        self.code = fresh
+        self.x, self.context = self.word[self.code[self.asked]] if len(self.asked) else np.empty(0, np.uint64), self._context(self.asked) if len(self.asked) else np.empty(0, np.uint64)
+
+    def packed(self) -> dict:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.docs.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd"))) as out:
+            out.write_table(self.docs)
+        # Places are sent as steps, which are small.
+        values = {"size": self.size, "word": self.word, "code": self.code, "asked": np.diff(self.asked, prepend=0), "p": self.p if self.depth else self.p[:0], "total": self.total if self.depth else self.total[:0]}
+        return {"docs": sink.getvalue().to_pybytes()} | {c: _zip(x.astype(_KINDS[c]), 5) for c, x in values.items()}
 
 
-_ASKED = "owner int, chunk string, x binary, n binary, contexts binary, runs binary, totals binary, p binary"
-_TOLD = "chunk string, depth int, owner int, counts binary, once binary, kept binary, context long, gain double, n long, v long"
+def _unpacked(model: Model, depth: int, row: dict) -> Chunk:
+    state = {c: _unzip(row[c], _KINDS[c]) for c in _STATE[1:]}
+    state["asked"] = np.cumsum(state["asked"].astype(np.int64))
+    if not depth:
+        state |= {"p": np.ones(len(state["code"])), "total": np.zeros(len(state["code"]), np.int64)}
+    return Chunk(model, depth, state | {"docs": pa.ipc.open_stream(row["docs"]).read_all().combine_chunks()})
+
+
+_ASKED = "owner int, chunk string, x binary, n binary, contexts binary, runs binary, totals binary, p binary, " + ", ".join(f"s_{c} binary" for c in _STATE)
+_TOLD = "chunk string, owner int, counts binary, once binary, kept binary, context long, gain double, n long, v long, split binary"
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64()}
 
 
@@ -266,36 +281,51 @@ def _schema(columns: str) -> pa.Schema:
     return pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in columns.split(", ")])
 
 
-def _replayed(model: Model, packed: dict, told: list[dict], more: bool) -> Chunk:
-    """A chunk with all levels' answers taken; with the next level's candidates for ``more``."""
-    chunk = Chunk(model, packed["docs"])
-    by_depth: dict[int, dict] = {}
-    for r in told:
-        by_depth.setdefault(r["depth"], {})[r["owner"]] = (r["counts"], r["once"], r["kept"])
-    for depth in range(len(model.levels) + 1):
-        chunk.hear(by_depth.get(depth, {}), more or depth < len(model.levels))
-    return chunk
+def _sent(chunk: Chunk, name: str, more: bool) -> list[dict]:
+    """A chunk's state (without an owner), and its questions to owners for ``more``."""
+    state = {"owner": None, "chunk": name} | {f"s_{c}": x for c, x in chunk.packed().items()}
+    return [state, *({"owner": owner, "chunk": name, **chunk.question(keys)} for owner, keys in (chunk.ask() if more else ()))]
 
 
-def _questions(chunk: Chunk, name: str) -> list[dict]:
-    return [{"owner": owner, "chunk": name, **chunk.question(keys)} for owner, keys in chunk.ask()]
+def _reader(model: Model):
+    """Rows (doc_id, text, counted, wanted) -> chunks of about ``CHUNK_BYTES`` of text, and their questions about words."""
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, sent, parts, held = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            parts.clear()
+            for r in _sent(Chunk.read(model, rows), f"{task}-{sent}", True):
+                yield pa.RecordBatch.from_pylist([r], schema=_schema(_ASKED))
 
-def _ask_symbols(model: Model):
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist(_questions(Chunk(model, r["docs"]), r["chunk"]), schema=_schema(_ASKED))
+            begin = 0
+            while begin < batch.num_rows:
+                _, at = text_bytes(batch.column("text"))
+                end = max(begin + 1, int(np.searchsorted(at, at[begin] + CHUNK_BYTES - held, side="right")) - 1)
+                parts.append(batch.slice(begin, end - begin))
+                held += int(at[end] - at[begin])
+                begin = end
+                if held >= CHUNK_BYTES or begin < batch.num_rows:
+                    yield from flush()
+                    sent, held = sent + 1, 0
+        if parts:
+            yield from flush()
+
+    return read
 
-    return ask
 
+def _next_level(model: Model, depth: int, split: Level, more: bool):
+    """A chunk's state and the answers of level ``depth`` -> its next state and questions."""
 
-def _ask_contexts(model: Model):
-    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        (packed,) = left.to_pylist()
-        return pa.Table.from_pylist(_questions(_replayed(model, packed, right.to_pylist(), True), packed["chunk"]), schema=_schema(_ASKED))
+    def go(left: pa.Table, right: pa.Table) -> pa.Table:
+        (row,) = left.to_pylist()
+        chunk = _unpacked(model, depth, {c: row[f"s_{c}"] for c in _STATE})
+        chunk.hear({r["owner"]: r for r in right.to_pylist()}, split, more)
+        return pa.Table.from_pylist(_sent(chunk, row["chunk"], more), schema=_schema(_ASKED))
 
-    return ask
+    return go
 
 
 def left_out_gain(n: np.ndarray, p: np.ndarray, total: np.ndarray, once: np.ndarray) -> np.ndarray:
@@ -305,20 +335,20 @@ def left_out_gain(n: np.ndarray, p: np.ndarray, total: np.ndarray, once: np.ndar
 
 
 def _answerer(model: Model, depth: int):
-    """An owner's questions from all chunks -> sums for each, and rows of totals (without a chunk)."""
+    """An owner's questions from all chunks -> sums for each, and rows of totals and of split contexts' parts (without a chunk)."""
 
     def answer(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         x = [_long(r["x"]) if depth else np.frombuffer(r["x"], np.uint64) for r in rows]
         size = [len(a) for a in x]
-        x, n = np.concatenate(x), np.concatenate([_unzip(r["n"], np.int32) for r in rows]).astype(np.int64)
+        x, n = np.concatenate(x), np.concatenate([_unzip(r["n"], np.int64) for r in rows])
         out, tail = [], dict.fromkeys(c.split()[0] for c in _TOLD.split(", "))
         if depth:
             heads = [np.frombuffer(r["contexts"], np.uint64) for r in rows]
             runs = [_unzip(r["runs"], np.int32) for r in rows]
             total = np.repeat(np.concatenate([_unzip(r["totals"], np.int64) for r in rows]), np.concatenate(runs))
             context = np.repeat(np.concatenate(heads), np.concatenate(runs))
-            p = np.concatenate([_decode(r["p"]) for r in rows])
+            p = np.concatenate([_unzip(r["p"], np.float32) for r in rows])
         key = _ordered(mix(context), _key(context, x)) if depth else x
         order = np.argsort(key)
         pairs = run_bounds(key[order])
@@ -336,17 +366,18 @@ def _answerer(model: Model, depth: int):
             width = np.diff(np.append(groups, len(at)))
             once = np.add.reduceat((sums == 1).astype(np.int64), groups)
             whole = total[at[groups]]
-            parts = model.parts(whole)
-            gain = np.add.reduceat(left_out_gain(sums, p[at], np.repeat(whole, width), np.repeat(once * parts, width)), groups)
-            kept = gain / whole >= LEAST_GAIN
-            alone = parts == 1
-            out.append(tail | {"gain": float(gain[alone & kept].sum()), "v": int((alone & kept).sum())})
-            for g in np.flatnonzero(~alone).tolist():
-                out.append(tail | {"context": int(context[at[groups[g]]].view(np.int64)), "gain": float(gain[g]), "n": int(once[g]), "v": int(whole[g])})
             names = context[at[groups]]
+            alone = model.parts(whole) == 1
+            kept = alone & (np.add.reduceat(left_out_gain(sums, p[at].astype(np.float64), np.repeat(whole, width), np.repeat(once, width)), groups) / whole >= LEAST_GAIN)
+            out.append(tail | {"v": int(kept.sum())})
+            if not alone.all():
+                part = np.repeat(~alone, width)
+                held = (names[~alone], width[~alone], whole[~alone], sums[part], p[at][part])
+                out += [tail | {"context": c, "n": k} for c, k in zip(held[0].view(np.int64).tolist(), once[~alone].tolist(), strict=True)]
+                out.append(tail | {"split": pickle.dumps([_zip(a) for a in held])})
         begin = 0
         for i, r in enumerate(rows):
-            own = tail | {"chunk": r["chunk"], "depth": depth, "owner": r["owner"], "counts": _zip(counts[begin : begin + size[i]].astype(np.int32))}
+            own = tail | {"chunk": r["chunk"], "owner": r["owner"], "counts": _zip(counts[begin : begin + size[i]])}
             begin += size[i]
             if depth:
                 g = np.searchsorted(names, heads[i])
@@ -357,63 +388,73 @@ def _answerer(model: Model, depth: int):
     return answer
 
 
-def _split_level(told: DataFrame, model: Model) -> tuple[Level, float, int]:
-    """The split contexts of a level (at most 1 / SPLIT_SHARE rows), the gain of all that are kept, and their number."""
-    gain, kept = told.where("chunk is null and context is null").agg(F.coalesce(F.sum("gain"), F.lit(0.0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    rows = told.where("context is not null").groupBy("context").agg(F.sum("gain").alias("gain"), F.sum("n").alias("once"), F.max("v").alias("total")).collect()
+def _split_gains(level: Level):
+    """Parts of split contexts -> what each gains, now that all its symbols seen once are known."""
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column("split").to_pylist():
+                names, width, whole, sums, p = (_unzip(a, kind) for a, kind in zip(pickle.loads(packed), (np.uint64, np.int64, np.int64, np.int64, np.float32), strict=True))
+                once = level.once[np.searchsorted(level.context, names)]
+                gain = np.add.reduceat(left_out_gain(sums, p.astype(np.float64), np.repeat(whole, width), np.repeat(once, width)), np.cumsum(width) - width)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(gain / whole)], names=["context", "gain"])
+
+    return gains
+
+
+def _split_level(told: DataFrame) -> tuple[Level, int]:
+    """The split contexts of a level (at most 1 / SPLIT_SHARE rows), and the number of all that are kept."""
+    kept = told.where("chunk is null and v is not null").agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
+    rows = told.where("context is not null").groupBy("context").agg(F.sum("n").alias("once")).collect()
     context = np.array([r["context"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(context)
-    own = np.array([r["gain"] for r in rows], float)
-    fate = own / np.array([r["total"] for r in rows], float) >= LEAST_GAIN if rows else np.empty(0, bool)
-    level = Level(context[order], np.array([r["once"] for r in rows], np.int64)[order], fate[order])
-    return level, float(gain + own[fate].sum()), int(kept + fate.sum())
-
-
-def _trained(packed: DataFrame, owners: int, depth: int | None) -> tuple[Model, DataFrame]:
-    """The model, and the answers of all levels to all chunks."""
-    model = Model(owners)
-    told = materialize(packed.mapInArrow(_ask_symbols(model), _ASKED).groupBy("owner").applyInArrow(_answerer(model, 0), _TOLD))
-    model.n, model.v = told.where("chunk is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    answers = told.where("chunk is not null")
-    while depth is None or len(model.levels) < depth:
-        level = len(model.levels) + 1
-        asked = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_ask_contexts(model), _ASKED)
-        told = materialize(asked.groupBy("owner").applyInArrow(_answerer(model, level), _TOLD))
-        split, gain, kept = _split_level(told, model)
-        if not kept:
-            break
-        model = Model(owners, model.n, model.v, [*model.levels, split])
-        answers = answers.unionByName(told.where("chunk is not null"))
-        if gain < STOP_GAIN * model.n:
-            break
-    return model, answers
+    level = Level(context[order], np.array([r["once"] for r in rows], np.int64)[order], np.zeros(len(rows), bool))
+    if rows:
+        gains = told.where("split is not null").select("split").mapInArrow(_split_gains(level), "context long, gain double").groupBy("context").agg(F.sum("gain").alias("gain")).collect()
+        for r in gains:
+            level.kept[np.searchsorted(level.context, np.int64(r["context"]).view(np.uint64))] = r["gain"] >= LEAST_GAIN
+    return level, int(kept + level.kept.sum())
 
 
-def _scorer(model: Model):
-    """A chunk and its answers -> the wanted texts' scores."""
+def _scorer(model: Model, depth: int):
+    """Chunks' states -> the wanted texts' scores."""
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        (packed,) = left.to_pylist()
-        chunk = _replayed(model, packed, right.to_pylist(), False)
-        n = chunk.rows.num_rows
-        base = np.log10((chunk.count + 1.0) / (model.n + model.v + 1.0))
-        columns = {
-            "doc_id": chunk.rows.column("doc_id"), "n_tokens": pa.array(np.bincount(chunk.row, minlength=n)), "n_known": pa.array(np.bincount(chunk.row, chunk.count > 0, n).astype(np.int64)),
-            "base_score": pa.array(np.bincount(chunk.row, base, n)), "score": pa.array(np.bincount(chunk.row, np.log10(chunk.p), n)),
-        }
-        return pa.table(columns).filter(chunk.rows.column("wanted"))
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = _unpacked(model, depth, {c: row[f"s_{c}"] for c in _STATE})
+                left = np.bincount(chunk.row[chunk.asked], np.log10(chunk.p), len(chunk.size))
+                docs = chunk.docs.set_column(chunk.docs.column_names.index("score"), "score", pa.array(chunk.docs.column("score").to_numpy() + left))
+                yield from docs.filter(docs.column("wanted")).select(["doc_id", "n_tokens", "n_known", "base_score", "score"]).to_batches()
 
     return score
 
 
 def _scored(rows: DataFrame, owners: int | None, depth: int | None) -> DataFrame:
     """Scores of the wanted ones of ``rows`` (doc_id, text, counted, wanted)."""
-    packed = materialize(rows.mapInArrow(_packer, _PACKED))
-    if owners is None:
-        size = packed.agg(F.coalesce(F.sum(F.octet_length("docs")), F.lit(0))).first()[0]
-        owners = owner_count(3 * size, OWNER_BYTES)  # texts are about three times as long as packed
-    model, answers = _trained(packed, owners, depth)
-    scored = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scorer(model), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    model = Model(owners or owner_count(text_volume(rows), OWNER_BYTES))
+    asked = materialize(rows.mapInArrow(_reader(model), _ASKED))
+    level, split = 0, Level()
+    while True:
+        told = materialize(asked.where("owner is not null").select(*_ASKED.split(", s_")[0].replace(" int", "").replace(" string", "").replace(" binary", "").split(", ")).groupBy("owner").applyInArrow(_answerer(model, level), _TOLD))
+        if not level:
+            n, v = told.where("chunk is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+            model = Model(model.owners, n, v)
+        else:
+            split, kept = _split_level(told)
+            if not kept:
+                discard(told)
+                break
+        more = depth is None or level < depth
+        states = asked.where("owner is null").select("chunk", *(f"s_{c}" for c in _STATE))
+        answers = told.where("chunk is not null").select("chunk", "owner", "counts", "once", "kept")
+        following = materialize(states.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_next_level(model, level, split, more), _ASKED))
+        discard(asked, told)
+        asked, level = following, level + 1
+        if not more:
+            break
+    states = asked.where("owner is null").select(*(f"s_{c}" for c in _STATE))
+    scored = states.mapInArrow(_scorer(model, level), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

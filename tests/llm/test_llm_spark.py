@@ -310,11 +310,11 @@ def test_suffix_tree_is_a_distribution_and_counts_exactly(spark):
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
     gain = [r["score"] - r["base_score"] for r in out if r["held_out"] and r["n_tokens"] > 5]
     assert sum(gain) > 0
-    # every continuation of one text: the probabilities of all known symbols and of an unknown one sum to one
+    # no word can be followed by more than a whole: P(w, end | a) over all known words and an unknown one, and P(end | a)
     vocabulary = sorted(w.decode() for w in counts if w)
     probes = [(i, f"a {w}") for i, w in enumerate([*vocabulary, "unknown"])] + [(10_000, "a")]
     both = suffix_tree_lm.score(spark.createDataFrame(probes, "doc_id long, text string"), docs.where("doc_id < 300")).collect()
-    assert len(both) == len(probes)
+    assert len(both) == len(probes) and 0 < sum(10 ** r["score"] for r in both) < 1
     assert suffix_tree_lm.held_out_scores(empty(spark)).count() == 0
 
 
