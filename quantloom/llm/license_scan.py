@@ -3,8 +3,9 @@
 Texts stream through the automaton of all templates, which yields matching statistics: for every
 word the longest run ending there that stands in some template. Long maximal runs are placed in
 their templates and chained, in order on both sides, into spans; a span that covers enough of a
-template names its license. Phrases that name a license outright are looked for beside it, and
-their labels stay.
+template names its license. Of a template's chains, those are listed that don't overlap and cover most together. All of it is one pass from left to
+right, so that a file that repeats a notice costs in proportion to its length. Phrases that name a license outright are looked for beside it, and
+their labels stay. Templates are a parameter: ``TEMPLATES`` holds short licenses and notices, ``read_templates`` reads whole texts.
 
 Defined results: a null text counts as empty; words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A
 to Z; repeated rows are scanned each; an empty table gives no rows; further columns are not read.
@@ -12,11 +13,14 @@ to Z; repeated rows are scanned each; an empty table gives no rows; further colu
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from quantloom.llm.frames import slices, text_bytes
 from quantloom.llm.words import LOWER, NOT_ALNUM, hash_spans, hash_words, split_words
@@ -24,24 +28,72 @@ from quantloom.llm.words import LOWER, NOT_ALNUM, hash_spans, hash_words, split_
 # The phrases that name a license, with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Well-known license notices, as published.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+    "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+)
+_BSD_BINARY = (
+    " Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
+_BSD_NAMES = (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission."
+)
+_BSD_DISCLAIMER = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+    "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+    "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
+    "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions "
+    "of the Software."
+)
+
+# Well-known license texts and notices, as published.
 TEMPLATES = {
     "mit": [
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
-        "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
-        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
-        "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions "
-        "of the Software.",
+        _MIT,
+        _MIT + " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
         "Released under the MIT License.",
     ],
     "apache-2": [
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may "
         "obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT "
+        "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and "
+        "limitations under the License.",
         "Licensed under the Apache License, Version 2.0.",
     ],
-    "bsd": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
-        "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "bsd": [_BSD],
+    "bsd-2-clause": [_BSD + _BSD_BINARY + _BSD_DISCLAIMER],
+    "bsd-3-clause": [_BSD + _BSD_BINARY + _BSD_NAMES + _BSD_DISCLAIMER],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        "above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL "
+        "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "gpl-2": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ],
     "gpl-3": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
@@ -57,6 +109,8 @@ TEMPLATES = {
         "file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ],
 }
+#: Bytes of templates that are sent to every task, at most; more are refused.
+MOST_TEMPLATE_BYTES = 16 << 20
 #: Words of a run that is worth placing, words that a span may skip between runs, and the share of a
 #: template that its span has to cover.
 LEAST_RUN = 4
@@ -128,6 +182,28 @@ class SuffixAutomaton:
                 state, long = 0, 0
             yield long, state
 
+    def runs(self, words: list[int], least: int) -> list[tuple[int, int, int]]:
+        """Maximal matches of ``least`` words or more: (start, length, state), from left to right."""
+        found, state, long = [], 0, 0
+        following, link, length = self.next, self.link, self.length
+        for i, w in enumerate(words):
+            after = following[state].get(w)
+            if after is None:
+                if long >= least:
+                    found.append((i - long, long, state))
+                while state and w not in following[state]:
+                    state = link[state]
+                    long = length[state]
+                after = following[state].get(w)
+                if after is None:
+                    long = 0
+                    continue
+            state = after
+            long += 1
+        if long >= least:
+            found.append((len(words) - long, long, state))
+        return found
+
 
 class Scanner:
     """Phrases and templates made ready for scanning."""
@@ -137,61 +213,79 @@ class Scanner:
         coded = [tokens(t) for texts in templates.values() for t in texts]
         self.sizes = [len(c) for c in coded]
         self.automaton = SuffixAutomaton([c.tolist() for c in coded])
-        self.vocabulary = np.unique(np.concatenate(coded))
+        self.vocabulary = np.unique(np.concatenate(coded)) if coded else np.empty(0, np.uint64)
         self.phrases = [(tokens(p), label) for p, label in phrases.items()]
 
-    def runs(self, words: list[int]) -> list[tuple[int, int, int]]:
-        """Maximal matches of LEAST_RUN words or more: (start, length, state)."""
-        found, before = [], (0, 0)
-        for i, (long, state) in enumerate([*self.automaton.statistics(words), (0, 0)]):
-            if long <= before[0] and before[0] >= LEAST_RUN:
-                found.append((i - before[0], *before))
-            before = (long, state)
-        return found
+    def spans(self, words: list[int], base: int = 0) -> list[tuple[int, int, int, float]]:
+        """(template, first word, end, covered share): the best chain of each template, and all others that cover enough and don't overlap; words are numbered from ``base``."""
+        return self.chained(self.automaton.runs(words, LEAST_RUN), base)
 
-    def spans(self, words: list[int]) -> list[tuple[int, int, int, float]]:
-        """(template, first word, end, covered share) of the best chain of each template, and of all others that cover enough and don't overlap a better one."""
+    def chained(self, runs: list[tuple[int, int, int]], base: int = 0) -> list[tuple[int, int, int, float]]:
         places: dict[int, list[tuple[int, int, int]]] = {}
-        for start, long, state in self.runs(words):
+        for start, long, state in runs:
             for t, end in self.automaton.where[state]:
-                places.setdefault(t, []).append((start, end - long + 1, long))
+                places.setdefault(t, []).append((base + start, end - long + 1, long))
         out = []
         for t, own in places.items():
-            while own:
-                covered, first, end = self.best_chain(t, own)
-                out.append((t, first, end, covered / self.sizes[t]))
-                if covered < LEAST_COVER * self.sizes[t]:
-                    break
-                # What the runs hold on both sides of the chain.
-                own = [(s, at, min(long, first - s)) for s, at, long in own if s < first] + [(max(s, end), at + max(0, end - s), s + long - max(s, end)) for s, at, long in own if s + long > end]
-                if sum(long for _, _, long in own) < LEAST_COVER * self.sizes[t]:
-                    break
-        # The best of each template comes first; a later one is listed only if it covers enough.
-        best: dict[int, int] = {}
-        return [x for x in out if best.setdefault(x[0], x[1]) == x[1] or x[3] >= LEAST_COVER]
-
-    def best_chain(self, t: int, own: list[tuple[int, int, int]]) -> tuple[int, int, int]:
-        """Covered words, first word and end of the best chain of runs (place, place in template ``t``, length)."""
-        own.sort()
-        chains: list[tuple[int, int, int, int]] = []  # covered, first word, end here, end in the template
-        reach = MOST_GAP + self.sizes[t]
+            own.sort()
+            chains = self.chains(t, own)
+            enough = [c for c in chains if c[0] >= LEAST_COVER * self.sizes[t]]
+            chosen = apart(enough) if enough else [max(chains)[:3]]
+            out += [(t, first, end, covered / self.sizes[t]) for covered, first, end in chosen]
+        return out
+
+    def chains(self, t: int, own: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """The best chain that ends with each run (place, place in template ``t``, length; sorted): covered words, first word, end, end in the template."""
+        chains: list[tuple[int, int, int, int]] = []
+        near = 0  # runs before this one end too early to be gone on from
         for start, at, long in own:
             best = (long, start, start + long, at + long)
-            for k in range(len(chains) - 1, -1, -1):
-                if own[k][0] < start - reach:  # runs further back end beyond any gap
-                    break
-                covered, first, end, stop = chains[k]
+            while near < len(chains) and chains[near][2] < start - MOST_GAP:
+                near += 1
+            for covered, first, end, stop in chains[near:]:
                 shift = max(0, end - start, stop - at)
                 if start + shift - end <= MOST_GAP and at + shift - stop <= MOST_GAP and shift < long:
                     best = max(best, (covered + long - shift, first, start + long, at + long))
             chains.append(best)
-        covered, first, end, _ = max(chains)
-        return covered, first, end
+        return chains
 
 
-def _scan(with_spans: bool):
+def apart(chains: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of chains (covered, first, end, ...), those that cover most together without overlapping: covered, first, end, from left to right."""
+    ordered = sorted({(end, first, covered) for covered, first, end, *_ in chains})
+    ends = [x[0] for x in ordered]
+    best, take, before = [0], [], []
+    for i, (_, first, covered) in enumerate(ordered):
+        k = bisect_right(ends, first, 0, i)
+        take.append(covered + best[k] > best[i])
+        before.append(k)
+        best.append(max(best[i], covered + best[k]))
+    out, i = [], len(ordered)
+    while i:
+        if take[i - 1]:
+            end, first, covered = ordered[i - 1]
+            out.append((covered, first, end))
+            i = before[i - 1]
+        else:
+            i -= 1
+    return out[::-1]
+
+
+_SCANNERS: dict[int, Scanner] = {}
+
+
+def _scanner(templates: dict[str, list[str]], phrases: dict[str, str]) -> Scanner:
+    """The worker's scanner for these templates, built once."""
+    key = hash((tuple((n, *t) for n, t in templates.items()), tuple(phrases.items())))
+    if key not in _SCANNERS:
+        _SCANNERS.clear()
+        _SCANNERS[key] = Scanner(templates, phrases)
+    return _SCANNERS[key]
+
+
+def _scan(with_spans: bool, templates: dict[str, list[str]], phrases: dict[str, str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner()
+        scanner = _scanner(templates, phrases)
         for batch in batches:
             for piece in slices(batch, "text"):
                 data, at = text_bytes(piece.column("text"))
@@ -218,16 +312,20 @@ def _scan(with_spans: bool):
                         last[r] = max(last[r], place)
                         labels[r].add(label)
                 base = [",".join(sorted(x)) for x in labels]
-                # Only rows with a long enough run of template words go through the automaton, word by word.
-                run = known[: max(len(words) - LEAST_RUN + 1, 0)].copy()
-                for j in range(1, LEAST_RUN):
-                    run &= known[j : len(run) + j]
-                here = np.flatnonzero(run)
-                here = here[row_of[here] == row_of[here + LEAST_RUN - 1]] if len(here) else here
+                # Only stretches of template words that are long enough go through the automaton, word by word.
+                edge = np.flatnonzero(np.diff(np.concatenate(([False], known, [False])).astype(np.int8)))
+                cut = np.unique(np.concatenate((edge, rows[1:-1][known[np.minimum(rows[1:-1], len(known) - 1)]] if len(known) else edge)))
+                begins, finish = cut[:-1], cut[1:]
+                fit = (finish - begins >= LEAST_RUN) & known[np.minimum(begins, max(len(known) - 1, 0))] if len(known) else np.empty(0, bool)
                 score = np.array([1.0 if x else 0.0 for x in labels])
                 spans: list[list[dict]] = [[] for _ in range(n)]
-                for r in np.unique(row_of[here]).tolist():
-                    for t, begin, end, cover in scanner.spans(words[rows[r] : rows[r + 1]].tolist()):
+                runs: dict[int, list[tuple[int, int, int]]] = {}
+                for a, b in zip(begins[fit].tolist(), finish[fit].tolist(), strict=True):
+                    r = int(row_of[a])
+                    first_word = a - int(rows[r])
+                    runs.setdefault(r, []).extend((first_word + start, long, state) for start, long, state in scanner.automaton.runs(words[a:b].tolist(), LEAST_RUN))
+                for r, own in runs.items():
+                    for t, begin, end, cover in scanner.chained(own):
                         score[r] = max(score[r], min(1.0, cover))
                         if cover >= LEAST_COVER:
                             labels[r].add(scanner.names[t])
@@ -243,9 +341,22 @@ def _scan(with_spans: bool):
     return scan
 
 
-def scan_licenses(documents: DataFrame, with_spans: bool = False) -> DataFrame:
+def read_templates(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """Whole license texts from the text files of ``folder``, which Spark can read: name of the file without its ending -> text."""
+    rows = spark.read.text(folder, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[A-Za-z]+)?$", 1).alias("name"), "value", F.sum(F.octet_length("value")).over(W.partitionBy()).alias("bytes"))
+    if (rows.agg(F.max("bytes")).first()[0] or 0) > MOST_TEMPLATE_BYTES:
+        raise ValueError(f"license texts of over {MOST_TEMPLATE_BYTES} bytes")
+    found: dict[str, list[str]] = {}
+    for r in rows.orderBy("name", "value").collect():
+        found.setdefault(r["name"], []).append(r["value"])
+    return found
+
+
+def scan_licenses(documents: DataFrame, with_spans: bool = False, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (and spans) of every row (doc_id, text)."""
+    if sum(len(t.encode()) for texts in templates.values() for t in texts) > MOST_TEMPLATE_BYTES:
+        raise ValueError(f"license texts of over {MOST_TEMPLATE_BYTES} bytes")
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     if with_spans:
         schema += ", spans array<struct<label: string, first_word: long, end_word: long, cover: double>>"
-    return documents.select("doc_id", "text").mapInArrow(_scan(with_spans), schema)
+    return documents.select("doc_id", "text").mapInArrow(_scan(with_spans, templates, phrases), schema)

@@ -37,6 +37,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def license_base_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the license scan that SQL can express."""
+    return scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -83,9 +88,22 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents"), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_multi_index, op3_exact_dedup, op4_license_scan, op5_packing, op6_mixing, op7_near_dedup, op8_suffix_tree_lm, op9_url_filter, op10_substring_dedup, op11_conversation_repair, op12_language_id, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_multi_index, op3_exact_dedup, op4_license_scan, op5_packing, op6_mixing, op7_near_dedup, op8_suffix_tree_lm, op9_url_filter, op10_substring_dedup, op11_conversation_repair, op12_language_id, op13_token_alignment, license_base_phrases)}
 
 ORACLE_SQL = {
+    "license_base_phrases": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w : w <> '') AS w FROM documents
+        ), f AS (
+            SELECT doc_id, len(w)::BIGINT AS n_words,
+                list_filter(range(1, len(w) + 1), lambda i : w[i : i + 3] = ['under', 'the', 'mit', 'license']) AS mit,
+                list_filter(range(1, len(w) + 1), lambda i : w[i : i + 3] = ['apache', 'license', 'version', '2']) AS apache,
+                list_filter(range(1, len(w) + 1), lambda i : w[i : i + 2] = ['cc', 'by', 'nc']) AS cc
+            FROM d
+        ), p AS (SELECT *, mit || apache || cc AS places FROM f)
+        SELECT doc_id, n_words, len(places)::BIGINT AS n_base, (list_min(places) - 1)::BIGINT AS first_word, (list_max(places) - 1)::BIGINT AS last_word,
+            concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache-2' END, CASE WHEN len(cc) > 0 THEN 'cc-by-nc' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels
+        FROM p""",
     "op3_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents
