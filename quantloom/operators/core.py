@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.cross_section import demeaned, rank01, rank_correlation, with_zscore, zscore
+from quantloom.sources.storage import checkpointed
 
 #: The day a record became known, per kind of record.
 KNOWN_ON = {"prices": "date", "estimates": "estimate_date", "fundamentals": "report_date", "ownership": "as_of_date"}
@@ -253,8 +254,8 @@ def tilt(scores: DataFrame, vols: DataFrame, floor: float = 1e-4) -> DataFrame:
 
 
 def enforce(weights: DataFrame, max_position: float = 0.05, max_gross: float = 1.0, neutral: bool = True) -> DataFrame:
-    """Demean, cap each name, scale the larger leg down, scale gross to its limit: each step one global aggregate."""
-    w = weights.select("ticker", "weight")
+    """Demean, cap each name, scale the larger leg down, scale gross to its limit: each step one global aggregate over the weights, which are written once."""
+    w = checkpointed(weights.select("ticker", "weight"))
     if neutral:
         w = w.crossJoin(w.agg(F.avg("weight").alias("m"))).select("ticker", (F.col("weight") - F.col("m")).alias("weight"))
     w = w.withColumn("weight", F.greatest(F.lit(-max_position), F.least(F.lit(max_position), "weight")))

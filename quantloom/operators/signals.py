@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.cross_section import rank01, zscore
 from quantloom.operators.core import as_of, as_of_join, by_ticker, require_flagged
+from quantloom.sources.storage import checkpointed
 
 DEFAULT_ACCURACY = 0.5
+#: Tickers from which an analyst's coverage isn't joined with itself any more.
+WIDE_COVERAGE = 256
 OUT = ("date", "ticker", "raw_score", "rank_score")
 
 
@@ -34,19 +37,47 @@ def grid(dates: DataFrame, rows: DataFrame) -> DataFrame:
     return dates.select("date").distinct().crossJoin(rows.select("ticker").distinct())
 
 
+def peer_trend(covered: DataFrame, now: DataFrame, wide: int = WIDE_COVERAGE) -> DataFrame:
+    """date, ticker, trend: the mean expert view (``now``: date, ticker, expert) of the tickers that share an analyst with it.
+
+    ``covered`` holds ticker, analyst_id and the day since which the analyst covers it; two tickers are peers from the day on which an
+    analyst had covered both. Analysts of up to ``wide`` tickers are joined with themselves, so that a row meets no more than ``wide``. Tickers
+    that have the same set of wider analysts on a day share one union of their coverages, summed once for the set; the ticker itself and its
+    other peers are taken out or added; tickers without a view of their own may be in the result, too. So no pairs are made within a wide coverage: it costs its rows for each such set.
+    """
+    covered = checkpointed(covered)
+    sizes = covered.groupBy("analyst_id").agg(F.count("*").alias("n"))
+    views = now.select(F.col("ticker").alias("peer"), "date", F.col("expert").alias("theirs"))
+    narrow = covered.join(sizes.where(F.col("n") <= wide).select("analyst_id"), "analyst_id", "left_semi")
+    other = narrow.select(F.col("ticker").alias("peer"), "analyst_id", F.col("since").alias("p_since"))
+    pairs = narrow.join(other, "analyst_id").where("ticker <> peer").groupBy("ticker", "peer").agg(F.min(F.greatest("since", "p_since")).alias("since"))
+    near = pairs.join(views, "peer").where("date >= since").select("date", "ticker", "peer", "theirs")
+    if sizes.where(F.col("n") > wide).isEmpty():
+        return near.groupBy("date", "ticker").agg(F.avg("theirs").alias("trend"))
+    broad = covered.join(sizes.where(F.col("n") > wide).select("analyst_id"), "analyst_id", "left_semi")
+    seen = broad.join(now, "ticker").where("date >= since").select("date", "ticker", "analyst_id", "expert")
+    sets = seen.groupBy("date", "ticker").agg(F.first("expert").alias("own"), F.sort_array(F.collect_list("analyst_id")).alias("analysts")).withColumn("key", F.sha2(F.to_json("analysts"), 256))
+    sets = checkpointed(sets)
+    wanted = sets.dropDuplicates(["date", "key"]).select("date", "key", F.explode("analysts").alias("analyst_id"))
+    union = seen.join(wanted, ["date", "analyst_id"]).groupBy("date", "key", F.col("ticker").alias("peer")).agg(F.first("expert").alias("theirs"))
+    union = checkpointed(union)
+    whole = sets.join(union.groupBy("date", "key").agg(F.sum("theirs").alias("s"), F.count("*").alias("n")), ["date", "key"]).select("date", "ticker", (F.col("s") - F.col("own")).alias("s"), (F.col("n") - 1).alias("n"))
+    more = near.join(sets.select("date", "ticker", "key"), ["date", "ticker"], "left").join(union.select("date", "key", "peer"), ["date", "key", "peer"], "left_anti")
+    parts = whole.unionByName(more.groupBy("date", "ticker").agg(F.sum("theirs").alias("s"), F.count("*").alias("n")))
+    return parts.groupBy("date", "ticker").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0").select("date", "ticker", (F.col("s") / F.col("n")).alias("trend"))
+
+
 def earnings_surprise(estimates: DataFrame, day: dt.date | str, metric: str = "EPS", weights: Sequence[float] = (1 / 3, 1 / 3, 1 / 3)) -> DataFrame:
     """Expert consensus against the simple one, the same of peers that share an analyst, and agreement."""
-    known = require_flagged(as_of(estimates, day, "estimate_date").where(F.col("metric") == metric))
+    known = checkpointed(require_flagged(as_of(estimates, day, "estimate_date").where(F.col("metric") == metric)))
     accuracy = F.coalesce("analyst_accuracy", F.lit(DEFAULT_ACCURACY))
     own = (
         known.withColumn("a", accuracy).groupBy("ticker")
         .agg(F.sum(F.col("a") * F.col("value")).alias("av"), F.sum("a").alias("a"), F.avg("value").alias("mean"), F.when(F.count("value") > 1, F.stddev_pop("value")).otherwise(0.0).alias("spread"))
-        .select("ticker", F.when(F.col("a") > 0, F.col("av") / F.nullif("a", F.lit(0.0)) - F.col("mean")).otherwise(0.0).alias("expert"), (-F.col("spread")).alias("management"))
+        .select(F.lit(day).cast("date").alias("date"), "ticker", F.when(F.col("a") > 0, F.col("av") / F.nullif("a", F.lit(0.0)) - F.col("mean")).otherwise(0.0).alias("expert"), (-F.col("spread")).alias("management"))
     )
-    covered = known.select("ticker", "analyst_id").distinct()
-    pairs = covered.join(covered.select(F.col("ticker").alias("peer"), "analyst_id"), "analyst_id").where("ticker <> peer").select("ticker", "peer").distinct()
-    trend = pairs.join(own.select(F.col("ticker").alias("peer"), F.col("expert").alias("theirs")), "peer").groupBy("ticker").agg(F.avg("theirs").alias("trend"))
-    parts = own.join(trend, "ticker", "left").withColumns({"trend": F.coalesce("trend", F.lit(0.0)), "date": F.lit(day).cast("date")})
+    trend = peer_trend(known.groupBy("ticker", "analyst_id").agg(F.min("estimate_date").alias("since")), own)
+    parts = own.join(trend, ["date", "ticker"], "left").withColumn("trend", F.coalesce("trend", F.lit(0.0)))
     return _weighted(parts, ("expert", "trend", "management"), weights)
 
 
@@ -63,12 +94,8 @@ def earnings_surprise_on(estimates: DataFrame, dates: DataFrame, metric: str = "
     held, spread = F.sum("a").over(run), F.when(F.count("value").over(run) > 1, F.stddev_pop("value").over(run)).otherwise(0.0)
     expert = F.when(held > 0, F.sum(F.col("a") * F.col("value")).over(run) / F.nullif(held, F.lit(0.0)) - F.avg("value").over(run)).otherwise(0.0)
     own = known.select("ticker", "estimate_date", expert.alias("expert"), (-spread).alias("management"))
-    now = as_of_join(grid(dates, own), own, "ticker", "date", "estimate_date", ["expert", "management"]).where("management is not null")
-    covered = known.groupBy("ticker", "analyst_id").agg(F.min("estimate_date").alias("since"))
-    other = covered.select(F.col("ticker").alias("peer"), "analyst_id", F.col("since").alias("p_since"))
-    pairs = covered.join(other, "analyst_id").where("ticker <> peer").groupBy("ticker", "peer").agg(F.min(F.greatest("since", "p_since")).alias("since"))
-    theirs = now.select(F.col("ticker").alias("peer"), "date", F.col("expert").alias("theirs"))
-    trend = pairs.join(theirs, "peer").where("date >= since").groupBy("date", "ticker").agg(F.avg("theirs").alias("trend"))
+    now = checkpointed(as_of_join(grid(dates, own), own, "ticker", "date", "estimate_date", ["expert", "management"]).where("management is not null"))
+    trend = peer_trend(known.groupBy("ticker", "analyst_id").agg(F.min("estimate_date").alias("since")), now)
     parts = now.join(trend, ["date", "ticker"], "left").withColumn("trend", F.coalesce("trend", F.lit(0.0)))
     return _weighted(parts, ("expert", "trend", "management"), weights)
 

@@ -15,6 +15,7 @@ from quantloom.functions.cross_section import average_rank, rank01, score_table,
 from quantloom.operators import contracts, core, lifecycle, signals
 from quantloom.plans import compiler
 from quantloom.plans.dsl import parse
+from quantloom.sources.storage import checkpointed
 from quantloom.sources import feeds, market
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -544,20 +545,25 @@ BOOK_CTES = f"{VOLS}, {SCORES}, {TILT}, {BOOK}"
 RISK_CTES = f"{BOOK_CTES}, {SCENARIOS}, sr AS (SELECT date, sum(coalesce(weight, 0) * ret) AS ret FROM scenarios LEFT JOIN book USING (ticker) GROUP BY date)"
 
 
-def _tilted(spark, d):
-    bars = market.bars(spark, d)
+def _priced(spark, d):
+    """The bars, written once for all that a book reads of them."""
+    return checkpointed(market.bars(spark, d))
+
+
+def _tilted(bars):
     known = core.as_of(bars, BOOK_DAY, "date")
     scores = three_signals(known).where("signal = 'momentum_3'")
     day = scores.join(F.broadcast(core.latest_dates(known, 1)), "date").select("ticker", "raw_score")  # one row
     return core.tilt(day, core.trailing_vol(bars, BOOK_DAY))
 
 
-def _book(spark, d):
-    return core.enforce(_tilted(spark, d))
+def _book(bars):
+    return core.enforce(_tilted(bars))
 
 
 def _scenario_returns(spark, d):
-    return core.scenario_returns(_book(spark, d), core.scenarios(market.bars(spark, d), BOOK_DAY))
+    bars = _priced(spark, d)
+    return core.scenario_returns(_book(bars), core.scenarios(bars, BOOK_DAY))
 
 
 @query("SELECT * FROM vols", VOLS, "vol")
@@ -567,17 +573,17 @@ def trailing_vol(spark, d):
 
 @query("SELECT * FROM tilt", f"{VOLS}, {SCORES}, {TILT}", "weight")
 def tilt_weights(spark, d):
-    return _tilted(spark, d)
+    return _tilted(_priced(spark, d))
 
 
 @query("SELECT * FROM book", BOOK_CTES, "weight")
 def enforce_weights(spark, d):
-    return _book(spark, d)
+    return _book(_priced(spark, d))
 
 
 @query("SELECT sum(abs(coalesce(n.weight, 0) - coalesce(o.weight, 0))) AS turnover FROM book n FULL JOIN (SELECT ticker, weight / 2 AS weight FROM book WHERE weight > 0) o USING (ticker)", BOOK_CTES, "turnover")
 def turnover(spark, d):
-    book = _book(spark, d)
+    book = _book(_priced(spark, d))
     return core.turnover(book, book.where("weight > 0").withColumn("weight", F.col("weight") / 2))
 
 
@@ -586,7 +592,7 @@ def turnover(spark, d):
     UNION ALL SELECT 'net', NULL, sum(weight) FROM tilt HAVING abs(sum(weight)) > 0.05::DOUBLE""", f"{VOLS}, {SCORES}, {TILT}", "amount",
 )
 def violations(spark, d):
-    return core.violations(_tilted(spark, d))
+    return core.violations(_tilted(_priced(spark, d)))
 
 
 @query("SELECT * FROM scenarios", f"{VOLS}, {SCENARIOS}", "ret")
@@ -781,7 +787,6 @@ def backtest_report(spark, d):
 @query()
 def optimal_weights(spark, d):
     from quantloom.plans.research import ic_weights
-    from quantloom.sources.storage import checkpointed
 
     return spark.createDataFrame(list(ic_weights(checkpointed(_ics(spark, d))).items()), "signal string, weight double")
 

@@ -78,15 +78,37 @@ def ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Suppliers of a part from which its pairs are made block by block.
+WIDE_PART = 512
+
+
+def shared_parts(per_part: DataFrame, wide: int = WIDE_PART) -> DataFrame:
+    """low, high, n: for every two suppliers (``per_part``: part, supplier, k lines) the sum of the products of their lines of common parts.
+
+    Each pair is made once. A part of over ``wide`` suppliers is cut into blocks of them, and each two blocks meet in
+    a group of their own, so that no task makes all the pairs of a popular part.
+    """
+    sizes = per_part.groupBy("part").agg(F.ceil(F.count("*") / wide).cast("int").alias("blocks"))
+    placed = per_part.join(sizes, "part").withColumn("block", F.expr("int(pmod(xxhash64(supplier), blocks))"))
+    # Blocks i <= j meet at (i, j): a row goes to the group of its block with each block.
+    dealt = placed.select("part", "supplier", "k", "block", F.explode(F.expr("transform(sequence(0, blocks - 1), b -> struct(least(b, block) AS i, greatest(b, block) AS j))")).alias("at"))
+    left = dealt.select("part", "at", F.col("supplier").alias("x"), F.col("k").alias("k1"), F.col("block").alias("b1"))
+    right = dealt.select("part", "at", F.col("supplier").alias("y"), F.col("k").alias("k2"), F.col("block").alias("b2"))
+    # Within (i, j) only rows of different blocks meet, or all of one where i = j.
+    pairs = left.join(right, ["part", "at"]).where("x < y and (b1 <> b2 or at.i = at.j)")
+    return pairs.groupBy(F.col("x").alias("low"), F.col("y").alias("high")).agg(F.sum(F.col("k1") * F.col("k2")).alias("n"))
+
+
 def links(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
     """Up to three related tickers per ticker, by how many pairs of lines share a part.
 
     Lines are counted per part and supplier before suppliers meet, so a popular part adds
     supplier pairs, not line pairs.
     """
-    per_part = lines(spark, sf_dir).groupBy("l_partkey", "ticker").agg(F.count(F.lit(1)).alias("k"))
-    other = per_part.select("l_partkey", F.col("ticker").alias("related_ticker"), F.col("k").alias("k2"))
-    shared = per_part.join(other, "l_partkey").where("ticker <> related_ticker").groupBy("ticker", "related_ticker").agg(F.sum(F.col("k") * F.col("k2")).alias("n"))
+    per_part = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).agg(F.count(F.lit(1)).alias("k"))
+    pairs = shared_parts(per_part)
+    both = pairs.select("low", "high", "n").unionByName(pairs.select(F.col("high").alias("low"), F.col("low").alias("high"), "n"))
+    shared = both.select(ticker(F.col("low")).alias("ticker"), ticker(F.col("high")).alias("related_ticker"), "n")
     by = W.partitionBy("ticker")
     ranked = shared.withColumn("rank", F.row_number().over(by.orderBy(F.desc("n"), "related_ticker"))).where(F.col("rank") <= most)
     return ranked.select(

@@ -71,9 +71,21 @@ class AuditLog:
     def entries(self) -> list[dict]:
         return [json.loads(x) for x in self.path.read_text().splitlines() if x.strip()]
 
+    def last(self) -> dict | None:
+        """The last entry, read from the end of the file."""
+        with self.path.open("rb") as file:
+            at, tail = file.seek(0, 2), b""
+            while at and tail.rstrip().count(b"\n") < 1:
+                step = min(at, 1 << 16)
+                at -= step
+                file.seek(at)
+                tail = file.read(step) + tail
+        line = tail.rstrip().rsplit(b"\n", 1)[-1]
+        return json.loads(line) if line else None
+
     def record(self, event: str, payload: dict, actor: str = "system") -> str:
-        last = self.entries()
-        entry = {"timestamp": dt.datetime.now(dt.UTC).isoformat(), "actor": actor, "event": event, "payload": payload, "prev_hash": last[-1]["hash"] if last else None}
+        last = self.last()
+        entry = {"timestamp": dt.datetime.now(dt.UTC).isoformat(), "actor": actor, "event": event, "payload": payload, "prev_hash": last["hash"] if last else None}
         digest = hashlib.sha256(canonical(entry).encode()).hexdigest()
         with self.path.open("a") as out:
             out.write(json.dumps(entry | {"hash": digest}) + "\n")
