@@ -175,7 +175,8 @@ def _nearest_of(rows: DataFrame, queries: DataFrame, width: int, k: int, share:
                 cell = index.cells(unit(_matrix(batch.column("embedding"), width)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=[*batch.schema.names, "cell"])
 
-    placed = materialize(entries.select("entry", "embedding").mapInArrow(assign, "entry long, embedding array<float>, cell int"))
+    kind = f"entry long, embedding {entries.schema['embedding'].dataType.simpleString()}"
+    placed = materialize(entries.select("entry", "embedding").mapInArrow(assign, f"{kind}, cell int"))
     for r in placed.groupBy("cell").count().collect():  # about 4 sqrt(total) rows
         index.counts[r["cell"]] = r["count"]
     first = np.append(0, np.cumsum(index.counts))
@@ -225,10 +226,10 @@ def _nearest_of(rows: DataFrame, queries: DataFrame, width: int, k: int, share:
                     query.append(np.full(len(mine), names[a + i])), entry.append(ids[mine]), score.append(own[mine])
         return pa.table({"q_entry": np.concatenate(query), "entry": np.concatenate(entry), "score": np.concatenate(score)})
 
-    routed = materialize(searched.mapInArrow(route, "g long, b long, entry long, embedding array<float>, cells array<int>"))
+    routed = materialize(searched.mapInArrow(route, f"g long, b long, {kind}, cells array<int>"))
     # A group's entries go to the blocks of queries that ask for it, once to each.
     asks = routed.select(F.col("g").alias("group"), F.col("b").alias("block")).distinct()
-    dealt = placed.mapInArrow(deal, "g long, entry long, embedding array<float>, cell int").join(asks, F.col("g") == F.col("group")).select("group", "block", "entry", "embedding", "cell")
+    dealt = placed.mapInArrow(deal, f"g long, {kind}, cell int").join(asks, F.col("g") == F.col("group")).select("group", "block", "entry", "embedding", "cell")
     found = routed.groupBy("g", "b").cogroup(dealt.groupBy("group", "block")).applyInArrow(rerank, "q_entry long, entry long, score double")
     top = found.withColumn("n", F.row_number().over(W.partitionBy("q_entry").orderBy(F.desc("score"), "entry"))).where(F.col("n") <= k + 1)
     named = top.join(entries.select("entry", "ids"), "entry").select("q_entry", "score", F.explode("ids").alias("vec_id"))

@@ -33,8 +33,9 @@ from quantloom.llm.frames import materialize, slices
 
 CAPACITY = 1024
 END_ID = 2
-#: Entries of a worker's memo of encoded words; it is emptied when full.
-MEMO_WORDS = 700_000
+#: Words and bytes, about, that a worker's memo of encoded words may hold; it is emptied when full. Longer words than MEMO_WORD aren't kept.
+MEMO_WORDS, MEMO_BYTES, MEMO_WORD = 700_000, 160 << 20, 128
+_ENTRY_BYTES = 160
 #: Rounds of the LP, pricing programs in a round, and how fast weights follow the coverage.
 ROUNDS = 60
 GROUPS = 6
@@ -56,7 +57,7 @@ class WordEncoder:
     piece is encoded once; what isn't such a word goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS, memo_bytes: int = MEMO_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,7 +66,8 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.memo: dict[str, bytes | None] = {}
         self.pieces: dict[str, bytes] = {}
-        self.memo_words = memo_words
+        self.memo_words, self.memo_bytes, self.held = memo_words, memo_bytes, 0
+        self.long: list[str] = []  # words of the texts at hand that aren't kept
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,11 +76,15 @@ class WordEncoder:
         found = self.pieces.get(piece)
         if found is None:
             mapped = piece.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
-            found = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            found = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            if len(piece) <= MEMO_WORD:
+                self.pieces[piece] = found
+                self.held += len(piece) + len(found) + _ENTRY_BYTES
         return found
 
     def _learn(self, words: set[str]) -> None:
         memo, piece = self.memo, self._piece
+        self.long += (w for w in words if len(w) > MEMO_WORD)
         for w in words:
             if w.isalpha():
                 memo[w] = piece(" " + w)
@@ -88,15 +94,18 @@ class WordEncoder:
                 memo[w] = piece(" " + w[:-1]) + piece(w[-1])
             else:
                 memo[w] = b"".join(map(piece, _PIECE.findall(" " + w)))
+            self.held += len(w) + len(memo[w] or b"") + _ENTRY_BYTES
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         split = [t.split(" ") for t in texts]
-        if len(self.memo) > self.memo_words:
+        if len(self.memo) > self.memo_words or self.held > self.memo_bytes:
             self.memo.clear(), self.pieces.clear()
+            self.held = 0
         self._learn({w for x in split for w in x[1:]}.difference(self.memo))
         heads = self._encode([x[0] for x in split])
-        out, get = [], self.memo.__getitem__
+        memo = self.memo
+        out, get = [], memo.__getitem__
         for text, words, head in zip(texts, split, heads, strict=True):
             if words[0] and not words[0][-1].isspace():
                 try:
@@ -110,6 +119,9 @@ class WordEncoder:
             for i, x in zip(odd, self._encode([f" {parts[i + 1]}" for i in odd]), strict=True):
                 rest[i] = x
             out.append(self._encode(parts[:1])[0] + b"".join(rest))
+        for w in [w for w in self.long if w in memo]:
+            self.held -= len(w) + len(memo.pop(w) or b"") + _ENTRY_BYTES
+        self.long.clear()
         return out
 
 

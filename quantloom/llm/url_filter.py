@@ -1,13 +1,13 @@
 """URL filter on a sorted digest array.
 
 The rules' host and path strings are hashed by 64-bit xxhash and stored as a sorted array beside
-their strings; tasks map both files into memory. A page's candidate strings (each parent domain of
+their strings and where these begin; tasks map all three files into memory, and read a string only when its digest is met. A page's candidate strings (each parent domain of
 its host with each rule length of its path) are hashed, probed by vectorised binary search, and a
 hit counts only if the stored string is the same. Rule sets over ``MAX_RULE_BYTES`` are not shipped
-to every executor but joined on their digests, with the same results.
+to every executor but joined on their digests, with the same results: a bound on what is shipped, beyond which there is another way.
 
 Defined results: a null url or one without ``://`` has an empty host and path; the longest fitting rule
-wins, then the longer host; without a fitting rule the verdict is the default. Repeated rows are
+wins, then the longer host, then (of rules for one host and path) the greater verdict, which is ``block``; without a fitting rule the verdict is the default. Repeated rows are
 judged each; an empty table gives no rows; further columns are not read.
 """
 
@@ -39,25 +39,32 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def digest_files(rules: Sequence[Rule], folder: str) -> tuple[str, str]:
-    """Write the sorted digest array, and the strings and verdicts in its order."""
+def digest_files(rules: Sequence[Rule], folder: str) -> tuple[str, str, str]:
+    """Write the sorted digest array, the bounds of the strings in its order (and the paths' lengths), and the strings themselves."""
     keyed = sorted((xxhash.xxh64_intdigest(f"{host}\n{path}"), host, path, verdict) for verdict, host, path in rules)
-    name = uuid.uuid4().hex
-    digests, strings = os.path.join(folder, f"{name}.u64"), os.path.join(folder, f"{name}.json")
-    np.array([k[0] for k in keyed], "<u8").tofile(digests)
-    with open(strings, "w") as out:
-        json.dump([k[1:] for k in keyed], out)
-    return digests, strings
+    name = os.path.join(folder, uuid.uuid4().hex)
+    texts = [json.dumps(k[1:]).encode() for k in keyed]
+    lengths = sorted({len(path) for _, _, path, _ in keyed})
+    np.array([k[0] for k in keyed], "<u8").tofile(f"{name}.u64")
+    np.array([len(lengths), *lengths, *np.cumsum([0, *map(len, texts)])], "<i8").tofile(f"{name}.i64")
+    with open(f"{name}.txt", "wb") as out:
+        out.write(b"".join(texts) or b"\n")
+    return f"{name}.u64", f"{name}.i64", f"{name}.txt"
 
 
 class DigestArray:
     """The sorted digests, mapped into memory, and what they stand for."""
 
-    def __init__(self, digests: str, strings: str):
-        with open(strings) as f:
-            self.entries = json.load(f)
-        self.digests = np.memmap(digests, "<u8", "r") if self.entries else np.empty(0, "<u8")
-        self.path_lengths = sorted({len(path) for _, path, _ in self.entries})
+    def __init__(self, digests: str, bounds: str, strings: str):
+        numbers = np.memmap(bounds, "<i8", "r")
+        self.path_lengths = numbers[1 : 1 + int(numbers[0])].tolist()
+        self.bounds = numbers[1 + int(numbers[0]) :]
+        self.strings = np.memmap(strings, np.uint8, "r")
+        self.digests = np.memmap(digests, "<u8", "r") if len(self.bounds) > 1 else np.empty(0, "<u8")
+
+    def entry(self, k: int) -> tuple[str, str, str]:
+        """Host, path and verdict of the ``k``-th digest."""
+        return tuple(json.loads(self.strings[self.bounds[k] : self.bounds[k + 1]].tobytes()))
 
     def candidates(self, host: str, path: str) -> list[tuple[str, str]]:
         labels = host.split(".")
@@ -75,8 +82,8 @@ class DigestArray:
         best: list[tuple] = [(-1, -1, None, None)] * len(pages)
         for i in hit:
             k = int(at[i])
-            while k < len(self.entries) and self.digests[k] == probe[i]:  # digests that collide stand side by side
-                host, path, verdict = self.entries[k]
+            while k < len(self.digests) and self.digests[k] == probe[i]:  # digests that collide stand side by side
+                host, path, verdict = self.entry(k)
                 if (host, path) == flat[i]:
                     best[owner[i]] = max(best[owner[i]], (len(host) + len(path), len(host), host + path, verdict))
                 k += 1
@@ -86,10 +93,10 @@ class DigestArray:
 _OPEN: dict[str, DigestArray] = {}
 
 
-def _judge(digests: str, strings: str, default: str):
+def _judge(digests: str, bounds: str, strings: str, default: str):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if digests not in _OPEN:
-            _OPEN[digests] = DigestArray(SparkFiles.get(digests), SparkFiles.get(strings))
+            _OPEN[digests] = DigestArray(*map(SparkFiles.get, (digests, bounds, strings)))
         for batch in batches:
             found = _OPEN[digests].judge(list(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)))
             yield pa.RecordBatch.from_arrays(
@@ -127,6 +134,6 @@ def _joined(split: DataFrame, rules: DataFrame, default: str) -> DataFrame:
         urls.withColumn("r_host", F.explode(hosts)).withColumn("n", F.explode(F.array(*map(F.lit, lengths))))
         .where("n <= length(path)").withColumn("r_path", F.expr("substring(path, 1, n)")).withColumn("digest", F.xxhash64("r_host", "r_path"))
     )
-    order = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"))
+    order = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), "r_verdict")
     best = keys.join(rules, ["digest", "r_host", "r_path"]).groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), order).alias("best"))
     return split.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -159,3 +159,21 @@ def test_walk_visits_cells_by_summed_distance():
 def test_crc_of_piece():
     assert zlib.crc32(np.array([1, 2], "<u4").tobytes()) == zlib.crc32(b"\x01\0\0\0\x02\0\0\0")
     assert re.fullmatch(r"\d+", "1")
+
+
+def test_rules_of_one_place_and_mapped_strings(tmp_path):
+    rules = [("allow", "a.b", "/x"), ("block", "a.b", "/x"), ("allow", "a.b", "/x\ny"), ("allow", "ü", "")]
+    d = DigestArray(*digest_files(rules, str(tmp_path)))
+    assert d.judge([("a.b", "/x1"), ("a.b", "/x\nyz"), ("c.ü", "/"), ("b", "/x")]) == [("a.b/x", "block"), ("a.b/x\ny", "allow"), ("ü", "allow"), (None, None)]
+
+
+def test_memo_of_long_words_stays_small():
+    import public_tokenizers as public
+
+    encoder = packing.WordEncoder(public.path("byte_bpe_50k.json"), memo_bytes=20_000)
+    rng = random.Random(2)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice("abcdefgh+/") for _ in range(rng.choice([5, 3000]))) for _ in range(20)) for _ in range(3)]
+        got = encoder.encode(texts)
+        assert [np.frombuffer(x, np.uint32).tolist() for x in got] == [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert not any(len(w) > packing.MEMO_WORD for w in encoder.memo) and sum(map(len, encoder.memo)) < 60_000
