@@ -32,8 +32,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture draws them, in the mixture's order."""
-    return mix(docs).orderBy("mix_order", "mix_epoch").select(*docs.columns)
+    """Documents as often as the mixture draws them. Packing places pieces by their lengths, so their order isn't kept."""
+    return mix(docs).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
