@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Owners that a task of an exchange serves, about, and partitions that an exchange is never dealt to more than, but by the session.
 OWNERS_A_TASK, MOST_PARTITIONS = 4, 50_000
+#: Spark's setting by which a query's shuffle files are removed when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that the vectorised kernels take at a time; bounds the working set of a task.
 SLICE_BYTES = 4 << 20
 
@@ -38,7 +40,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage is cut, and no executor's loss repeats the work."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quantloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # the write's own shuffles aren't read again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before) if before is not None else spark.conf.unset(SHUFFLE_CLEANUP)
     written = spark.read.schema(df.schema).parquet(path)
     written.written_to = path
     return written

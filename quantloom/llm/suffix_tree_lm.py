@@ -10,7 +10,7 @@ state that stands before it:
 
 with n1 the number of x seen once after s, and (c(x) + 1) / (N + V + 1) at the root.
 
-Texts are read once and become chunks of word numbers. For every level a chunk sends its distinct (context, symbol) pairs, packed, to the
+Texts are read once and become chunks of word numbers: the owners of words give each one a number, frequent ones small ones. For every level a chunk sends its distinct (context, symbol) pairs, packed, to the
 owners of the contexts' hash ranges; owners sum them, test the contexts and answer with the counts in the order in which they were
 asked. With the answers a chunk goes on to its next state: the scores of what is settled, and the tokens whose
 contexts may still grow. So counts and contexts stay distributed, a chunk learns about its own contexts only, and no level is gone
@@ -19,8 +19,8 @@ symbols: its once-seen symbols are summed first, then its test. Only the sums of
 driver, and the result doesn't hang on the number of owners.
 
 Defined results: tokens are runs of bytes other than ``[\\x20\\x09-\\x0D]``, A to Z lower-cased, and one end; a null text
-counts as empty; without training tokens N and V are 0. Repeated rows count and are scored each. Words and contexts
-are told apart by 64-bit hashes, a context's next symbols by 48 bits; counts are 64-bit. Between levels probabilities are held in 32 bits. An
+counts as empty; without training tokens N and V are 0. Repeated rows count and are scored each. Words, and contexts of several, are
+told apart by 64-bit hashes; counts are 64-bit. From the second level on, probabilities are held in 32 bits between levels. An
 empty table gives no rows; further columns are not read.
 """
 
@@ -56,11 +56,16 @@ _ROUTE = np.uint64(2**64 - 2**40)
 
 
 def _zip(a: np.ndarray, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(a).tobytes())
+    """The numbers' first bytes, then their second bytes, and so on, compressed: most are small."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+    return zstandard.ZstdCompressor(level=level).compress(planes.tobytes())
 
 
 def _unzip(b: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    planes = raw.reshape(size, len(raw) // size)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _key(context: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -78,17 +83,6 @@ def _ordered(route: np.ndarray, key: np.ndarray) -> np.ndarray:
     return route & _ROUTE | key >> np.uint64(24)
 
 
-def _short(x: np.ndarray) -> bytes:
-    """48 bits of each hash: enough to tell a context's next symbols apart."""
-    return x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _long(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
 @dataclass
 class Level:
     """The contexts of one depth that are split over owners: hashes (sorted), symbols seen once, kept or not."""
@@ -115,10 +109,10 @@ class Model:
         return np.where(total >= self.split_from, 1 + total * self.owners // max(self.n, 1), 1)
 
 
-#: A chunk's rows, words (distinct hashes) and tokens (numbers of words), and the places that are asked about, with their probabilities
-#: in the longest state so far and their contexts' totals.
-_STATE = ("docs", "size", "word", "code", "asked", "p", "total")
-_KINDS = {"size": np.int64, "word": np.uint64, "code": np.uint32, "asked": np.uint32, "p": np.float32, "total": np.int64}
+#: A chunk's rows, tokens (numbers of the chunk's distinct words), these words' corpus-wide numbers and counts, and the places that are
+#: asked about, with their probabilities in the longest state so far and their contexts' totals.
+_STATE = ("docs", "size", "code", "word", "count", "asked", "p", "total")
+_KINDS = {"size": np.int64, "code": np.uint32, "word": np.uint64, "count": np.int64, "asked": np.uint32, "p": np.float32, "total": np.int64}
 
 
 class Chunk:
@@ -130,17 +124,19 @@ class Chunk:
     def __init__(self, model: Model, depth: int, state: dict):
         self.model, self.depth = model, depth
         self.docs: pa.Table = state["docs"]
-        self.size, self.word, self.code, self.asked, self.total = (state[c] for c in ("size", "word", "code", "asked", "total"))
-        self.p = state["p"].astype(np.float64)
-        self.asked = self.asked.astype(np.int64)
+        self.size, self.code, self.word, self.count = (state[c] for c in ("size", "code", "word", "count"))
+        self.asked = state["asked"].astype(np.int64)
         self.row = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
         self.place = np.arange(len(self.code)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
-        self.context = self._context(self.asked)
-        self.x = self.word[self.code[self.asked]]
+        if depth > 1:
+            self.p, self.total = state["p"].astype(np.float64), state["total"]
+        elif depth:  # both follow from the words' counts
+            self.p, self.total = self._root(self.code[self.asked]), self._totals()
+        self._look()
 
     @classmethod
     def read(cls, model: Model, rows: pa.Table) -> Chunk:
-        """The chunk of rows (doc_id, text, counted, wanted)."""
+        """The chunk of rows (doc_id, text, counted, wanted). Its words are numbered in the order in which their owners are asked."""
         texts = rows.column("text").chunk(0) if rows.column("text").num_chunks else pa.array([], pa.string())
         data, at = text_bytes(texts)
         words, edges = hash_words(LOWER[data], at, SPACE)
@@ -150,32 +146,51 @@ class Chunk:
         inner = np.ones(len(x), bool)
         inner[ends] = False
         x[ends], x[inner] = END, words
-        word, code = np.unique(x, return_inverse=True)
+        route, first, code = np.unique(mix(x), return_index=True, return_inverse=True)
         size = np.diff(edges) + 1
         docs = rows.select(["doc_id", "counted", "wanted"]).append_column("n_tokens", pa.array(size))
         for name, kind in (("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())):
             docs = docs.append_column(name, pa.array(np.zeros(n), pa.float64()).cast(kind))
-        everything = np.arange(len(x))
-        return cls(model, 0, {"docs": docs, "size": size, "word": word, "code": code.astype(np.uint32), "asked": everything, "p": np.ones(len(x)), "total": np.zeros(len(x), np.int64)})
-
-    def _context(self, at: np.ndarray) -> np.ndarray:
-        """Hashes of the contexts of the tokens ``at``, of as many words as the depth."""
+        chunk = cls(model, 0, {"docs": docs, "size": size, "code": code.astype(np.uint32), "word": np.empty(0, np.uint64), "count": np.empty(0, np.int64), "asked": np.empty(0, np.uint32)})
+        chunk.hashes, chunk.route = x[first], route
+        return chunk
+
+    def _root(self, code: np.ndarray) -> np.ndarray:
+        return (self.count[code] + 1.0) / (self.model.n + self.model.v + 1.0)
+
+    def _totals(self) -> np.ndarray:
+        """How often the word before each asked token stands, or the texts' beginning: as often as their end, as every counted text has one of each."""
+        before = self.count[self.code[np.maximum(self.asked - 1, 0)]]
+        return np.where(self.place[self.asked] == 0, self.count[self.code[self.size[0] - 1]] if len(self.size) else 0, before)
+
+    def _look(self) -> None:
+        """The asked tokens' symbols, and their contexts: a word's number, or a hash of several."""
+        at = self.asked
+        self.x = self.word[self.code[at]] if self.depth and len(at) else np.empty(0, np.uint64)
         context = np.zeros(len(at), np.uint64)
-        for d in range(1, self.depth + 1):
+        for d in range(1, self.depth + 1 if len(at) else 0):
             before = np.where(self.place[at] >= d, self.word[self.code[np.maximum(at - d, 0)]], BEGIN)
             context = before if d == 1 else _key(context, before)
-        return context
+        self.context = context
+
+    def _slices(self, route: np.ndarray) -> list[tuple[int, slice]]:
+        own = _share(route, self.model.owners)
+        edges = np.append(run_bounds(own), len(own)) if len(own) else np.zeros(1, np.int64)
+        return [(int(own[a]), slice(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def ask_words(self) -> list[tuple[int, dict]]:
+        """The chunk's distinct words and how often counted texts hold them, for their owners."""
+        counted = self.docs.column("counted").to_numpy()[self.row]
+        n = np.bincount(self.code, counted, len(self.hashes)).astype(np.int64)
+        return [(owner, {"x": self.hashes[keys].tobytes(), "n": _zip(n[keys])}) for owner, keys in self._slices(self.route)]
 
     def ask(self) -> list[tuple[int, slice]]:
         """Prepare the level's distinct keys, sorted by owner and context: (owner, where its keys are)."""
         model, x, context = self.model, self.x, self.context
-        if self.depth:
-            route = mix(context)
-            many = np.flatnonzero(self.total >= model.split_from)
-            route[many] = mix(context[many] + _share(mix(x[many]), model.parts(self.total[many])).astype(np.uint64) + np.uint64(1))
-            key = _ordered(route, _key(context, x))
-        else:
-            key = route = mix(x)
+        route = mix(context)
+        many = np.flatnonzero(self.total >= model.split_from)
+        route[many] = mix(context[many] + _share(mix(x[many]), model.parts(self.total[many])).astype(np.uint64) + np.uint64(1))
+        key = _ordered(route, _key(context, x))
         order = np.argsort(key)
         heads = run_bounds(key[order])
         self.slot = np.empty(len(x), np.int64)
@@ -183,18 +198,27 @@ class Chunk:
         self.first = order[heads]
         counted = self.docs.column("counted").to_numpy()[self.row[self.asked]]
         self.n = np.bincount(self.slot, counted, len(heads)).astype(np.int64)
-        own = _share(route[self.first], model.owners)
-        edges = np.append(run_bounds(own), len(own)) if len(own) else np.zeros(1, np.int64)
-        return [(int(own[a]), slice(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return self._slices(route[self.first])
 
-    def question(self, keys: slice) -> dict[str, bytes | None]:
+    def question(self, keys: slice) -> dict[str, bytes]:
         at = self.first[keys]
-        out: dict[str, bytes | None] = {"x": _short(self.x[at]) if self.depth else self.x[at].tobytes(), "n": _zip(self.n[keys]), "contexts": None, "runs": None, "totals": None, "p": None}
-        if self.depth:
-            heads = run_bounds(self.context[at])
-            out |= {"contexts": self.context[at[heads]].tobytes(), "runs": _zip(np.diff(np.append(heads, len(at))).astype(np.int32))}
-            out |= {"totals": _zip(self.total[at[heads]]), "p": _zip(self.p[at].astype(np.float32))}
-        return out
+        heads = run_bounds(self.context[at])
+        runs = np.diff(np.append(heads, len(at)))
+        # Of the first level's probabilities their counts are sent.
+        p = self.count[self.code[self.asked[at]]] if self.depth == 1 else self.p[at].astype(np.float32)
+        return {"x": _zip(self.x[at]), "n": _zip(self.n[keys]), "contexts": _zip(self.context[at[heads]]), "runs": _zip(runs), "totals": _zip(self.total[at[heads]]), "p": _zip(p)}
+
+    def hear_words(self, answers: dict[int, dict], keys: list[tuple[int, slice]], more: bool) -> None:
+        """Take the owners' answers: corpus-wide numbers and counts of the words."""
+        self.word, self.count = np.zeros(keys[-1][1].stop, np.uint64), np.zeros(keys[-1][1].stop, np.int64)
+        for owner, own in keys:
+            self.count[own], self.word[own] = _unzip(answers[owner]["counts"], np.int64), _unzip(answers[owner]["ids"], np.uint64)
+        p, rows = self._root(self.code), len(self.size)
+        self._put("n_known", np.bincount(self.row, self.count[self.code] > 0, rows))
+        self._put("base_score", np.bincount(self.row, np.log10(p), rows))
+        self.asked = np.arange(len(self.code))
+        total = self._totals()
+        self._settle(p, (total >= LEAST_COUNT) & more, total)
 
     def hear(self, answers: dict[int, dict], split: Level, more: bool) -> None:
         """Take the owners' answers to what was asked: counts, and the contexts' symbols seen once and fates; go deeper for ``more``."""
@@ -203,77 +227,68 @@ class Chunk:
         for owner, keys in asked:
             told = answers[owner]
             n[keys] = _unzip(told["counts"], np.int64)
-            if self.depth:
-                heads = run_bounds(self.context[self.first[keys]])
-                runs = np.diff(np.append(heads, keys.stop - keys.start))
-                once[keys], kept[keys] = np.repeat(_unzip(told["once"], np.int64), runs), np.repeat(_unzip(told["kept"], np.bool_), runs)
-        count = n[self.slot]
-        if not self.depth:
-            self.p = (count + 1.0) / (self.model.n + self.model.v + 1.0)
-            stay = np.ones(len(count), bool)
-            rows = len(self.size)
-            for name, x in (("n_known", count > 0), ("base_score", np.log10(self.p))):
-                self._put(name, np.bincount(self.row, x, rows))
-        else:
-            if len(split.context):
-                context = self.context[self.first]
-                at = np.minimum(np.searchsorted(split.context, context), len(split.context) - 1)
-                found = split.context[at] == context
-                once, kept = np.where(found, split.once[at], once), np.where(found, split.kept[at], kept)
-            stay = kept[self.slot]
-            c = count[stay]
-            self.p[stay] = (np.where(c >= 2, c, 0) + (KAPPA + once[self.slot][stay]) * self.p[stay]) / (self.total[stay] + KAPPA)
-        self._deepen(count, stay, more)
+            heads = run_bounds(self.context[self.first[keys]])
+            runs = np.diff(np.append(heads, keys.stop - keys.start))
+            once[keys], kept[keys] = np.repeat(_unzip(told["once"], np.int64), runs), np.repeat(_unzip(told["kept"], np.bool_), runs)
+        if len(split.context):
+            context = self.context[self.first]
+            at = np.minimum(np.searchsorted(split.context, context), len(split.context) - 1)
+            found = split.context[at] == context
+            once, kept = np.where(found, split.once[at], once), np.where(found, split.kept[at], kept)
+        count, stay, p = n[self.slot], kept[self.slot], self.p.copy()
+        c = count[stay]
+        p[stay] = (np.where(c >= 2, c, 0) + (KAPPA + once[self.slot][stay]) * p[stay]) / (self.total[stay] + KAPPA)
+        # A longer context stands as often as its last word was counted in the context before.
+        gram = np.zeros(len(self.code), np.int64)
+        gram[self.asked] = count
+        total = gram[np.maximum(self.asked - 1, 0)]
+        self._settle(p, stay & (self.place[self.asked] >= self.depth) & (total >= LEAST_COUNT) & more, total)
 
     def _put(self, name: str, values: np.ndarray) -> None:
         at = self.docs.column_names.index(name)
         self.docs = self.docs.set_column(at, name, pa.array(values).cast(self.docs.schema.field(name).type))
 
-    def _deepen(self, count: np.ndarray, stay: np.ndarray, more: bool) -> None:
-        """Keep the candidates of the next depth: one word more, often enough, with a state as suffix. Others are settled."""
-        gram = np.zeros(len(self.code), np.int64)
-        gram[self.asked] = count
-        total = gram[np.maximum(self.asked - 1, 0)]  # how often the context stands: what its last word counted in the context before
-        first = self.place[self.asked] == 0
-        total[first] = 0
-        if self.depth == 0:
-            ends = gram[self.word[self.code] == END]
-            total[first] = ends[0] if len(ends) else 0  # every counted text begins and ends once
-        on = stay & (self.place[self.asked] >= self.depth) & (total >= LEAST_COUNT) & more
+    def _settle(self, p: np.ndarray, on: np.ndarray, total: np.ndarray) -> None:
+        """Keep the tokens ``on`` as candidates of the next depth: one word more, often enough, with a state as suffix. The others are scored."""
         settled = self.asked[~on]
-        self._put("score", self.docs.column("score").to_numpy() + np.bincount(self.row[settled], np.log10(self.p[~on]), len(self.size)))
-        self.asked, self.p, self.total = self.asked[on], self.p[on], total[on]
+        self._put("score", self.docs.column("score").to_numpy() + np.bincount(self.row[settled], np.log10(p[~on]), len(self.size)))
+        self.asked, self.p, self.total = self.asked[on], p[on], total[on]
         self.depth += 1
-        # Of the words, those that a further context can reach.
+        # Of the words, those that a further context can reach, and the first text's end, whose count the first level needs; frequent ones first.
         used = np.zeros(len(self.code) + 1, bool)
         for d in range(self.depth + 1):
             used[np.maximum(self.asked - d, -1)] = True
         used = used[:-1]
-        word, code = np.unique(self.code[used], return_inverse=True)
-        self.word, fresh = self.word[word], np.zeros(len(self.code), np.uint32)
-        fresh[used] = code
+        if len(self.size):
+            used[self.size[0] - 1] = True
+        number, code = np.unique(self.code[used], return_inverse=True)
+        often = np.argsort(-np.bincount(code, minlength=len(number)), kind="stable")
+        rank = np.empty(len(number), np.uint32)
+        rank[often] = np.arange(len(number))
+        self.word, self.count = self.word[number[often]], self.count[number[often]] if self.depth == 1 else self.count[:0]
+        fresh = np.zeros(len(self.code), np.uint32)
+        fresh[used] = rank[code]
         self.code = fresh
-        self.x, self.context = self.word[self.code[self.asked]] if len(self.asked) else np.empty(0, np.uint64), self._context(self.asked) if len(self.asked) else np.empty(0, np.uint64)
+        self._look()
 
     def packed(self) -> dict:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, self.docs.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd"))) as out:
             out.write_table(self.docs)
+        nothing = np.empty(0)
         # Places are sent as steps, which are small.
-        values = {"size": self.size, "word": self.word, "code": self.code, "asked": np.diff(self.asked, prepend=0), "p": self.p if self.depth else self.p[:0], "total": self.total if self.depth else self.total[:0]}
-        return {"docs": sink.getvalue().to_pybytes()} | {c: _zip(x.astype(_KINDS[c]), 5) for c, x in values.items()}
+        values = {"size": self.size, "code": self.code, "word": self.word, "count": self.count, "asked": np.diff(self.asked, prepend=0), "p": self.p if self.depth > 1 else nothing, "total": self.total if self.depth > 1 else nothing}
+        return {"docs": sink.getvalue().to_pybytes()} | {c: _zip(x.astype(_KINDS[c]), 3) for c, x in values.items()}
 
 
 def _unpacked(model: Model, depth: int, row: dict) -> Chunk:
     state = {c: _unzip(row[c], _KINDS[c]) for c in _STATE[1:]}
     state["asked"] = np.cumsum(state["asked"].astype(np.int64))
-    if not depth:
-        state |= {"p": np.ones(len(state["code"])), "total": np.zeros(len(state["code"]), np.int64)}
     return Chunk(model, depth, state | {"docs": pa.ipc.open_stream(row["docs"]).read_all().combine_chunks()})
 
 
 _ASKED = "owner int, chunk string, x binary, n binary, contexts binary, runs binary, totals binary, p binary, " + ", ".join(f"s_{c} binary" for c in _STATE)
-_TOLD = "chunk string, owner int, counts binary, once binary, kept binary, context long, gain double, n long, v long, split binary"
+_TOLD = "chunk string, owner int, counts binary, ids binary, once binary, kept binary, context long, gain double, n long, v long, split binary"
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64()}
 
 
@@ -284,7 +299,11 @@ def _schema(columns: str) -> pa.Schema:
 def _sent(chunk: Chunk, name: str, more: bool) -> list[dict]:
     """A chunk's state (without an owner), and its questions to owners for ``more``."""
     state = {"owner": None, "chunk": name} | {f"s_{c}": x for c, x in chunk.packed().items()}
-    return [state, *({"owner": owner, "chunk": name, **chunk.question(keys)} for owner, keys in (chunk.ask() if more else ()))]
+    if not chunk.depth:
+        asked = chunk.ask_words()
+    else:
+        asked = [(owner, chunk.question(keys)) for owner, keys in (chunk.ask() if more else ())]
+    return [state, *({"owner": owner, "chunk": name, **question} for owner, question in asked)]
 
 
 def _reader(model: Model):
@@ -321,8 +340,12 @@ def _next_level(model: Model, depth: int, split: Level, more: bool):
 
     def go(left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = left.to_pylist()
-        chunk = _unpacked(model, depth, {c: row[f"s_{c}"] for c in _STATE})
-        chunk.hear({r["owner"]: r for r in right.to_pylist()}, split, more)
+        chunk, answers = _unpacked(model, depth, {c: row[f"s_{c}"] for c in _STATE}), {r["owner"]: r for r in right.to_pylist()}
+        if depth:
+            chunk.hear(answers, split, more)
+        else:  # words were asked about in the order of their owners
+            edges = np.cumsum([0, *(len(_unzip(answers[o]["counts"], np.int64)) for o in sorted(answers))])
+            chunk.hear_words(answers, [(o, slice(a, b)) for o, a, b in zip(sorted(answers), edges[:-1], edges[1:], strict=True)], more)
         return pa.Table.from_pylist(_sent(chunk, row["chunk"], more), schema=_schema(_ASKED))
 
     return go
@@ -339,16 +362,15 @@ def _answerer(model: Model, depth: int):
 
     def answer(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        x = [_long(r["x"]) if depth else np.frombuffer(r["x"], np.uint64) for r in rows]
+        x = [_unzip(r["x"], np.uint64) if depth else np.frombuffer(r["x"], np.uint64) for r in rows]
         size = [len(a) for a in x]
         x, n = np.concatenate(x), np.concatenate([_unzip(r["n"], np.int64) for r in rows])
         out, tail = [], dict.fromkeys(c.split()[0] for c in _TOLD.split(", "))
         if depth:
-            heads = [np.frombuffer(r["contexts"], np.uint64) for r in rows]
-            runs = [_unzip(r["runs"], np.int32) for r in rows]
-            total = np.repeat(np.concatenate([_unzip(r["totals"], np.int64) for r in rows]), np.concatenate(runs))
-            context = np.repeat(np.concatenate(heads), np.concatenate(runs))
-            p = np.concatenate([_unzip(r["p"], np.float32) for r in rows])
+            heads = [_unzip(r["contexts"], np.uint64) for r in rows]
+            runs = np.concatenate([_unzip(r["runs"], np.int64) for r in rows])
+            total, context = np.repeat(np.concatenate([_unzip(r["totals"], np.int64) for r in rows]), runs), np.repeat(np.concatenate(heads), runs)
+            p = np.concatenate([(_unzip(r["p"], np.int64) + 1.0) / (model.n + model.v + 1.0) if depth == 1 else _unzip(r["p"], np.float32).astype(np.float64) for r in rows])
         key = _ordered(mix(context), _key(context, x)) if depth else x
         order = np.argsort(key)
         pairs = run_bounds(key[order])
@@ -358,6 +380,9 @@ def _answerer(model: Model, depth: int):
         counts = sums[slot]
         if not depth:
             out.append(tail | {"n": int(sums.sum()), "v": int((sums > 0).sum())})
+            number = np.empty(len(sums), np.uint64)
+            number[np.argsort(-sums, kind="stable")] = np.arange(len(sums), dtype=np.uint64) * np.uint64(model.owners) + np.uint64(rows[0]["owner"])
+            ids = number[slot]
         else:
             at = order[pairs]
             by = np.argsort(context[at], kind="stable")  # contexts whose routes share their first bits may lie mixed
@@ -368,7 +393,7 @@ def _answerer(model: Model, depth: int):
             whole = total[at[groups]]
             names = context[at[groups]]
             alone = model.parts(whole) == 1
-            kept = alone & (np.add.reduceat(left_out_gain(sums, p[at].astype(np.float64), np.repeat(whole, width), np.repeat(once, width)), groups) / whole >= LEAST_GAIN)
+            kept = alone & (np.add.reduceat(left_out_gain(sums, p[at], np.repeat(whole, width), np.repeat(once, width)), groups) / whole >= LEAST_GAIN)
             out.append(tail | {"v": int(kept.sum())})
             if not alone.all():
                 part = np.repeat(~alone, width)
@@ -379,7 +404,9 @@ def _answerer(model: Model, depth: int):
         for i, r in enumerate(rows):
             own = tail | {"chunk": r["chunk"], "owner": r["owner"], "counts": _zip(counts[begin : begin + size[i]])}
             begin += size[i]
-            if depth:
+            if not depth:
+                own["ids"] = _zip(ids[begin - size[i] : begin])
+            else:
                 g = np.searchsorted(names, heads[i])
                 own |= {"once": _zip(once[g]), "kept": _zip(kept[g])}
             out.append(own)
@@ -394,9 +421,9 @@ def _split_gains(level: Level):
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for packed in batch.column("split").to_pylist():
-                names, width, whole, sums, p = (_unzip(a, kind) for a, kind in zip(pickle.loads(packed), (np.uint64, np.int64, np.int64, np.int64, np.float32), strict=True))
+                names, width, whole, sums, p = (_unzip(a, kind) for a, kind in zip(pickle.loads(packed), (np.uint64, np.int64, np.int64, np.int64, np.float64), strict=True))
                 once = level.once[np.searchsorted(level.context, names)]
-                gain = np.add.reduceat(left_out_gain(sums, p.astype(np.float64), np.repeat(whole, width), np.repeat(once, width)), np.cumsum(width) - width)
+                gain = np.add.reduceat(left_out_gain(sums, p, np.repeat(whole, width), np.repeat(once, width)), np.cumsum(width) - width)
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(gain / whole)], names=["context", "gain"])
 
     return gains
@@ -447,7 +474,7 @@ def _scored(rows: DataFrame, owners: int | None, depth: int | None) -> DataFrame
                 break
         more = depth is None or level < depth
         states = asked.where("owner is null").select("chunk", *(f"s_{c}" for c in _STATE))
-        answers = told.where("chunk is not null").select("chunk", "owner", "counts", "once", "kept")
+        answers = told.where("chunk is not null").select("chunk", "owner", "counts", "ids", "once", "kept")
         following = materialize(states.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_next_level(model, level, split, more), _ASKED))
         discard(asked, told)
         asked, level = following, level + 1

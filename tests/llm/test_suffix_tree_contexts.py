@@ -110,12 +110,12 @@ def test_split_contexts_and_small_chunks_change_nothing(spark):
 def test_counts_of_over_32_bits():
     lm = suffix_tree_lm
     many = 2_000_000_000
-    ask = {"x": lm._long(lm._short(np.array([7], np.uint64))).tobytes(), "n": lm._zip(np.array([many])), "owner": 0, "contexts": None, "runs": None, "totals": None, "p": None}
+    ask = {"x": np.array([7], np.uint64).tobytes(), "n": lm._zip(np.array([many])), "owner": 0, "contexts": None, "runs": None, "totals": None, "p": None}
     told = lm._answerer(lm.Model(1), 0)(pa.Table.from_pylist([ask | {"chunk": c} for c in "ab"], schema=lm._schema("owner int, chunk string, x binary, n binary, contexts binary, runs binary, totals binary, p binary"))).to_pylist()
     assert [r["n"] for r in told if r["chunk"] is None] == [2 * many]
     assert [lm._unzip(r["counts"], np.int64).tolist() for r in told if r["chunk"]] == [[2 * many]] * 2
     context = np.array([9], np.uint64)
-    ask |= {"x": lm._short(np.array([7], np.uint64)), "contexts": context.tobytes(), "runs": lm._zip(np.array([1], np.int32)), "totals": lm._zip(np.array([3 * many])), "p": lm._zip(np.array([0.5], np.float32))}
+    ask |= {"x": lm._zip(np.array([7], np.uint64)), "contexts": lm._zip(context), "runs": lm._zip(np.array([1])), "totals": lm._zip(np.array([3 * many])), "p": lm._zip(np.array([50]))}
     told = lm._answerer(lm.Model(1, 10**12, 5), 1)(pa.Table.from_pylist([ask | {"chunk": c} for c in "abc"], schema=lm._schema("owner int, chunk string, x binary, n binary, contexts binary, runs binary, totals binary, p binary"))).to_pylist()
     assert [lm._unzip(r["counts"], np.int64).tolist() for r in told if r["chunk"]] == [[3 * many]] * 3 and lm._unzip(told[-1]["kept"], np.bool_).all()
 
