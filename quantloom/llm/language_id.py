@@ -7,8 +7,8 @@ windows of ``WINDOW`` bytes that overlap by one byte less than the widest filter
 windows' distributions are averaged by the bytes that each adds.
 
 Defined results: a text that is null or has no letter gets ``und`` and the score 0, as does every text if nothing is learned
-(no labelled text with a letter). A to Z are lower-cased, digits count alike, ASCII controls as spaces. Only text is read for a
-prediction. Repeated rows are predicted each and may be sampled each. An empty table gives no rows; further columns are not read.
+(no labelled text with a letter). Copies of a labelled text count once. A to Z are lower-cased, digits count alike, ASCII controls as spaces. Only text is read for a
+prediction. Repeated rows are predicted each. An empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.frames import crc_bucket, slices, text_bytes
+from quantloom.llm.frames import crc_bucket, join_groups, materialize, slices, text_bytes
 
 WINDOW = 192
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 24, 6
@@ -167,13 +167,16 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Network | None:
     None without a labelled text that has a letter.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).select("text", "lang", F.xxhash64("text").alias("key"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    texts = materialize(rows.groupBy("lang", "key").agg(F.count("*").alias("n")).select("lang", "key"))  # copies count once
+    sizes = materialize(texts.groupBy(F.col("lang").alias("name")).agg(F.count("*").alias("rows")))
     kinds = sizes.count()
     if not kinds:
         return None
-    # A language's rows are drawn by hash, so that about its share of the sample stays; rare languages stay whole.
-    drawn = rows.join(sizes.withColumn("odds", F.lit(2.0 * fit_rows / kinds) / F.col("rows")).drop("rows"), "lang").where("pmod(xxhash64(key), 1000003) < odds * 1000003")
-    chosen = drawn.orderBy(F.xxhash64("key"), "key", "lang").limit(fit_rows)
+    # A language's texts are drawn by hash, so that about its share of the sample stays; rare languages stay whole. Only hashes are dealt.
+    placed = join_groups(texts, sizes, F.col("lang") == F.col("name"), "rows", texts.count())
+    drawn = placed.where(f"pmod(xxhash64(key), 1000003) < 1000003 * {2.0 * fit_rows / kinds} / rows")
+    chosen = materialize(drawn.orderBy(F.xxhash64("key"), "key", "lang").limit(fit_rows).select("lang", "key"))
+    chosen = rows.join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "key").agg(F.any_value("text").alias("text"))  # ``fit_rows`` rows at most
     sample = chosen.select("text", "lang", "key").mapInArrow(_sampled_windows(0), "lang string, window binary").toArrow().sort_by([("window", "ascending"), ("lang", "ascending")])
     languages = sorted(set(sample.column("lang").to_pylist()))
     number = {name: i for i, name in enumerate(languages)}
