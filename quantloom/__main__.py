@@ -8,20 +8,25 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
-from quantloom.plans.backtest import fundamental_backtest, train_test_backtest
+from quantloom.plans.backtest import provider_backtest, provider_train_test
 from quantloom.plans.stats import train_test_split
-from quantloom.sources.providers import PointInTime, provider
+from quantloom.settings import Settings, logged
+from quantloom.sources.feeds import universe
+from quantloom.sources.http import Feed
+from quantloom.sources.providers import provider
 from quantloom.sources.storage import AuditLog
 
 
-def main() -> None:
+def arguments(given: Sequence[str] | None = None) -> argparse.Namespace:
+    settings = Settings.load()
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("--provider", default="synthetic")
+    p.add_argument("--provider", default=settings.provider)
     p.add_argument("--folder")
-    p.add_argument("--prices-url", help="the vendor's feed of prices")
+    p.add_argument("--prices-url", help="the vendor's feed of prices; its login is set by QUANTLOOM_VENDOR_USER and QUANTLOOM_VENDOR_KEY")
     p.add_argument("--tickers", help="comma-separated; all of the provider's if left out")
     p.add_argument("--universe-top", type=int, help="the first so many companies of the public listing")
     p.add_argument("--start", type=dt.date.fromisoformat, required=True)
@@ -32,24 +37,35 @@ def main() -> None:
     p.add_argument("--embargo-days", type=int, default=30)
     p.add_argument("--out")
     p.add_argument("--audit")
-    a = p.parse_args()
-    spark = SparkSession.builder.appName("quantloom").getOrCreate()
-    source = provider(spark, a.provider, **{k: v for k, v in (("folder", a.folder), ("prices_url", a.prices_url)) if v})
+    return p.parse_args(given)
+
+
+def source_of(spark: SparkSession, a: argparse.Namespace):
+    """The provider that the arguments name; a vendor's needs a login."""
+    options = {k: v for k, v in (("folder", a.folder), ("prices_url", a.prices_url)) if v}
+    if a.provider == "vendor":
+        settings = Settings.load()
+        settings.require("vendor_user", "vendor_key")
+        options["feed"] = Feed.with_login(settings.vendor_user, settings.vendor_key)
+    return provider(spark, a.provider, **options)
+
+
+def run(spark: SparkSession, a: argparse.Namespace) -> dict:
+    source = source_of(spark, a)
     audit = AuditLog(a.audit) if a.audit else None
     tickers = a.tickers.split(",") if a.tickers else None
     if a.universe_top:
-        from quantloom.sources.feeds import universe
-
         tickers = [r["ticker"] for r in universe(source.listing(), a.universe_top).collect()]
-    pinned = PointInTime(source, a.end, audit)
-    bars = pinned.prices(tickers, a.start, a.end)
-    facts = pinned.fundamentals(tickers, a.start - dt.timedelta(days=550), a.end)
-    options = {"score_every": a.score_every, "n_trials": a.n_trials, "audit": audit}
+    options = {"score_every": a.score_every, "n_trials": a.n_trials, "audit": audit, "out": a.out}
     if a.oos:
-        result = train_test_backtest(bars, facts, train_test_split(a.start, a.end, embargo_days=a.embargo_days), out=a.out, **options)
-    else:
-        result = fundamental_backtest(bars, facts, a.start, a.end, out=a.out, **options)
-    print(json.dumps(result, default=str, indent=1))
+        return provider_train_test(source, tickers, train_test_split(a.start, a.end, embargo_days=a.embargo_days), **options)
+    return provider_backtest(source, tickers, a.start, a.end, **options)
+
+
+def main(given: Sequence[str] | None = None) -> None:
+    a = arguments(given)
+    spark = SparkSession.builder.appName("quantloom").getOrCreate()
+    print(json.dumps(logged(run)(spark, a), default=str, indent=1))
 
 
 if __name__ == "__main__":

@@ -58,6 +58,13 @@ def assert_point_in_time(df: DataFrame, cutoff: dt.date | str, known_on: str, co
     return df
 
 
+def guarded_point_in_time(df: DataFrame, cutoff: dt.date | str, known_on: str, context: str = "") -> DataFrame:
+    """``df`` with a check in its plan: the action that reads a record from after the cutoff fails."""
+    day = F.lit(cutoff).cast("date")
+    late = F.raise_error(F.concat(F.lit(f"{context}: a record after {cutoff}: "), F.coalesce(F.col(known_on).cast("string"), F.lit("no day")))).cast("boolean")
+    return df.where(F.when(F.col(known_on).isNull() | (F.col(known_on) <= day), F.lit(True)).otherwise(late))
+
+
 def require_flagged(df: DataFrame, cutoff: dt.date | str | None = None, known_on: str | None = None) -> DataFrame:
     """``df`` itself, or a LeakError if a record in scope isn't flagged point-in-time."""
     scope = as_of(df, cutoff, known_on) if known_on else df

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.operators import core, signals
 from quantloom.plans import stats
+from quantloom.sources.providers import PointInTime
 from quantloom.sources.storage import AuditLog, canonical, checkpointed, write_artifact
 
 # The thresholds of the verdict.
@@ -89,3 +90,18 @@ def train_test_backtest(bars: DataFrame, fundamentals: DataFrame, split: stats.S
     if out:
         write_artifact(out, canonical(_plain(result)).encode())
     return result
+
+
+def provider_backtest(source, tickers: Sequence[str] | None, start: dt.date, end: dt.date, *, lookback_days: int = 550, audit: AuditLog | None = None, **options) -> dict:
+    """``fundamental_backtest`` over a provider that is pinned to the window's end."""
+    pinned = PointInTime(source, end, audit, lazy=True)
+    bars, facts = pinned.prices(tickers, start, end), pinned.fundamentals(tickers, start - dt.timedelta(days=lookback_days), end)
+    return fundamental_backtest(bars, facts, start, end, lookback_days=lookback_days, audit=audit, **options)
+
+
+def provider_train_test(source, tickers: Sequence[str] | None, split: stats.Split, *, out: str | None = None, **options) -> Mapping[str, dict]:
+    """Two runs, each over the provider pinned to its own window's end; ``out`` gets both."""
+    result = {name: provider_backtest(source, tickers, *window, **options) for name, window in (("train", split.train), ("test", split.test))}
+    if out:
+        write_artifact(out, canonical(_plain(result)).encode())
+    return result

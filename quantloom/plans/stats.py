@@ -104,10 +104,10 @@ def train_test_split(start: dt.date, end: dt.date, test_fraction: float = 0.3, e
 
 
 def out_of_sample(train_max: dt.date | None, test_min: dt.date | None, embargo_days: int = 0) -> bool:
-    """Whether testing starts after training and its embargo; an empty side passes."""
+    """Whether testing starts after training with so many days between; an empty side passes."""
     if train_max is None or test_min is None:
         return True
-    return test_min > train_max and (test_min - train_max).days >= embargo_days
+    return test_min > train_max and (test_min - train_max).days - 1 >= embargo_days
 
 
 def optimal_weights(names: list[str], mean: np.ndarray, covariance: np.ndarray, n_days: int) -> dict[str, float]:

@@ -25,6 +25,14 @@ class FeedError(RuntimeError):
         self.status = status
 
 
+class AuthError(FeedError):
+    """The feed doesn't accept the login; never tried again and never skipped."""
+
+
+# Statuses that mean a refused login.
+REFUSED = (401, 403)
+
+
 def over_network(url: str, headers: Mapping[str, str]) -> tuple[int, bytes]:
     if urllib.parse.urlsplit(url).scheme != "https":
         raise FeedError(0, f"only https is read, not {url}".encode())
@@ -37,13 +45,17 @@ def over_network(url: str, headers: Mapping[str, str]) -> tuple[int, bytes]:
 
 @dataclass
 class Feed:
-    """One feed: its headers, how long to wait between requests, and what carries them."""
+    """One feed: its headers, how long to wait between requests, and what carries them.
+
+    The clock is this object's own; ``sources.bodies`` keeps all requests to a host in one task, which has one copy of it.
+    """
 
     headers: dict[str, str] = field(default_factory=dict)
     spacing_s: float = 0.0
     transport: Transport = over_network
     sleep: Callable[[float], None] = time.sleep
-    used: bool = False
+    clock: Callable[[], float] = time.monotonic
+    last: float | None = None
 
     @classmethod
     def with_login(cls, user: str, key: str, **options) -> Feed:
@@ -55,16 +67,19 @@ class Feed:
         if parameters:
             flat = {k: ",".join(map(str, v)) if isinstance(v, list | tuple) else v for k, v in parameters.items()}
             url = f"{url}?{urllib.parse.urlencode(flat)}"
-        if self.used and self.spacing_s:
-            self.sleep(self.spacing_s)
-        self.used = True
+        rest = 0.0 if self.last is None else self.spacing_s - (self.clock() - self.last)
+        if rest > 0:
+            self.sleep(rest)
         for attempt in range(ATTEMPTS):
+            self.last = self.clock()
             status, body = self.transport(url, self.headers)
             if status == 200:
                 return body
+            if status in REFUSED:
+                raise AuthError(status, body)
             if status not in RETRIED or attempt == ATTEMPTS - 1:
                 raise FeedError(status, body)
-            self.sleep(BACKOFF_S * 2**attempt)
+            self.sleep(max(BACKOFF_S * 2**attempt, self.spacing_s))
         raise AssertionError("unreachable")
 
     def read_json(self, url: str, parameters: Mapping[str, object] | None = None) -> object:
