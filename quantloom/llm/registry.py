@@ -145,4 +145,51 @@ ORACLE_SQL = {
         kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE table_of(t) AS (
+            SELECT list_transform(range(256), lambda i : list_reduce(list_prepend(i, range(8)), lambda c, k : CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))
+        ), d AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c : ascii(c)::BIGINT)),
+                    lambda c, b : xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fate
+            FROM conversations, table_of
+        ), e AS (
+            SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM d WHERE fate <> 0
+        ), r AS (
+            SELECT *, left(role, 1) AS kind, row_number() OVER w AS i, lag(left(role, 1)) OVER w AS kind_before
+            FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+        ), f AS (
+            SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM r
+        ), asked(state, role, next) AS (VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+        keeps(state, kind, next) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+        once AS (SELECT state, next AS mid, 5 AS cost, 'I' AS edits, chr(10) || role || ':' AS lines FROM asked),
+        added AS (
+            SELECT state, state AS mid, 0 AS cost, '' AS edits, '' AS lines FROM asked UNION ALL SELECT * FROM once
+            UNION ALL SELECT a.state, b.mid, a.cost + b.cost, a.edits || b.edits, a.lines || b.lines FROM once a JOIN once b ON a.mid = b.state
+        ), steps AS (
+            SELECT state, NULL::VARCHAR AS kind, mid AS next, cost + 2 AS cost, edits || 'D' AS edits, lines, NULL::VARCHAR AS role FROM added
+            UNION ALL SELECT a.state, NULL, k.next, a.cost + 1, a.edits || 'R', a.lines, k.role FROM added a JOIN asked k ON a.mid = k.state
+            UNION ALL SELECT a.state, k.kind, k.next, a.cost, a.edits || 'K', a.lines, '' FROM added a JOIN keeps k ON a.mid = k.state
+        ), dp AS (
+            SELECT conv_id, 0::BIGINT AS i, 0 AS state, 0::BIGINT AS cost, '' AS audit, '' AS lines FROM (SELECT DISTINCT conv_id FROM f)
+            UNION ALL
+            SELECT p.conv_id, f.i, s.next, p.cost + s.cost + CASE WHEN f.fault = 'truncated' AND s.role IS NOT NULL THEN 5 ELSE 0 END, p.audit || s.edits,
+                p.lines || s.lines || CASE WHEN s.role IS NULL THEN '' WHEN s.role = '' THEN chr(10) || f.role || ':' || f.text ELSE chr(10) || s.role || ':' || f.text END
+            FROM dp p JOIN f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = p.i + 1 JOIN steps s ON s.state = p.state AND (s.kind IS NULL OR s.kind = f.kind)
+            WHERE s.role IS NULL OR f.fault NOT IN ('blank', 'duplicate')
+            QUALIFY row_number() OVER (PARTITION BY p.conv_id, s.next ORDER BY p.cost + s.cost + CASE WHEN f.fault = 'truncated' AND s.role IS NOT NULL THEN 5 ELSE 0 END, p.audit || s.edits) = 1
+        ), ends AS (
+            SELECT p.conv_id, p.cost + a.cost AS cost, p.audit || a.edits AS audit, p.lines || a.lines AS lines
+            FROM dp p JOIN (SELECT conv_id, max(i) AS n FROM f GROUP BY conv_id) m ON p.conv_id IS NOT DISTINCT FROM m.conv_id AND p.i = m.n JOIN added a ON a.state = p.state AND a.mid IN (0, 3)
+            QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + a.cost, p.audit || a.edits) = 1
+        ), counts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND kind_before || kind NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM f GROUP BY conv_id
+        )
+        SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+            coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(substr(coalesce(lines, ''), 2)) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts k ON c.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN ends e ON c.conv_id IS NOT DISTINCT FROM e.conv_id""",
 }
