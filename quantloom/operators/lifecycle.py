@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantloom.operators.ranges import lagged
+
 # The lifecycle's transitions; every status but the last may also retire.
 TRANSITIONS = (
     ("DISCOVERED", "VALIDATED"), ("VALIDATED", "STAGING"), ("STAGING", "PRODUCTION"), ("PRODUCTION", "RETIRED"),
@@ -90,16 +95,24 @@ def bad_transitions(events: DataFrame) -> DataFrame:
     return started.select("name", "seq", "before", "status").unionByName(wrong.select("name", "seq", "before", "status"))
 
 
+def _verified(linked: DataFrame) -> DataFrame:
+    return linked.withColumn("intact", F.col("hash").eqNullSafe(F.sha2("body", 256))).withColumn("ok", F.col("linked") & F.col("intact"))
+
+
 def chain(entries: DataFrame, by: str = "chain") -> DataFrame:
     """Verification of hash-chained entries (chain, seq, body, prev_hash, hash): linked, intact, ok.
 
-    ``body`` is the canonical text, previous hash included, that was hashed; the first entry has no previous hash.
+    ``body`` is the canonical text, previous hash included, that was hashed; the first entry has no previous hash. A chain is looked at
+    by one task; ``long_chain`` is for chains of many entries.
     """
     before = F.lag("hash").over(W.partitionBy(by).orderBy("seq"))
-    return (
-        entries.withColumns({"linked": F.col("prev_hash").eqNullSafe(before), "intact": F.col("hash").eqNullSafe(F.sha2("body", 256))})
-        .withColumn("ok", F.col("linked") & F.col("intact"))
-    )
+    return _verified(entries.withColumn("linked", F.col("prev_hash").eqNullSafe(before)))
+
+
+def long_chain(entries: DataFrame, by: str = "chain") -> DataFrame:
+    """``chain`` for chains of any length: entries are dealt by ranges, and each range is told the hash before it."""
+    found = lagged(entries, [by], ["seq"], "hash", "__before")
+    return _verified(found.withColumn("linked", F.col("prev_hash").eqNullSafe(F.col("__before"))).drop("__before"))
 
 
 # What library code may not contain.
@@ -109,6 +122,32 @@ CODE_RULES = (
 )
 
 
+#: Files that a rule doesn't look at, and the folders that a rule looks at only: path within the tree, up to a pattern's end.
+CODE_ALLOWED = {"environment access": ("*/settings.py",), "print call": ("*/__main__.py",)}
+CODE_FOLDERS = {"wall clock": ("*/operators/*", "*/plans/*", "*/functions/*")}
+
+
+def scan_tree(spark: SparkSession, folder: str, pattern: str = "*.py", allowed: Mapping[str, Sequence[str]] = CODE_ALLOWED, folders: Mapping[str, Sequence[str]] = CODE_FOLDERS) -> DataFrame:
+    """path, line, rule of every finding in the files below ``folder``, paths and lines as an editor shows them.
+
+    ``allowed`` names the files that a rule passes over, ``folders`` those that a rule is confined to; ``*`` stands for any characters.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    path = F.substring_index("_metadata.file_path", folder.rstrip("/").split("://")[-1] + "/", -1)
+    text = F.regexp_replace("value", r"\r\n?", "\n")
+    lines = files.select(path.alias("path"), F.posexplode(F.split(text, "\n")).alias("line", "value")).withColumn("line", (F.col("line") + 1).cast("long"))
+    found = code_findings(lines)
+
+    def listed(patterns: Mapping[str, Sequence[str]], otherwise: bool) -> Column:
+        met = F.lit(otherwise)
+        for rule, globs in patterns.items():
+            own = reduce(Column.__or__, (F.concat(F.lit("/"), "path").like(g.replace("_", "\\_").replace("*", "%")) for g in globs))
+            met = F.when(F.col("rule") == rule, own).otherwise(met)
+        return met
+
+    return found.where(~listed(allowed, False) & listed(folders, True))
+
+
 def code_findings(lines: DataFrame) -> DataFrame:
     """path, line, rule for every rule that a line (path, line, value) breaks."""
     hits = F.array_compact(F.array(*(F.when(F.col("value").rlike(p), n) for n, p in CODE_RULES)))

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.cross_section import average_rank, rank01, score_table, zscore
-from quantloom.operators import contracts, core, lifecycle, signals
+from quantloom.operators import contracts, core, lifecycle, ranges, signals
 from quantloom.plans import compiler
 from quantloom.plans.dsl import parse
 from quantloom.sources.storage import checkpointed
@@ -204,6 +204,12 @@ def avg_rank(spark, d):
     return _weekly(spark, d).select("date", "ticker", average_rank("volume", "date").alias("r"))
 
 
+@query("SELECT date, ticker, rank() OVER (ORDER BY volume) + (count(*) OVER (PARTITION BY volume) - 1) / 2.0::DOUBLE AS r FROM bars", WEEKLY)
+def avg_rank_wide(spark, d):
+    """All bars as one cross-section, which no task holds whole."""
+    return ranges.average_ranks(_weekly(spark, d).select(F.lit(1).alias("one"), "date", "ticker", "volume"), ["one"], "volume", "r").select("date", "ticker", "r")
+
+
 @query(f"SELECT date, ticker, {_rank01_sql('volume', 'date')} AS r FROM bars", WEEKLY, "r")
 def rank_01(spark, d):
     return _weekly(spark, d).select("date", "ticker", rank01("volume", "date").alias("r"))
@@ -454,6 +460,16 @@ def asof_fundamental(spark, d):
     return core.as_of_join(left, market.fundamentals(spark, d), "ticker", "date", "report_date", ["revenue", "net_income"])
 
 
+@query(
+    """SELECT b.own, b.ticker, b.date, f.revenue, f.net_income FROM (SELECT ticker AS own, CASE WHEN month(date) % 2 = 0 THEN 'S00001' ELSE ticker END AS ticker, date FROM bars) b
+    ASOF LEFT JOIN fundamentals f ON b.ticker = f.ticker AND b.date >= f.report_date""", f"{MONTHLY}, {FUNDAMENTALS}", "revenue net_income",
+)
+def asof_hot_ticker(spark, d):
+    """One ticker holds half of the rows: its history is dealt by years."""
+    left = market.bars(spark, d).select(F.col("ticker").alias("own"), F.when(F.month("date") % 2 == 0, "S00001").otherwise(F.col("ticker")).alias("ticker"), "date")
+    return ranges.as_of_buckets(left, market.fundamentals(spark, d), "ticker", "date", "report_date", ["revenue", "net_income"])
+
+
 OWN_BASE = """base AS (SELECT o.ticker, o.as_of_date, o.institutional_ownership_pct AS latest, coalesce(b.institutional_ownership_pct, first_value(o.institutional_ownership_pct) OVER (PARTITION BY o.ticker ORDER BY o.as_of_date)) AS baseline
     FROM (SELECT *, (as_of_date - INTERVAL 90 DAY)::DATE AS cutoff FROM ownership) o ASOF LEFT JOIN ownership b ON o.ticker = b.ticker AND o.cutoff >= b.as_of_date)"""
 
@@ -723,16 +739,31 @@ def registry_bad_transitions(spark, d):
     return lifecycle.bad_transitions(_registry(spark, d))
 
 
+def _entries(spark, d, chain: Column) -> DataFrame:
+    """Events as hashed entries of chains, some with a wrong hash before and some with another text than was hashed."""
+    body = F.concat(F.col("event_id").cast("string"), "props")
+    rows = market.read(spark, d, "events").select(chain.alias("chain"), F.col("event_id").alias("seq"), body.alias("body"), F.sha2(body, 256).alias("hash"))
+    return rows.withColumn("body", F.when(F.col("seq") % 97 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+
+
 @query(
     """SELECT user_id AS chain, event_id AS seq, prev_hash IS NOT DISTINCT FROM lag(hash) OVER (PARTITION BY user_id ORDER BY event_id) AS linked, event_id % 97 <> 0 AS intact FROM
     (SELECT *, CASE WHEN event_id % 89 = 0 THEN 'x' ELSE lag(hash) OVER (PARTITION BY user_id ORDER BY event_id) END AS prev_hash FROM (SELECT user_id, event_id, sha256(event_id::VARCHAR || props) AS hash FROM events))""",
 )
 def audit_verify(spark, d):
-    body = F.concat(F.col("event_id").cast("string"), "props")
-    rows = market.read(spark, d, "events").select(F.col("user_id").alias("chain"), F.col("event_id").alias("seq"), body.alias("body"), F.sha2(body, 256).alias("hash"))
     before = F.lag("hash").over(W.partitionBy("chain").orderBy("seq"))
-    spoiled = rows.withColumn("prev_hash", F.when(F.col("seq") % 89 == 0, "x").otherwise(before)).withColumn("body", F.when(F.col("seq") % 97 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
-    return lifecycle.chain(spoiled).select("chain", "seq", "linked", "intact")
+    entries = _entries(spark, d, F.col("user_id"))
+    return lifecycle.chain(entries.withColumn("prev_hash", F.when(F.col("seq") % 89 == 0, "x").otherwise(before))).select("chain", "seq", "linked", "intact")
+
+
+@query(
+    """SELECT event_id AS seq, prev_hash IS NOT DISTINCT FROM lag(hash) OVER (ORDER BY event_id) AS linked, event_id % 97 <> 0 AS intact FROM
+    (SELECT *, CASE WHEN event_id % 89 = 0 THEN 'x' ELSE lag(hash) OVER (ORDER BY event_id) END AS prev_hash FROM (SELECT event_id, sha256(event_id::VARCHAR || props) AS hash FROM events))""",
+)
+def audit_verify_long(spark, d):
+    """All events as one chain, which no task holds whole."""
+    entries = ranges.lagged(_entries(spark, d, F.lit(0)), ["chain"], ["seq"], "hash", "before")
+    return lifecycle.long_chain(entries.withColumn("prev_hash", F.when(F.col("seq") % 89 == 0, "x").otherwise(F.col("before"))).drop("before")).select("seq", "linked", "intact")
 
 
 @query(
@@ -751,6 +782,16 @@ def code_scan(spark, d):
 # Streaming
 
 
+@query(f"SELECT date, ticker, CASE WHEN count(close) OVER w = 5 THEN avg(close) OVER w END AS value FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 4 PRECEDING)", f"{MONTHLY}, {PANEL}", "value")
+def stream_rolling_mean(spark, d):
+    """The panel as a stream of three batches; every ticker's last slots are the state."""
+    from quantloom.streaming.filings import run_to_end
+    from quantloom.streaming.rolling import replayed, rolling
+
+    slots = compiler.panel(market.bars(spark, d)).select("date", "ticker", F.col("close").alias("value"))
+    return run_to_end(rolling(replayed(slots, ("1995-01-01", "1998-01-01")), "ts_mean", 5), "append")
+
+
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*)::BIGINT AS n, sum(value) AS total FROM events GROUP BY ALL", doubles="total")
 def stream_activity(spark, d):
     from quantloom.streaming.filings import activity, run_to_end, stream_table
