@@ -6,11 +6,13 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Owners that a task of an exchange serves, about, and partitions that an exchange is never dealt to more than, but by the session.
 OWNERS_A_TASK, MOST_PARTITIONS = 4, 50_000
@@ -38,17 +40,49 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage is cut, and no executor's loss repeats the work."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quantloom/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, _fresh_path(df.sparkSession)
+    with _own_shuffles_removed(spark):
+        df.write.parquet(path)
+    return _read(spark, path, df.schema)
+
+
+def materialize_parts(df: DataFrame, by: str, parts: int) -> list[DataFrame]:
+    """``df`` written as one table for each of the numbers 0 to ``parts`` - 1 that its column ``by`` holds; the column is left out."""
+    spark, path = df.sparkSession, _fresh_path(df.sparkSession)
+    with _own_shuffles_removed(spark):
+        df.write.partitionBy(by).parquet(path)
+    for k in range(parts):  # a part without rows has no folder yet
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={k}")
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(folder)
+    return [_read(spark, f"{path}/{by}={k}", df.drop(by).schema) for k in range(parts)]
+
+
+def narrowed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Some columns of a written table, that ``discard`` still knows."""
+    out = df.select(*columns)
+    out.written_to = df.written_to
+    return out
+
+
+def _fresh_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quantloom/{uuid.uuid4().hex}"
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    written = spark.read.schema(schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+@contextmanager
+def _own_shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile is read from its table: its shuffles aren't needed again."""
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")  # the write's own shuffles aren't read again
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before) if before is not None else spark.conf.unset(SHUFFLE_CLEANUP)
-    written = spark.read.schema(df.schema).parquet(path)
-    written.written_to = path
-    return written
 
 
 def discard(*tables: DataFrame) -> None:

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.frames import crc_bucket, discard, materialize, owner_count, text_bytes, text_volume
+from quantloom.llm.frames import crc_bucket, discard, materialize, materialize_parts, narrowed, owner_count, text_bytes, text_volume
 from quantloom.llm.words import LOWER, SPACE, hash_words, mix, run_bounds
 
 #: Occurrences from which words can be a context.
@@ -460,10 +460,11 @@ def _scorer(model: Model, depth: int):
 def _scored(rows: DataFrame, owners: int | None, depth: int | None) -> DataFrame:
     """Scores of the wanted ones of ``rows`` (doc_id, text, counted, wanted)."""
     model = Model(owners or owner_count(text_volume(rows), OWNER_BYTES))
-    asked = materialize(rows.mapInArrow(_reader(model), _ASKED))
+    states, asked = _parted(rows.mapInArrow(_reader(model), _ASKED))
     level, split = 0, Level()
     while True:
-        told = materialize(asked.where("owner is not null").select(*_ASKED.split(", s_")[0].replace(" int", "").replace(" string", "").replace(" binary", "").split(", ")).groupBy("owner").applyInArrow(_answerer(model, level), _TOLD))
+        told = materialize(asked.groupBy("owner").applyInArrow(_answerer(model, level), _TOLD))
+        discard(asked)
         if not level:
             n, v = told.where("chunk is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
             model = Model(model.owners, n, v)
@@ -473,18 +474,25 @@ def _scored(rows: DataFrame, owners: int | None, depth: int | None) -> DataFrame
                 discard(told)
                 break
         more = depth is None or level < depth
-        states = asked.where("owner is null").select("chunk", *(f"s_{c}" for c in _STATE))
         answers = told.where("chunk is not null").select("chunk", "owner", "counts", "ids", "once", "kept")
-        following = materialize(states.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_next_level(model, level, split, more), _ASKED))
-        discard(asked, told)
-        asked, level = following, level + 1
+        before = states
+        states, asked = _parted(states.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_next_level(model, level, split, more), _ASKED))
+        discard(before, told)
+        level += 1
         if not more:
             break
-    states = asked.where("owner is null").select(*(f"s_{c}" for c in _STATE))
     scored = states.mapInArrow(_scorer(model, level), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _parted(sent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks' states and their questions, in tables of their own, so that questions go when they are answered."""
+    states, asked = materialize_parts(sent.withColumn("kind", F.expr("int(owner is not null)")), "kind", 2)
+    questions = _ASKED.split(", s_")[0].split(", ")
+    columns = (["chunk", *(f"s_{c}" for c in _STATE)], [c.split()[0] for c in questions])
+    return tuple(narrowed(table, own) for table, own in zip((states, asked), columns, strict=True))
+
+
 def score(documents: DataFrame, training: DataFrame, owners: int | None = None, depth: int | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every row of ``documents`` (doc_id, text).
 
