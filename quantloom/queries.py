@@ -825,7 +825,16 @@ def backtest_report(spark, d):
     return spark.createDataFrame(sorted(keep.items()), "statistic string, amount double")
 
 
-@query()
+#: The three signals' mean ICs and covariances on common days as one row, and the solution of the 3 x 3 system by cofactors.
+SOLVED = """moments AS (SELECT avg(m) AS x, avg(r) AS y, avg(v) AS z, var_samp(m) + 1e-3 AS a, covar_samp(m, r) AS b, covar_samp(m, v) AS c, var_samp(r) + 1e-3 AS d, covar_samp(r, v) AS e, var_samp(v) + 1e-3 AS f
+    FROM (SELECT date, max(ic) FILTER (signal = 'momentum_3') AS m, max(ic) FILTER (signal = 'reversal_1') AS r, max(ic) FILTER (signal = 'volume') AS v FROM common GROUP BY date)),
+    solved AS (SELECT (d * f - e * e) * x + (c * e - b * f) * y + (b * e - c * d) * z AS m, (c * e - b * f) * x + (a * f - c * c) * y + (b * c - a * e) * z AS r,
+        (b * e - c * d) * x + (b * c - a * e) * y + (a * d - b * b) * z AS v, sign(a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d)) AS s FROM moments)"""
+
+
+@query(
+    "SELECT unnest(['momentum_3', 'reversal_1', 'volume']) AS signal, unnest([m, r, v]) * s / (abs(m) + abs(r) + abs(v)) AS weight FROM solved", f"{ICS}, {COMMON}, {SOLVED}", "weight",
+)
 def optimal_weights(spark, d):
     from quantloom.plans.research import ic_weights
 
@@ -842,7 +851,11 @@ def research_book(spark, d):
     return build(scores, bars)[0]
 
 
-@query()
+@query(
+    """SELECT unnest(['momentum_3', 'reversal_1', 'volume']) AS signal, unnest([NULL, r, CASE WHEN coalesce(abs(mv), 0) >= 0.5 THEN 'momentum_3' WHEN r IS NULL AND coalesce(abs(rv), 0) >= 0.5 THEN 'reversal_1' END]) AS clashes_with
+    FROM (SELECT max(rho) FILTER (a = 'momentum_3' AND b = 'volume') AS mv, max(rho) FILTER (a = 'reversal_1') AS rv, CASE WHEN abs(max(rho) FILTER (b = 'reversal_1')) >= 0.5 THEN 'momentum_3' END AS r
+    FROM (SELECT a, b, avg(rho) AS rho FROM sr GROUP BY ALL))""", f"{MONTHLY}, {SCORES}, {CORRELATION}",
+)
 def select_signals(spark, d):
     from quantloom.plans import stats
 
