@@ -35,7 +35,7 @@ def empty(spark):
 @pytest.fixture(scope="module")
 def duck(small):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(small, t)}.parquet')")
     return con
 
