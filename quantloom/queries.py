@@ -868,7 +868,7 @@ def select_signals(spark, d):
 def cvar_book(spark, d):
     from quantloom.plans.portfolio import cvar_portfolio
 
-    known = core.as_of(market.bars(spark, d), BOOK_DAY, "date")
+    known = checkpointed(core.as_of(market.bars(spark, d), BOOK_DAY, "date"))
     day = known.agg(F.max("date")).first()[0]
     return cvar_portfolio(three_signals(known).where("signal = 'momentum_3'"), known, day)[0]
 
