@@ -39,7 +39,9 @@ def attach(rows: DataFrame, groups: DataFrame, by: Sequence[str], size: str, tot
     named = groups.select(*(F.col(c).alias(f"__{c}") for c in by), *(c for c in groups.columns if c not in by))
     large = F.col(size) > max(1, total // HOT_SHARE)
     hot, rest = named.where(large), named.where(~large)
-    both = rows.join(F.broadcast(hot), _same(rows, hot, by)).unionByName(rows.join(rest, _same(rows, rest, by)))
+    # Rows of hot groups stay where they are; only the others are dealt.
+    cold = rows.join(F.broadcast(hot), _same(rows, hot, by), "left_anti")
+    both = rows.join(F.broadcast(hot), _same(rows, hot, by)).unionByName(cold.join(rest, _same(cold, rest, by)))
     return both.drop(*(f"__{c}" for c in by))
 
 
@@ -56,6 +58,7 @@ def lagged(df: DataFrame, by: Sequence[str], order: Sequence[str], column: str,
 
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, out: str = "rank") -> DataFrame:
     """``df`` with the average rank (from 1, ties share their mean) of ``value`` within ``by``; NULLs have none and don't count."""
+    df = checkpointed(df)
     known = df.where(F.col(value).isNotNull())
     placed = ranged(known.groupBy(*by, value).agg(F.count("*").alias("__n")), *by, value)
     parts = placed.groupBy(*by, PART).agg(F.sum("__n").alias("__m"))
