@@ -88,8 +88,8 @@ def _cross_section(op: str, name: str) -> Column:
     return F.when(x.isNotNull() & (n >= 2), F.when(std <= TINY, 0.0).otherwise((x - F.avg(x).over(day)) / F.nullif(std, F.lit(0.0))))
 
 
-def evaluate(dense: DataFrame, expressions: Mapping[str, Expr]) -> DataFrame:
-    """date, ticker and one column per named expression."""
+def evaluate(dense: DataFrame, expressions: Mapping[str, Expr], also: Sequence[str] = ()) -> DataFrame:
+    """date, ticker, columns of ``dense`` that are to come along, and one column per named expression."""
     todo: dict[str, Expr] = {}
     for e in expressions.values():
         for n in e.nodes():
@@ -123,7 +123,7 @@ def evaluate(dense: DataFrame, expressions: Mapping[str, Expr]) -> DataFrame:
         while run(None) or run(TIME_SERIES):
             pass
         run(CROSS_SECTION)
-    return out.select("date", "ticker", *(F.col(done[str(e)]).alias(name) for name, e in expressions.items()))
+    return out.select("date", "ticker", *also, *(F.col(done[str(e)]).alias(name) for name, e in expressions.items()))
 
 
 def long_scores(values: DataFrame, names: Sequence[str]) -> DataFrame:
