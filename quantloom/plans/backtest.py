@@ -32,12 +32,11 @@ def evaluate(scores: DataFrame, forward: DataFrame, min_n: int = 5) -> dict:
 def run_backtest(scores: DataFrame, bars: DataFrame, n_trials: int = 1, others: DataFrame | None = None, sectors: DataFrame | None = None, min_n: int = 5, audit: AuditLog | None = None) -> dict:
     """The verdict with all statistics. ``scores`` hold one signal; ``others`` and ``sectors`` add tests six and seven.
 
-    Scores joined with all three forward returns are written once; every statistic reads that table.
+    Bars, and scores joined with all three forward returns, are written once; every statistic reads those tables.
     """
-    joined = scores.select("signal", "date", "ticker", "raw_score")
-    for h in (1, HORIZON, DECAY_HORIZON):
-        joined = joined.join(core.forward_return(bars, h).withColumnRenamed("fwd", f"fwd_{h}"), ["ticker", "date"], "left")
-    joined = checkpointed(joined)
+    bars = checkpointed(bars.select("ticker", "date", "adjusted_close"))
+    ahead = bars.select("ticker", "date", *((F.lead("adjusted_close", h).over(core.by_ticker()) / F.col("adjusted_close") - 1).alias(f"fwd_{h}") for h in (1, HORIZON, DECAY_HORIZON)))
+    joined = checkpointed(scores.select("signal", "date", "ticker", "raw_score").join(ahead, ["ticker", "date"], "left"))
     own = joined.select("signal", "date", "ticker", "raw_score")
     forward = {h: joined.where(F.col(f"fwd_{h}").isNotNull()).select("ticker", "date", F.col(f"fwd_{h}").alias("fwd")).distinct() for h in (1, HORIZON, DECAY_HORIZON)}
     report = evaluate(own, forward[HORIZON], min_n)

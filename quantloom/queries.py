@@ -817,7 +817,7 @@ def stream_first_filings(spark, d):
 def backtest_report(spark, d):
     from quantloom.plans.backtest import run_backtest
 
-    bars = market.bars(spark, d)
+    bars = checkpointed(market.bars(spark, d))
     scores = three_signals(bars).where("signal = 'momentum_3'")
     found = run_backtest(scores, bars, n_trials=3, others=three_signals(bars).where("signal <> 'momentum_3'"), sectors=market.sectors(spark, d))
     keep = {k: float(v) for k, v in found.items() if isinstance(v, int | float) and not isinstance(v, bool)} | {f"regime_{k}": v for k, v in found["regimes"].items()}
