@@ -846,8 +846,10 @@ def research_book(spark, d):
     from quantloom.plans.research import four_signals
     from quantloom.plans.research import research_book as build
 
-    bars = market.bars(spark, d)
-    scores = four_signals(bars, market.estimates(spark, d), market.fundamentals(spark, d), market.ownership(spark, d), market.links(spark, d), _days(spark, d))
+    bars = checkpointed(market.bars(spark, d))
+    days = checkpointed(core.score_dates(bars, 3))
+    estimates, facts, owned, linked = (checkpointed(f(spark, d)) for f in (market.estimates, market.fundamentals, market.ownership, market.links))
+    scores = four_signals(bars, estimates, facts, owned, linked, days)
     return build(scores, bars)[0]
 
 
