@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -36,25 +35,54 @@ END_ID = 2
 #: Words and bytes, about, that a worker's memo of encoded words may hold; it is emptied when full. Longer words than MEMO_WORD aren't kept.
 MEMO_WORDS, MEMO_BYTES, MEMO_WORD = 700_000, 160 << 20, 128
 _ENTRY_BYTES = 160
+#: Words that are encoded as one text.
+TOGETHER = 256
 #: Rounds of the LP, pricing programs in a round, and how fast weights follow the coverage.
 ROUNDS = 60
 GROUPS = 6
 EPSILON = 0.005
 
 _CLEAN_CUT = re.compile(r"(?<=\S) (?=\S)")
-# The byte-level pattern, and the characters that stand for bytes in its vocabulary (printable ones
-# for themselves, the others counted from 256).
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# The characters that stand for bytes in a byte-level vocabulary (printable ones for themselves, the
+# others counted from 256).
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+def leading_spaces(tokenizer) -> np.ndarray:
+    """Which ids of a byte-level tokenizer stand for tokens that begin with a space."""
+    out = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab().items():
+        out[i] = token.startswith(chr(_BYTE_CHARACTERS[0x20]))
+    return out
+
+
+def encode_words(tokenizer, leading: np.ndarray, words: list[str]) -> list[bytes]:
+    """The ids of " " and each of ``words`` (without spaces, and no white space at their ends), as 32-bit integers.
+
+    Words are encoded ``TOGETHER`` at a time, as a text: its pattern never joins a word and the space that follows, so every token that
+    begins with a space begins a word, if there are as many as words; otherwise each is encoded alone.
+    """
+    out: list[bytes] = []
+    for begin in range(0, len(words), TOGETHER):
+        own = words[begin : begin + TOGETHER]
+        (coded,) = tokenizer.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)
+        ids = np.array(coded.ids, np.uint32)
+        heads = np.flatnonzero(leading[ids])
+        if len(heads) == len(own) and heads[0] == 0:
+            raw, edges = ids.tobytes(), [*(4 * heads).tolist(), 4 * len(ids)]
+            out += [raw[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        else:
+            out += [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast([" " + w for w in own], add_special_tokens=False)]
+    return out
+
+
 class WordEncoder:
     """Encodes texts by a byte-level BPE tokenizer, word by word.
 
     Its pattern attaches a single space between two visible characters to the word that follows, so a text's
-    ids are the ids of " word" after " word". Each distinct word is cut into the pattern's pieces and each distinct
-    piece is encoded once; what isn't such a word goes through the whole tokenizer.
+    ids are the ids of " word" after " word". Each distinct word is encoded once, many together; what isn't such a word goes
+    through the tokenizer with its text.
     """
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS, memo_bytes: int = MEMO_BYTES):
@@ -63,46 +91,29 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.leading = leading_spaces(self.tokenizer)
         self.memo: dict[str, bytes | None] = {}
-        self.pieces: dict[str, bytes] = {}
         self.memo_words, self.memo_bytes, self.held = memo_words, memo_bytes, 0
         self.long: list[str] = []  # words of the texts at hand that aren't kept
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            mapped = piece.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
-            found = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-            if len(piece) <= MEMO_WORD:
-                self.pieces[piece] = found
-                self.held += len(piece) + len(found) + _ENTRY_BYTES
-        return found
-
     def _learn(self, words: set[str]) -> None:
-        memo, piece = self.memo, self._piece
         self.long += (w for w in words if len(w) > MEMO_WORD)
-        for w in words:
-            if w.isalpha():
-                memo[w] = piece(" " + w)
-            elif not w or w[0].isspace() or w[-1].isspace():
-                memo[w] = None  # its spaces need a closer look
-            elif w[-1] in ".,|" and w[:-1].isalpha():
-                memo[w] = piece(" " + w[:-1]) + piece(w[-1])
-            else:
-                memo[w] = b"".join(map(piece, _PIECE.findall(" " + w)))
-            self.held += len(w) + len(memo[w] or b"") + _ENTRY_BYTES
+        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        coded = encode_words(self.tokenizer, self.leading, plain)
+        self.memo.update(dict.fromkeys(words))  # what has other spaces needs a closer look
+        self.memo.update(zip(plain, coded, strict=True))
+        self.held += sum(map(len, words)) + sum(map(len, coded)) + _ENTRY_BYTES * len(words)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         split = [t.split(" ") for t in texts]
         if len(self.memo) > self.memo_words or self.held > self.memo_bytes:
-            self.memo.clear(), self.pieces.clear()
+            self.memo.clear()
             self.held = 0
-        self._learn({w for x in split for w in x[1:]}.difference(self.memo))
+        self._learn(set().union(*split).difference(self.memo))
         heads = self._encode([x[0] for x in split])
         memo = self.memo
         out, get = [], memo.__getitem__
