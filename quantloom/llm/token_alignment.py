@@ -22,6 +22,7 @@ import os
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.frames import materialize, slices
-from quantloom.llm.packing import _BYTE_CHARACTERS, _CLEAN_CUT
+from quantloom.llm.packing import _BYTE_CHARACTERS, _CLEAN_CUT, encode_words, leading_spaces
 
 #: Characters of a text that are aligned at a time, and bytes of text in a chunk, about.
 SEGMENT, CHUNK_BYTES = 1 << 20, 16 << 20
@@ -58,6 +59,7 @@ class TokenPair:
         self.bytes_a = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
             self.bytes_a[i] = b"".join(bytes([byte_of[c]]) if c in byte_of else c.encode("latin-1") if ord(c) < 256 else c.encode() for c in token)
+        self.leading = leading_spaces(self.a)
         self.bytes_b = [self._piece_bytes(i) for i in range(self.b.get_piece_size())]
         self.length_a, self.length_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
         self.memo: dict[str, tuple[bytes, bytes] | None] = {}
@@ -68,16 +70,21 @@ class TokenPair:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def _encode(self, words: list[str]) -> list[tuple[bytes, bytes]]:
-        """The ids of " " and each of ``words``, as 32-bit integers; none where a side doesn't spell them."""
-        if not words:
+    def _encode(self, texts: list[str], plain: bool = False) -> list[tuple[bytes, bytes]]:
+        """The ids of " " and each of ``texts``, as 32-bit integers; none where a side doesn't spell them. ``plain`` ones are words, which A takes together."""
+        if not texts:
             return []
-        out = []
-        for word, x, b in zip(words, self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False), self.b.encode(words, num_threads=1), strict=True):
-            a, raw = x.ids, b" " + word.encode()
-            spelt = b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
-            out.append((array("I", a).tobytes(), array("I", b).tobytes()) if spelt else (b"", b""))
-        return out
+        ids_a = encode_words(self.a, self.leading, texts) if plain else [array("I", x.ids).tobytes() for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        listed = self.b.encode(texts, num_threads=1)
+        size_b = np.fromiter(map(len, listed), np.int64, len(listed))
+        flat = np.fromiter(chain.from_iterable(listed), np.uint32, int(size_b.sum()))
+        raw, edges = flat.tobytes(), np.append(0, 4 * np.cumsum(size_b)).tolist()
+        ids_b = [raw[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        own = [b" " + t.encode() for t in texts]
+        ids = np.frombuffer(b"".join(ids_a), np.uint32)
+        size_a = np.fromiter(map(len, ids_a), np.int64, len(ids_a)) // 4
+        spelt = _spelt(self.bytes_a, self.length_a, ids, size_a, own) & _spelt(self.bytes_b, self.length_b, flat, size_b, own)
+        return [pair if ok else (b"", b"") for pair, ok in zip(zip(ids_a, ids_b, strict=True), spelt.tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """The ids of " " and each of ``texts``, on both sides; None where a side doesn't spell them."""
@@ -85,21 +92,21 @@ class TokenPair:
         if self.held > self.memo_bytes:
             self.memo.clear()
             self.held = 0
-        new = [w for w in {w for x in split for w in x}.difference(self.memo) if len(w) <= MEMO_WORD]
+        new = [w for w in set().union(*split).difference(self.memo) if len(w) <= MEMO_WORD]
         plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
         self.memo.update(dict.fromkeys(new))  # what has other spaces needs a closer look
-        self.memo.update(zip(plain, self._encode(plain), strict=True))
+        self.memo.update(zip(plain, self._encode(plain, True), strict=True))
         self.held += sum(map(len, new)) + _ENTRY_BYTES * len(new)
         out, get = [], self.memo.get
         for text, words in zip(texts, split, strict=True):
-            found = [get(w) for w in words]
+            found = list(map(get, words))
             if None in found:
                 words = _CLEAN_CUT.split(text)
                 found = [get(w) for w in words]
                 odd = [i for i, x in enumerate(found) if x is None]
                 for i, x in zip(odd, self._encode([words[i] for i in odd]), strict=True):
                     found[i] = x
-            sides = [x for x, _ in found], [y for _, y in found]
+            sides = tuple(zip(*found, strict=True))
             out.append(None if b"" in sides[0] else tuple(np.frombuffer(b"".join(x), np.uint32).astype(np.int64) for x in sides))
         return out
 
@@ -116,6 +123,20 @@ class TokenPair:
         return "".join(map(self.listed.__getitem__, code.tolist()))[:-1]
 
 
+def _spelt(table: list[bytes], length: np.ndarray, ids: np.ndarray, size: np.ndarray, own: list[bytes]) -> np.ndarray:
+    """Which of ``own`` are spelt by their ids (``size`` of them each): their bytes are as many, and equal."""
+    total = np.append(0, np.cumsum(length[ids]))
+    ends = np.cumsum(size)
+    ok = total[ends] - total[ends - size] == np.fromiter(map(len, own), np.int64, len(own))
+    kept = [x for x, good in zip(own, ok.tolist(), strict=True) if good]
+    said = np.frombuffer(b"".join(map(table.__getitem__, ids[np.repeat(ok, size)].tolist())), np.uint8)
+    wrong = np.flatnonzero(said != np.frombuffer(b"".join(kept), np.uint8))
+    if len(wrong):
+        at = np.searchsorted(np.cumsum(list(map(len, kept))), wrong, side="right")
+        ok[np.flatnonzero(ok)[at]] = False
+    return ok
+
+
 @dataclass
 class Alignment:
     """Groups, as the ends of their index ranges on both sides, and the linked token places."""
