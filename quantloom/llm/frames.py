@@ -57,11 +57,9 @@ def materialize_parts(df: DataFrame, by: str, parts: int) -> list[DataFrame]:
     return [_read(spark, f"{path}/{by}={k}", df.drop(by).schema) for k in range(parts)]
 
 
-def narrowed(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Some columns of a written table, that ``discard`` still knows."""
-    out = df.select(*columns)
-    out.written_to = df.written_to
-    return out
+def joined_parts(parts: list[DataFrame]) -> DataFrame:
+    """The rows of several written tables of one schema, as one."""
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*(p.written_to for p in parts))
 
 
 def _fresh_path(spark: SparkSession) -> str:

@@ -14,7 +14,9 @@ Texts are read once and become chunks of word numbers: the owners of words give
 owners of the contexts' hash ranges; owners sum them, test the contexts and answer with the counts in the order in which they were
 asked. With the answers a chunk goes on to its next state: the scores of what is settled, and the tokens whose
 contexts may still grow. So counts and contexts stay distributed, a chunk learns about its own contexts only, and no level is gone
-through twice. A context that holds over ``SPLIT_SHARE`` of the tokens is dealt over several owners by its
+through twice. Owners, and then chunks, take their turns in up to ``ROUNDS`` rounds: what a round has read is removed before the next one, so
+that of what is written only a round's share lies on the disk twice. Probabilities travel with the questions and come back with the answers;
+a waiting state holds none. A context that holds over ``SPLIT_SHARE`` of the tokens is dealt over several owners by its
 symbols: its once-seen symbols are summed first, then its test. Only the sums of these (at most 1 / SPLIT_SHARE a level) pass through the
 driver, and the result doesn't hang on the number of owners.
 
@@ -37,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.frames import crc_bucket, discard, materialize, materialize_parts, narrowed, owner_count, text_bytes, text_volume
+from quantloom.llm.frames import crc_bucket, discard, joined_parts, materialize_parts, owner_count, text_bytes, text_volume
 from quantloom.llm.words import LOWER, SPACE, hash_words, mix, run_bounds
 
 #: Occurrences from which words can be a context.
@@ -49,6 +51,10 @@ LEAST_GAIN = 0.01
 SPLIT_SHARE = 2.0**-16
 #: Bytes of text in a chunk, about, and of the corpus for each owner.
 CHUNK_BYTES, OWNER_BYTES = 4 << 20, 8 << 20
+#: Rounds in which the owners of a level, and its chunks, are served at most, and owners from which another one is added.
+ROUNDS, ROUND_OWNERS = 4, 12
+#: Contexts of so many words are sent as their words' numbers, which are smaller than a hash.
+SPELT = 4
 
 END, BEGIN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
@@ -73,6 +79,26 @@ def _key(context: np.ndarray, x: np.ndarray) -> np.ndarray:
     return mix(x + context.astype(np.uint64) * _PAIR)
 
 
+def _context(words: list[np.ndarray]) -> np.ndarray:
+    """Of contexts' words, the last one first: the word, or a hash of several."""
+    out = words[0]
+    for word in words[1:]:
+        out = _key(out, word)
+    return out
+
+
+def _spelt(words: list[np.ndarray]) -> np.ndarray:
+    """Contexts as their words' numbers, counted from one; the texts' beginning is 0."""
+    return np.concatenate([np.where(w == BEGIN, np.uint64(0), w + np.uint64(1)) for w in words])
+
+
+def _read_contexts(sent: np.ndarray, depth: int) -> np.ndarray:
+    """The contexts of a question, as their words' numbers or hashes."""
+    if depth > SPELT:
+        return sent
+    return _context([np.where(w > 0, w - np.uint64(1), BEGIN) for w in sent.reshape(depth, -1)])
+
+
 def _share(h: np.ndarray, parts: np.ndarray | int) -> np.ndarray:
     """Which of ``parts`` equal ranges the hashes fall in, by their first 24 bits."""
     return ((h >> np.uint64(40)) * np.asarray(parts, np.uint64) >> np.uint64(24)).astype(np.int64)
@@ -110,9 +136,9 @@ class Model:
 
 
 #: A chunk's rows, tokens (numbers of the chunk's distinct words), these words' corpus-wide numbers and counts, and the places that are
-#: asked about, with their probabilities in the longest state so far and their contexts' totals.
-_STATE = ("docs", "size", "code", "word", "count", "asked", "p", "total")
-_KINDS = {"size": np.int64, "code": np.uint32, "word": np.uint64, "count": np.int64, "asked": np.uint32, "p": np.float32, "total": np.int64}
+#: asked about, with their contexts' totals.
+_STATE = ("docs", "size", "code", "word", "count", "asked", "total")
+_KINDS = {"size": np.int64, "code": np.uint32, "word": np.uint64, "count": np.int64, "asked": np.uint32, "total": np.int64}
 
 
 class Chunk:
@@ -128,8 +154,8 @@ class Chunk:
         self.asked = state["asked"].astype(np.int64)
         self.row = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
         self.place = np.arange(len(self.code)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
-        if depth > 1:
-            self.p, self.total = state["p"].astype(np.float64), state["total"]
+        if depth > 1:  # the answers bring the probabilities
+            self.p, self.total = None, state["total"]
         elif depth:  # both follow from the words' counts
             self.p, self.total = self._root(self.code[self.asked]), self._totals()
         self._look()
@@ -167,11 +193,11 @@ class Chunk:
         """The asked tokens' symbols, and their contexts: a word's number, or a hash of several."""
         at = self.asked
         self.x = self.word[self.code[at]] if self.depth and len(at) else np.empty(0, np.uint64)
-        context = np.zeros(len(at), np.uint64)
-        for d in range(1, self.depth + 1 if len(at) else 0):
-            before = np.where(self.place[at] >= d, self.word[self.code[np.maximum(at - d, 0)]], BEGIN)
-            context = before if d == 1 else _key(context, before)
-        self.context = context
+        self.context = _context([self._before(at, d) for d in range(1, self.depth + 1)]) if self.depth and len(at) else np.zeros(len(at), np.uint64)
+
+    def _before(self, at: np.ndarray, d: int) -> np.ndarray:
+        """The word that stands ``d`` places before each of ``at``, or the texts' beginning."""
+        return np.where(self.place[at] >= d, self.word[self.code[np.maximum(at - d, 0)]], BEGIN)
 
     def _slices(self, route: np.ndarray) -> list[tuple[int, slice]]:
         own = _share(route, self.model.owners)
@@ -206,7 +232,8 @@ class Chunk:
         runs = np.diff(np.append(heads, len(at)))
         # Of the first level's probabilities their counts are sent.
         p = self.count[self.code[self.asked[at]]] if self.depth == 1 else self.p[at].astype(np.float32)
-        return {"x": _zip(self.x[at]), "n": _zip(self.n[keys]), "contexts": _zip(self.context[at[heads]]), "runs": _zip(runs), "totals": _zip(self.total[at[heads]]), "p": _zip(p)}
+        contexts = _spelt([self._before(self.asked[at[heads]], d) for d in range(1, self.depth + 1)]) if self.depth <= SPELT else self.context[at[heads]]
+        return {"x": _zip(self.x[at]), "n": _zip(self.n[keys]), "contexts": _zip(contexts), "runs": _zip(runs), "totals": _zip(self.total[at[heads]]), "p": _zip(p)}
 
     def hear_words(self, answers: dict[int, dict], keys: list[tuple[int, slice]], more: bool) -> None:
         """Take the owners' answers: corpus-wide numbers and counts of the words."""
@@ -224,18 +251,21 @@ class Chunk:
         """Take the owners' answers to what was asked: counts, and the contexts' symbols seen once and fates; go deeper for ``more``."""
         asked = self.ask()
         n, once, kept = np.zeros(len(self.first), np.int64), np.zeros(len(self.first), np.int64), np.zeros(len(self.first), bool)
+        held = np.ones(len(self.first), np.float32)
         for owner, keys in asked:
             told = answers[owner]
             n[keys] = _unzip(told["counts"], np.int64)
             heads = run_bounds(self.context[self.first[keys]])
             runs = np.diff(np.append(heads, keys.stop - keys.start))
+            if self.depth > 1:
+                held[keys] = _unzip(told["p"], np.float32)
             once[keys], kept[keys] = np.repeat(_unzip(told["once"], np.int64), runs), np.repeat(_unzip(told["kept"], np.bool_), runs)
         if len(split.context):
             context = self.context[self.first]
             at = np.minimum(np.searchsorted(split.context, context), len(split.context) - 1)
             found = split.context[at] == context
             once, kept = np.where(found, split.once[at], once), np.where(found, split.kept[at], kept)
-        count, stay, p = n[self.slot], kept[self.slot], self.p.copy()
+        count, stay, p = n[self.slot], kept[self.slot], self.p.copy() if self.depth == 1 else held[self.slot].astype(np.float64)
         c = count[stay]
         p[stay] = (np.where(c >= 2, c, 0) + (KAPPA + once[self.slot][stay]) * p[stay]) / (self.total[stay] + KAPPA)
         # A longer context stands as often as its last word was counted in the context before.
@@ -277,7 +307,7 @@ class Chunk:
             out.write_table(self.docs)
         nothing = np.empty(0)
         # Places are sent as steps, which are small.
-        values = {"size": self.size, "code": self.code, "word": self.word, "count": self.count, "asked": np.diff(self.asked, prepend=0), "p": self.p if self.depth > 1 else nothing, "total": self.total if self.depth > 1 else nothing}
+        values = {"size": self.size, "code": self.code, "word": self.word, "count": self.count, "asked": np.diff(self.asked, prepend=0), "total": self.total if self.depth > 1 else nothing}
         return {"docs": sink.getvalue().to_pybytes()} | {c: _zip(x.astype(_KINDS[c]), 3) for c, x in values.items()}
 
 
@@ -288,7 +318,7 @@ def _unpacked(model: Model, depth: int, row: dict) -> Chunk:
 
 
 _ASKED = "owner int, chunk string, x binary, n binary, contexts binary, runs binary, totals binary, p binary, " + ", ".join(f"s_{c} binary" for c in _STATE)
-_TOLD = "chunk string, owner int, counts binary, ids binary, once binary, kept binary, context long, gain double, n long, v long, split binary"
+_TOLD = "chunk string, owner int, counts binary, ids binary, once binary, kept binary, p binary, context long, gain double, n long, v long, split binary"
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64()}
 
 
@@ -367,7 +397,7 @@ def _answerer(model: Model, depth: int):
         x, n = np.concatenate(x), np.concatenate([_unzip(r["n"], np.int64) for r in rows])
         out, tail = [], dict.fromkeys(c.split()[0] for c in _TOLD.split(", "))
         if depth:
-            heads = [_unzip(r["contexts"], np.uint64) for r in rows]
+            heads = [_read_contexts(_unzip(r["contexts"], np.uint64), depth) for r in rows]
             runs = np.concatenate([_unzip(r["runs"], np.int64) for r in rows])
             total, context = np.repeat(np.concatenate([_unzip(r["totals"], np.int64) for r in rows]), runs), np.repeat(np.concatenate(heads), runs)
             p = np.concatenate([(_unzip(r["p"], np.int64) + 1.0) / (model.n + model.v + 1.0) if depth == 1 else _unzip(r["p"], np.float32).astype(np.float64) for r in rows])
@@ -408,7 +438,7 @@ def _answerer(model: Model, depth: int):
                 own["ids"] = _zip(ids[begin - size[i] : begin])
             else:
                 g = np.searchsorted(names, heads[i])
-                own |= {"once": _zip(once[g]), "kept": _zip(kept[g])}
+                own |= {"once": _zip(once[g]), "kept": _zip(kept[g]), "p": r["p"] if depth > 1 else None}
             out.append(own)
         return pa.Table.from_pylist(out, schema=_schema(_TOLD))
 
@@ -431,7 +461,7 @@ def _split_gains(level: Level):
 
 def _split_level(told: DataFrame) -> tuple[Level, int]:
     """The split contexts of a level (at most 1 / SPLIT_SHARE rows), and the number of all that are kept."""
-    kept = told.where("chunk is null and v is not null").agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
+    kept = told.where("v is not null").agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
     rows = told.where("context is not null").groupBy("context").agg(F.sum("n").alias("once")).collect()
     context = np.array([r["context"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(context)
@@ -443,54 +473,57 @@ def _split_level(told: DataFrame) -> tuple[Level, int]:
     return level, int(kept + level.kept.sum())
 
 
-def _scorer(model: Model, depth: int):
-    """Chunks' states -> the wanted texts' scores."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = _unpacked(model, depth, {c: row[f"s_{c}"] for c in _STATE})
-                left = np.bincount(chunk.row[chunk.asked], np.log10(chunk.p), len(chunk.size))
-                docs = chunk.docs.set_column(chunk.docs.column_names.index("score"), "score", pa.array(chunk.docs.column("score").to_numpy() + left))
-                yield from docs.filter(docs.column("wanted")).select(["doc_id", "n_tokens", "n_known", "base_score", "score"]).to_batches()
-
-    return score
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """States of chunks that ask no more -> the wanted texts' scores."""
+    for batch in batches:
+        for packed in batch.column("s_docs").to_pylist():
+            docs = pa.ipc.open_stream(packed).read_all().combine_chunks()
+            yield from docs.filter(docs.column("wanted")).select(["doc_id", "n_tokens", "n_known", "base_score", "score"]).to_batches()
 
 
 def _scored(rows: DataFrame, owners: int | None, depth: int | None) -> DataFrame:
     """Scores of the wanted ones of ``rows`` (doc_id, text, counted, wanted)."""
     model = Model(owners or owner_count(text_volume(rows), OWNER_BYTES))
-    states, asked = _parted(rows.mapInArrow(_reader(model), _ASKED))
-    level, split = 0, Level()
-    while True:
-        told = materialize(asked.groupBy("owner").applyInArrow(_answerer(model, level), _TOLD))
-        discard(asked)
+    rounds = min(ROUNDS, max(1, model.owners // ROUND_OWNERS))
+    sent = [_parted(rows.mapInArrow(_reader(model), _ASKED), rounds)]
+    level, split, more = 0, Level(), True
+    while more:
+        told = []
+        for k in range(rounds):
+            asked = [s[rounds + k] for s in sent]
+            answers = joined_parts(asked).groupBy("owner").applyInArrow(_answerer(model, level), _TOLD)
+            told.append(materialize_parts(answers.withColumn("kind", F.expr(f"if(chunk is null, {rounds}, {_chunk_round(rounds)})")), "kind", rounds + 1))
+            discard(*asked)
+        totals = joined_parts([t[rounds] for t in told])
+        more = depth is None or level < depth
         if not level:
-            n, v = told.where("chunk is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+            n, v = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
             model = Model(model.owners, n, v)
         else:
-            split, kept = _split_level(told)
-            if not kept:
-                discard(told)
-                break
-        more = depth is None or level < depth
-        answers = told.where("chunk is not null").select("chunk", "owner", "counts", "ids", "once", "kept")
-        before = states
-        states, asked = _parted(states.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_next_level(model, level, split, more), _ASKED))
-        discard(before, told)
+            split, kept = _split_level(totals)
+            more &= kept > 0
+        before, sent = sent, []
+        for k in range(rounds):
+            states, answers = [s[k] for s in before], [t[k] for t in told]
+            heard = joined_parts(answers).select("chunk", "owner", "counts", "ids", "once", "kept", "p").groupBy("chunk")
+            waiting = joined_parts(states).select("chunk", *(f"s_{c}" for c in _STATE)).groupBy("chunk")
+            sent.append(_parted(waiting.cogroup(heard).applyInArrow(_next_level(model, level, split, more), _ASKED), rounds))
+            discard(*states, *answers)
+        discard(*(t[rounds] for t in told))
         level += 1
-        if not more:
-            break
-    scored = states.mapInArrow(_scorer(model, level), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = joined_parts([s[k] for s in sent for k in range(rounds)]).select("s_docs").mapInArrow(_scores, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _parted(sent: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chunks' states and their questions, in tables of their own, so that questions go when they are answered."""
-    states, asked = materialize_parts(sent.withColumn("kind", F.expr("int(owner is not null)")), "kind", 2)
-    questions = _ASKED.split(", s_")[0].split(", ")
-    columns = (["chunk", *(f"s_{c}" for c in _STATE)], [c.split()[0] for c in questions])
-    return tuple(narrowed(table, own) for table, own in zip((states, asked), columns, strict=True))
+def _chunk_round(rounds: int) -> str:
+    """A chunk's round, by other bits of its hash than those that deal it to a partition."""
+    return f"int(pmod(hash(chunk) div 65536, {rounds}))"
+
+
+def _parted(sent: DataFrame, rounds: int) -> list[DataFrame]:
+    """Chunks' states and then their questions, in tables of their own for each round, so that they go when they are answered."""
+    kind = F.expr(f"if(owner is null, {_chunk_round(rounds)}, {rounds} + owner % {rounds})")
+    return materialize_parts(sent.withColumn("kind", kind), "kind", 2 * rounds)
 
 
 def score(documents: DataFrame, training: DataFrame, owners: int | None = None, depth: int | None = None) -> DataFrame:

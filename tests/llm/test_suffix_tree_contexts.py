@@ -140,3 +140,13 @@ def test_odd_rows_and_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, counted int, chunk string")
     out = sorted((r["doc_id"] or 0, r["n_tokens"]) for r in suffix_tree_lm.held_out_scores(docs).collect())
     assert out == [(0, 1), (1, 200_001), (1, 200_001), (2, 1)]
+
+
+def test_each_round_removes_what_it_has_read(spark, monkeypatch):
+    lm, calls = suffix_tree_lm, []
+    write, remove = lm.materialize_parts, lm.discard
+    monkeypatch.setattr(lm, "materialize_parts", lambda df, by, parts: calls.append(parts) or write(df, by, parts))
+    monkeypatch.setattr(lm, "discard", lambda *tables: calls.append("removed") or remove(*tables))
+    rows = spark.createDataFrame(list(enumerate(made_texts(3, 20))), "doc_id long, text string")
+    assert lm.score(rows, rows, owners=2 * lm.ROUND_OWNERS, depth=1).count() == 20
+    assert calls[1:] == 2 * ([3, "removed"] * 2 + [4, "removed"] * 2 + ["removed"]) and "p" not in lm._STATE
