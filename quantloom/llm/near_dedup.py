@@ -12,6 +12,12 @@ all its classes in cells of bounded size, in which common shingles are counted f
 cell returns no more than a spanning forest of the links between components. So every candidate
 pair of different components is decided on full sets, whatever its bucket's size, and none is written out.
 
+Full sets are larger than texts, so they travel only where a link is possible. A set's sketch marks its shingles
+in at least four bits for each; bits that only one of two sketches has bound the common shingles from above.
+What this bound excludes is no link, so leaving it out loses none. Cells are screened by sketches first: one of no more possible
+links than classes returns them as pairs, which are told apart over all cells and verified once; the others send their sets.
+Likewise a table of marks, of bounded size, holds back most of the texts and sets that no join wants.
+
 No key meets all its rows in one task: large buckets and groups of one text are broadcast to their rows (fewer than a thousand of
 each), and a leader's set is sent once for every ``LEADER_ROWS`` classes that it meets.
 
@@ -33,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.components import connected_components
-from quantloom.llm.frames import join_groups, materialize, one_row_each, slices, text_bytes
+from quantloom.llm.frames import discard, join_groups, materialize, one_row_each, slices, text_bytes
 from quantloom.llm.words import LOWER, SPACE, hash_words, mix, roll, runs_in_rows
 
 SHINGLE = 5
@@ -45,6 +51,10 @@ CELL_CLASSES = 1024
 CELL_SHINGLES = 2_000_000
 #: Classes that a task compares with one copy of their leader, about.
 LEADER_ROWS = 256
+#: Marks that tell which texts or sets are wanted are broadcast as words of 64 bits: so many bits at most.
+MARK_BITS = 1 << 25
+#: Rows that a task of cells returns at a time, about.
+RETURN_ROWS = 4096
 
 _PRIME = np.random.default_rng(77).integers(1, 2**62, COLLECTIONS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = np.random.default_rng(78).integers(1, 2**63, COLLECTIONS * ROWS, dtype=np.uint64)
@@ -111,30 +121,66 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_key"), pa.array(size, pa.int64()), *(pa.array(x.view(np.int64)) for x in out)], names=names)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """A set's shingles as marks in a power of two bits, at least 64 and four for each shingle."""
+    bits = max(64, 1 << (4 * len(shingles) - 1).bit_length())
+    marks = np.zeros(bits, bool)
+    marks[shingles & np.uint64(bits - 1)] = True
+    return np.packbits(marks, bitorder="little").view(np.uint64)
+
+
+def fold(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows) of more words as those that the same sets have in ``words`` words."""
+    while sketches.shape[-1] > words:
+        sketches = sketches[..., : sketches.shape[-1] // 2] | sketches[..., sketches.shape[-1] // 2 :]
+    return sketches
+
+
+def may_be_linked(one: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """False for those of ``others`` (sketches of sets of ``sizes``) that are surely not linked with the set of ``n`` of sketch ``one``."""
+    words = min(one.shape[-1], others.shape[-1])
+    one, others = fold(one, words), fold(others, words)
+    common = np.minimum(n - np.bitwise_count(one & ~others).sum(axis=1, dtype=np.int64), sizes - np.bitwise_count(others & ~one).sum(axis=1, dtype=np.int64))
+    return 100 * common >= percent * (n + sizes - common)
+
+
 def _class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sorted shingle sets of classes' texts, as packed 64-bit integers."""
+    """The sorted shingle sets of classes' texts, as packed 64-bit integers, and their sketches."""
     for piece in _rows_of(batches):
         sets, bounds = shingle_sets(*text_bytes(piece.column("text")))
-        packed = [sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([piece.column("cls"), pa.array(packed, pa.binary())], names=["cls", "shingles"])
+        own = [sets[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        columns = [pa.array([x.tobytes() for x in own], pa.binary()), pa.array([sketch(x).tobytes() for x in own], pa.binary())]
+        yield pa.RecordBatch.from_arrays([piece.column("cls"), pa.array(np.diff(bounds), pa.int64()), *columns], names=["cls", "size", "shingles", "sketch"])
 
 
 def _set(packed: pa.Scalar) -> np.ndarray:
     return np.frombuffer(packed.as_buffer(), np.uint64)
 
 
-def _linked(percent: int):
+def _maybe_linked(percent: int):
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column("own_a"), batch.column("size_a").to_pylist(), batch.column("own_b"), batch.column("size_b").to_pylist())
+            keep = [bool(may_be_linked(_set(x), m, _set(y)[None], np.array([n]), percent)[0]) for x, m, y, n in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return screen
+
+
+def _linked(percent: int, one: str = "a", two: str = "b"):
+    """Of the pairs a, b those that are linked, as their columns ``one`` and ``two``."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
         for batch in batches:
             keep = []
-            for a, one, two in zip(batch.column("a").to_pylist(), batch.column("set_a"), batch.column("set_b"), strict=True):
+            for a, set_a, set_b in zip(batch.column("a").to_pylist(), batch.column("set_a"), batch.column("set_b"), strict=True):
                 if a != last:
-                    last, left = a, _set(one)
-                right = _set(two)
+                    last, left = a, _set(set_a)
+                right = _set(set_b)
                 common = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(100 * common >= percent * (len(left) + len(right) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(one), batch.column(two)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return verify
 
@@ -206,6 +252,73 @@ def forest(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, in
     return out
 
 
+def _each_cell(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[int, list[tuple]]]:
+    """Each cell and its rows (tuples of ``names``, the last one packed) of batches that are sorted by ``cell``."""
+    cell, rows = None, []
+    for batch in batches:
+        columns = [batch.column(x).to_pylist() for x in names[:-1]]
+        for own, packed, *row in zip(batch.column("cell").to_pylist(), batch.column(names[-1]), *columns, strict=True):
+            if own != cell:
+                if rows:
+                    yield cell, rows
+                cell, rows = own, []
+            rows.append((*row, _set(packed)))
+    if rows:
+        yield cell, rows
+
+
+def possible_links(root: np.ndarray, side: np.ndarray, size: np.ndarray, sketches: list[np.ndarray], percent: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Which classes of a cell may be linked with one of the other side and another component, and these pairs.
+
+    No pairs, if there are more than classes.
+    """
+    keep, pairs, number = np.zeros(len(root), bool), [], 0
+    words = np.array([len(x) for x in sketches])
+    alike = [np.flatnonzero((side != 0) & (words == w)) for w in np.unique(words[side != 0])]
+    columns = [(k, np.stack([sketches[i] for i in k])) for k in alike]
+    for i in np.flatnonzero(side != 1):
+        for k, others in columns:
+            pick = (root[k] != root[i]) & (100 * np.minimum(size[k], size[i]) >= percent * np.maximum(size[k], size[i]))
+            if side[i] == 2:
+                pick &= (side[k] != 2) | (k > i)
+            if pick.any():
+                near = k[pick][may_be_linked(sketches[i], size[i], others[pick], size[k[pick]], percent)]
+                keep[near] = True
+                keep[i] |= len(near) > 0
+                number += len(near)
+                pairs += ((int(i), int(j)) for j in near) if number <= len(root) else ()
+    return keep, pairs if number <= len(root) else []
+
+
+_POSSIBLE = "cell long, cls long, root long, side int, other long, other_root long"
+
+
+def _possible(percent: int):
+    """Cells (sorted by ``cell``) as possible links between their classes (``cls`` is that of more links there), or else as the classes that have any."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        names = [x.split()[0] for x in _POSSIBLE.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int32() if name == "side" else pa.int64()) for i, name in enumerate(names)], names=names)
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for cell, rows in _each_cell(batches, "cls", "root", "side", "size", "sketch"):
+            cls, root, side, size, own = zip(*rows, strict=True)
+            keep, pairs = possible_links(np.array(root, np.int64), np.array(side), np.array(size, np.int64), list(own), percent)
+            if pairs:
+                links = np.bincount(np.ravel(pairs), minlength=len(rows)).tolist()
+                ordered = (sorted(pair, key=lambda i: (-links[i], cls[i])) for pair in pairs)
+                out += [(None, cls[i], root[i], None, cls[j], root[j]) for i, j in ordered]
+            else:
+                out += [(cell, cls[i], root[i], side[i], None, None) for i in np.flatnonzero(keep)]
+            if len(out) >= RETURN_ROWS:
+                yield batch(out)
+                out = []
+        yield batch(out)
+
+    return screen
+
+
 def _settle(percent: int):
     """Cells (sorted by ``cell``) -> links between their components, as pairs of roots."""
 
@@ -220,17 +333,13 @@ def _settle(percent: int):
         return forest(root, rows[a], columns[b])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, root, side, sets = None, [], [], []
-        for batch in batches:
-            out = []
-            columns = (batch.column("cell").to_pylist(), batch.column("root").to_pylist(), batch.column("side").to_pylist(), batch.column("shingles"))
-            for own, r, s, packed in zip(*columns, strict=True):
-                if own != cell:
-                    out += links(np.array(root, np.int64), np.array(side), sets) if root else []
-                    cell, root, side, sets = own, [], [], []
-                root.append(r), side.append(s), sets.append(_set(packed))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-        out = links(np.array(root, np.int64), np.array(side), sets) if root else []
+        out = []
+        for _, rows in _each_cell(batches, "root", "side", "shingles"):
+            root, side, sets = zip(*rows, strict=True)
+            out += links(np.array(root, np.int64), np.array(side), list(sets))
+            if len(out) >= RETURN_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                out = []
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return settle
@@ -255,6 +364,28 @@ def _cells(mixed: DataFrame, cell_classes: int, cell_shingles: int, total: int)
     return dealt.select(F.xxhash64("key", "at.i", "at.j").alias("cell"), "cls", "root", F.col("at.side").alias("side"))
 
 
+def _marked(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The ``rows`` whose key (names of columns) is among the keys of ``wanted``, and few others, by marks of bounded size."""
+    at = F.expr(f"pmod(xxhash64({wanted_key}), {MARK_BITS})").alias("at")
+    marks = wanted.select(at).groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("marks"))
+    own = rows.withColumn("__at", F.expr(f"pmod(xxhash64({key}), {MARK_BITS})"))
+    hit = F.expr("__at div 64 = word AND shiftrightunsigned(marks, int(__at % 64)) % 2 <> 0")
+    return own.join(F.broadcast(marks), hit, "left_semi").drop("__at")
+
+
+def _met(pairs: DataFrame, values: DataFrame, number: int) -> DataFrame:
+    """``number`` pairs (a, b and others) of classes with both classes' ``values`` (cls and others), that get the endings _a and _b.
+
+    What stands first in many pairs is sent once for every LEADER_ROWS of them.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEADER_ROWS).alias("parts"))
+    spread = join_groups(pairs, materialize(parts.select(F.col("a").alias("leader"), "parts", (F.col("parts") * LEADER_ROWS).alias("m"))), F.col("a") == F.col("leader"), "m", number)
+    spread = spread.select(*pairs.columns, F.expr("pmod(xxhash64(b), parts)").alias("part"))
+    one, two = (_marked(values, "cls", pairs, x).select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in values.columns if c != "cls")) for x in "ab")
+    copies = one.join(parts.where("parts > 1"), "a", "left").withColumn("part", F.explode(F.expr("sequence(0L, coalesce(parts, 1L) - 1)"))).drop("parts")
+    return spread.join(two, "b").join(copies, ["a", "part"])
+
+
 def near_groups(documents: DataFrame, percent: int = PERCENT, cell_classes: int = CELL_CLASSES, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, component (null for an empty set) and kept of every row of ``documents`` (doc_id, text)."""
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
@@ -267,39 +398,46 @@ def near_groups(documents: DataFrame, percent: int = PERCENT, cell_classes: int
     )
     tables = F.array(*(F.xxhash64(F.lit(t), a, b) for t, (a, b) in enumerate(combinations(own, 2))))
     keys = classes.select("cls", F.col("n_shingles").alias("n"), F.explode(tables).alias("key"))
+    number = classes.count()
+    pairs = len(own) * (len(own) - 1) // 2 * number
+    # Most keys are of one class; what they would lead stays out of the exchange.
+    shared = materialize(keys.groupBy(F.col("key").alias("bucket")).agg(F.count("*").alias("m")).where("m > 1"))
+    held = materialize(join_groups(keys, shared, F.col("key") == F.col("bucket"), "m", pairs).select("key", "cls", "n"))
     masked = F.struct(F.col("cls").bitwiseXOR(F.lit(MASK)), "cls", "n")
     leaders = (
-        keys.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("cls", "n")).alias("x"), F.max(F.struct("cls", "n")).alias("y"), F.min(masked).alias("z")).where("m > 1")
+        held.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("cls", "n")).alias("x"), F.max(F.struct("cls", "n")).alias("y"), F.min(masked).alias("z"))
         .select(F.col("key").alias("bucket"), "m", F.array_distinct(F.array("x", "y", F.struct("z.cls", "z.n"))).alias("leaders"))
     )
-    number = classes.count()
-    pairs = len(own) * (len(own) - 1) // 2 * number
-    met = join_groups(keys, materialize(leaders), F.col("key") == F.col("bucket"), "m", pairs)
+    met = join_groups(held, materialize(leaders), F.col("key") == F.col("bucket"), "m", held.count())
     members = materialize(met.select("key", "cls", "n", "leaders", (F.col("m") > F.size("leaders") + 1).alias("open")))
+    discard(shared, held)
 
     # The text of one row of each class; a class's rows of that id and text may be many.
     chosen = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "rows", F.col("at.doc_id").alias("p_id"), F.col("at.text_key").alias("p_key"))
-    found = join_groups(docs, materialize(chosen), F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key")), "rows", total)
+    chosen = materialize(chosen)
+    found = join_groups(_marked(docs, "doc_id, text_key", chosen, "p_id, p_key"), chosen, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key")), "rows", total)
     texts = found.select("cls", "text").dropDuplicates(["cls"])
-    sets = materialize(texts.mapInArrow(_class_sets, "cls long, shingles binary"))
+    sets = materialize(texts.mapInArrow(_class_sets, "cls long, size long, shingles binary, sketch binary"))
 
     meets = members.select("cls", "n", F.explode("leaders").alias("l")).where(f"cls <> l.cls and 100 * least(n, l.n) >= {percent} * greatest(n, l.n)")
     stars = materialize(meets.select(F.col("l.cls").alias("a"), F.col("cls").alias("b")).distinct())
-    parts = stars.groupBy("a").agg(F.ceil(F.count("*") / LEADER_ROWS).alias("parts"))
-    spread = join_groups(stars, materialize(parts.select(F.col("a").alias("leader"), "parts", (F.col("parts") * LEADER_ROWS).alias("m"))), F.col("a") == F.col("leader"), "m", stars.count())
-    spread = spread.select("a", "b", F.expr("pmod(xxhash64(b), parts)").alias("part"))
-    copies = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")).join(parts, "a").select("a", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), "set_a")
-    links = materialize(
-        spread.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b").join(copies, ["a", "part"])
-        .select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long")
-    )
+    sketches, full = sets.select("cls", "size", F.col("sketch").alias("own")), sets.select("cls", F.col("shingles").alias("set"))
+    near = materialize(_met(stars, sketches, stars.count()).select("a", "b", "own_a", "size_a", "own_b", "size_b").mapInArrow(_maybe_linked(percent), "a long, b long"))
+    links = materialize(_met(near, full, near.count()).select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long"))
     roots = connected_components(links)
 
     # A bucket of no more classes than its leaders and one has had all its pairs compared.
     placed = members.where("open").select("key", "cls", "n").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    cells = _cells(materialize(placed), cell_classes, cell_shingles, pairs).join(sets, "cls")
-    more = materialize(cells.repartition("cell").sortWithinPartitions("cell").select("cell", "root", "side", "shingles").mapInArrow(_settle(percent), "a long, b long"))
-    last = connected_components(more)
+    cells = _cells(materialize(placed), cell_classes, cell_shingles, pairs).join(sets.select("cls", "size", "sketch"), "cls")
+    possible = materialize(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_possible(percent), _POSSIBLE))
+    few = possible.where("other IS NOT NULL").select(F.col("cls").alias("a"), F.col("other").alias("b"), F.col("root").alias("root_a"), F.col("other_root").alias("root_b"))
+    few = materialize(few.distinct())
+    joined = materialize(_met(few, full, few.count()).select("a", "set_a", "set_b", "root_a", "root_b").mapInArrow(_linked(percent, "root_a", "root_b"), "a long, b long"))
+    many = possible.where("other IS NULL").select("cell", "cls", "root", "side")
+    many = _marked(sets.select("cls", "shingles"), "cls", many, "cls").join(many, "cls")
+    settled = materialize(many.repartition("cell").sortWithinPartitions("cell").select("cell", "root", "side", "shingles").mapInArrow(_settle(percent), "a long, b long"))
+    discard(members, sets)
+    last = connected_components(joined.unionByName(settled))
 
     whole = classes.groupBy("cls").agg(F.min("least_id").alias("least_id"), F.sum("rows").alias("rows")).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     whole = materialize(whole.select("cls", "least_id", "rows", F.coalesce("root", "cls").alias("first")))
